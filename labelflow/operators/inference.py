@@ -170,17 +170,14 @@ def generate(
     names = tuple(settings)
 
     @F.pandas_udf(REPLY)
-    def run(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         client = _built(model)
-        for prompts, *values in batches:
-            rows = [
-                ask(client, p, {n: v.iloc[i] for n, v in zip(names, values, strict=True)}, retry)
-                for i, p in enumerate(prompts)
-            ]
+        for batch in batches:
+            rows = [ask(client, row[0], dict(zip(names, row[1:], strict=True)), retry) for row in batch.values.tolist()]
             yield pd.DataFrame(rows, columns=["reply", "attempts", "status", "error"])
 
-    run = run.asNondeterministic()
-    return spread.withColumn("_a", run(*[F.col(c) for c in (prompt, *names)])).select("*", "_a.*").drop("_a")
+    asked = run.asNondeterministic()(F.struct(F.col(prompt), *[F.col(c) for c in names]))
+    return spread.withColumn("_a", asked).select("*", "_a.*").drop("_a")
 
 
 def predict_class(df: DataFrame, logits: str = "logits", out: str = "pred") -> DataFrame:

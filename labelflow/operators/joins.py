@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .ranking import MAX_GROUPS, collect_bounded
+from .ranking import collect_bounded
 
 HOT_SHARE = 0.001  # a key with more than this share of all rows is split; there are at most 1000
+SMALL = 100_000  # tables up to this size fit one task whatever their skew
 
 
 def digest(col: str):
@@ -22,6 +23,7 @@ def spread_lookup(
     spread_by: list[str],
     how: str = "left",
     hot_share: float = HOT_SHARE,
+    small: int = SMALL,
 ) -> DataFrame:
     """Join ``rows`` to ``table`` (unique on ``on``), salting the keys that are hot in ``rows``.
 
@@ -32,8 +34,7 @@ def spread_lookup(
     counts = rows.groupBy(on).agg(F.count("*").alias("_n"))
     total = rows.count()
     threshold = max(1.0, total * hot_share)
-    # Tables this small fit one task whatever their skew.
-    hot = collect_bounded(counts.where(F.col("_n") > threshold)) if total > MAX_GROUPS * 10 else []
+    hot = collect_bounded(counts.where(F.col("_n") > threshold)) if total > small else []
     if not hot:
         return rows.join(table, on, how)
     key_type = rows.schema[on].dataType.simpleString()
