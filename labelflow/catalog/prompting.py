@@ -388,7 +388,7 @@ SELECT event_id, output_text, predicted_score, predicted_score = target AS succe
 def f6_convert_and_score(spark, folder):
     requests = V.activity(spark, folder).select("event_id", "timestamp", "input_text", F.concat("target_level", F.lit("-x")).alias("target_level"))
     prefix = E.judge_prefix(_few(spark, folder), ["id"])
-    out = convert_and_score(requests, HASH, HASH, prefix)
+    out = convert_and_score(requests, HASH, HASH, prefix, parallelism=spark.sparkContext.defaultParallelism)
     return out.select("event_id", "output_text", "predicted_score", "success")
 
 
@@ -449,6 +449,8 @@ FROM judged2 GROUP BY GROUPING SETS ((model_mode), (target), ())""",
 )
 def p2_experiment(spark, folder):
     tasks = V.tasks(spark, folder).withColumn("task_id", F.col("id") * 10 + F.col("target"))
-    out = cut_lineage(experiment(tasks.select("task_id", "text", "target"), _few(spark, folder), {"hash": HASH}, HASH))
+    tasks = tasks.select("task_id", "text", "target")
+    workers = spark.sparkContext.defaultParallelism
+    out = cut_lineage(experiment(tasks, _few(spark, folder), {"hash": HASH}, HASH, parallelism=workers))
     by = accuracy_by(with_mode(out), "is_correct", [["model_mode"], ["target_level"], []])
     return by.select("model_mode", "target_level", "rows", six("accuracy_percent").alias("accuracy_percent"))

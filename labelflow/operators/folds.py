@@ -46,7 +46,7 @@ def fold_quotas(df: DataFrame, label: str, id_col: str, k: int) -> DataFrame:
     cuts, running = [], F.lit(0).cast("long")
     for f in range(k - 1):
         running = running + members(f)
-        cuts.append(F.struct(F.lit(f).alias("cut"), running.cast("long").alias("rank")))
+        cuts.append(F.struct(F.lit(f).alias("cut"), running.cast("long").alias("rank"), "n"))
     return totals.withColumn("_off", offset).select(label, F.inline(F.array(*cuts)))
 
 

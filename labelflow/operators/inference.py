@@ -120,6 +120,23 @@ class ModelSpec:
         return self.backend(*self.arguments)
 
 
+class TemplatedModel:
+    """A model that is given the sentence only and puts it between two fixed texts.
+
+    A shared prompt part of many kilobytes is then sent to each worker once instead of once per row.
+    """
+
+    def __init__(self, inner: ModelSpec, before: str, after: str):
+        self.inner, self.before, self.after = inner.build(), before, after
+
+    def generate(self, prompt: str | None, **settings) -> str | None:
+        return self.inner.generate(None if prompt is None else self.before + prompt + self.after, **settings)
+
+
+def templated(model: ModelSpec, before: str, after: str) -> ModelSpec:
+    return ModelSpec(TemplatedModel, (model, before, after))
+
+
 @lru_cache(maxsize=8)
 def _built(spec: ModelSpec) -> Model:
     """Models live as long as the Python worker, not just for one task."""
@@ -188,13 +205,19 @@ def predict_class(df: DataFrame, logits: str = "logits", out: str = "pred") -> D
 def score_table(
     df: DataFrame,
     model: ModelSpec,
-    prompt: Callable[[DataFrame], DataFrame],
+    prompt: Callable[[DataFrame], DataFrame] | str,
     parser: Callable[[DataFrame], DataFrame] = parse_marked,
     retry: RetryPolicy = SCORER_RETRY,
     parallelism: int | None = None,
 ) -> DataFrame:
-    """Prompt, reply and parsed score for every row; a failed call scores -3."""
-    answered = generate(prompt(df), model, retry=retry, parallelism=parallelism)
+    """Prompt, reply and parsed score for every row; a failed call scores -3.
+
+    ``prompt`` renders a prompt column or names an existing one. Rows are spread over ``parallelism`` tasks
+    before their prompts are rendered, so prompts are not shuffled.
+    """
+    spread = df.repartition(parallelism) if parallelism else df
+    column = prompt if isinstance(prompt, str) else "prompt"
+    answered = generate(spread if isinstance(prompt, str) else prompt(spread), model, column, retry)
     parsed = parser(answered)
     score = parsed.schema["predicted_score"].dataType if "predicted_score" in parsed.columns else None
     if score is None:

@@ -8,9 +8,10 @@ ever sorted together.
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
@@ -19,7 +20,9 @@ MAX_GROUPS = 10_000  # largest summary table (in rows) that is taken to the driv
 
 
 def seeded_hash(id_col: str, seed: int | str) -> Column:
-    return F.md5(F.concat(F.lit(f"{seed}:"), F.col(id_col).cast("string")).cast("binary"))
+    """Digest of the seeded id. The coalesce marks it as never null, which spares joins on it a null check that
+    would compute the digest again."""
+    return F.coalesce(F.md5(F.concat(F.lit(f"{seed}:"), F.col(id_col).cast("string")).cast("binary")), F.lit(""))
 
 
 def collect_bounded(df: DataFrame, limit: int = MAX_GROUPS) -> list | None:
@@ -56,44 +59,62 @@ def stable_rank(
     return ranked.withColumn(out, F.col("_lo") + F.col("_r")).select(*df.columns, out)
 
 
+def _digits_for(n: int) -> int:
+    """Hex digits that balance bucket count against bucket size: about sqrt(n) of each, 1 to 5 digits."""
+    return min(5, max(1, round(math.log(max(n, 1), 16) / 2)))
+
+
 def rank_cutoffs(
-    df: DataFrame, by: list[str], id_col: str, quotas: DataFrame, seed: int | str, digits: int = 4
-) -> DataFrame:
-    """The (hash, id) key of the row at each wanted rank.
+    df: DataFrame, by: list[str], id_col: str, quotas: list[Row], seed: int | str
+) -> dict[tuple, dict[int, tuple]]:
+    """The (hash, id) key of the row at each wanted rank, per class (``(0,)`` without classes) and cut.
 
-    ``quotas`` holds ``(*by, cut, rank)``, a few rows per class. One narrow scan counts buckets, a second
-    one sorts only the buckets that hold a wanted rank. Rank 0 gives the empty key, below all rows; a
-    rank beyond the class gives a key above all rows.
+    ``quotas`` are rows ``(*by, cut, rank, n)``, where n is the class size. One narrow scan counts buckets with
+    map-side aggregation, a second one sorts only the buckets that hold a wanted rank. Rank 0 gives the
+    empty key, below all rows; a rank from the class size on gives a key above all rows.
     """
+    spark = df.sparkSession
+    keys: dict[tuple, dict[int, tuple]] = {}
+    wanted = []
+    one_class = not by
+    by = by or ["_all"]
+    df = df.withColumn("_all", F.lit(0)) if one_class else df
+    for q in quotas:
+        group = (0,) if one_class else tuple(q[k] for k in by)
+        if q["rank"] <= 0:
+            keys.setdefault(group, {})[q["cut"]] = ("", None)
+        elif q["rank"] >= q["n"]:
+            keys.setdefault(group, {})[q["cut"]] = ("~", None)
+        else:
+            wanted.append((*group, q["cut"], q["rank"]))
+    if not wanted:
+        return keys
+    types = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in by)
+    digits = _digits_for(max(q["n"] for q in quotas))
     keyed = df.select(*by, F.col(id_col).alias("_id"), seeded_hash(id_col, seed).alias("_h"))
     keyed = keyed.withColumn("_b", F.substring("_h", 1, digits))
-    offsets = _bucket_offsets(keyed.select(*by, "_b"), by)
-    targets = (
-        offsets.join(quotas, by)
+    ranks = spark.createDataFrame(wanted, f"{types}, cut int, rank long")
+    places = (
+        _bucket_offsets(keyed.select(*by, "_b"), by)
+        .join(F.broadcast(ranks), by)
         .where((F.col("rank") > F.col("_lo")) & (F.col("rank") <= F.col("_lo") + F.col("_n")))
         .select(*by, "_b", "cut", (F.col("rank") - F.col("_lo")).alias("_need"))
+        .collect()
     )
+    # One row per wanted rank, so this table is as bounded as the quotas are.
+    targets = spark.createDataFrame(places, f"{types}, _b string, cut int, _need long")
+    buckets = targets.groupBy(*by, "_b").agg(F.collect_list(F.struct("cut", "_need")).alias("_cuts"))
     inside = Window.partitionBy(*by, "_b").orderBy("_h", "_id")
-    wanted = targets.groupBy(*by, "_b").agg(F.collect_list(F.struct("cut", "_need")).alias("_cuts"))
     found = (
-        keyed.join(F.broadcast(wanted), [*by, "_b"])
+        keyed.join(F.broadcast(buckets), [*by, "_b"])
         .withColumn("_r", F.row_number().over(inside))
         .withColumn("_cut", F.explode("_cuts"))
         .where(F.col("_r") == F.col("_cut._need"))
-        .select(*by, F.col("_cut.cut").alias("cut"), "_h", F.col("_id").cast("string").alias("_id"))
+        .select(*by, F.col("_cut.cut").alias("cut"), "_h", "_id")
     )
-    sizes = offsets.groupBy(*by).agg(F.sum("_n").alias("_size"))
-    empty = (
-        quotas.join(sizes, by)
-        .where((F.col("rank") <= 0) | (F.col("rank") > F.col("_size")))
-        .select(
-            *by,
-            "cut",
-            F.when(F.col("rank") <= 0, "").otherwise("~").alias("_h"),
-            F.lit(None).cast("string").alias("_id"),
-        )
-    )
-    return found.unionByName(empty)
+    for row in found.collect():
+        keys.setdefault(tuple(row[k] for k in by), {})[row["cut"]] = (row["_h"], row["_id"])
+    return keys
 
 
 def pieces_by_rank(
@@ -107,46 +128,38 @@ def pieces_by_rank(
 ) -> DataFrame:
     """Number of cut-offs that lie before each row: 0 up to the first wanted rank, then 1, and so on.
 
-    The row data is not shuffled: the cut-offs (one row per class) are looked up by a broadcast join and
-    compared with the row's own hash. With more classes than ``MAX_GROUPS`` the full ranks are used and
-    the quotas are joined by shuffle instead.
+    ``quotas`` holds ``(*by, cut, rank, n)``. The row data is not shuffled: the cut-offs (one row per class) are
+    looked up by a broadcast join and compared with the row's own hash. With more classes than ``MAX_GROUPS``
+    the full ranks are used and the quotas are joined by shuffle instead.
     """
-    spark = df.sparkSession
-    keys = by or ["_all"]
-    base = df if by else df.withColumn("_all", F.lit(0))
-    if not by:
-        quotas = quotas.withColumn("_all", F.lit(0))
-    rows = collect_bounded(
-        rank_cutoffs(base, keys, id_col, quotas, seed), MAX_GROUPS * cuts
-    )
+    rows = collect_bounded(quotas, MAX_GROUPS * cuts)
+    passed = lambda tests: reduce(Column.__add__, [t.cast("int") for t in tests])
     if rows is None:
-        wide = quotas.groupBy(*keys).pivot("cut", list(range(cuts))).agg(F.max("rank"))
-        ranked = stable_rank(base, keys, id_col, seed, out="_rank", digits=4).join(wide, keys, "left")
-        passed = [(F.col("_rank") > F.coalesce(F.col(str(i)), F.lit(0))).cast("int") for i in range(cuts)]
-        return ranked.withColumn(out, reduce(Column.__add__, passed)).select(*df.columns, out)
-
-    by_class: dict[tuple, dict] = {}
-    for row in rows:
-        by_class.setdefault(tuple(row[k] for k in keys), {})[row["cut"]] = (row["_h"], row["_id"])
-    types = [f"`{k}` {base.schema[k].dataType.simpleString()}" for k in keys]
-    cut_types = [f"_h{i} string, _id{i} string" for i in range(cuts)]
-    table = spark.createDataFrame(
-        [(*k, *[v for i in range(cuts) for v in c[i]]) for k, c in by_class.items()],
-        ", ".join(types + cut_types),
-    )
-    id_type = df.schema[id_col].dataType
-    passed = [
-        F.when(F.col("_h") > F.col(f"_h{i}"), 1)
-        .when((F.col("_h") == F.col(f"_h{i}")) & (F.col(id_col) > F.col(f"_id{i}").cast(id_type)), 1)
-        .otherwise(0)
-        for i in range(cuts)
-    ]
-    return (
-        base.withColumn("_h", seeded_hash(id_col, seed))
-        .join(F.broadcast(table), keys)
-        .withColumn(out, reduce(Column.__add__, passed))
-        .select(*df.columns, out)
+        wide = quotas.groupBy(*by).pivot("cut", list(range(cuts))).agg(F.max("rank"))
+        ranked = stable_rank(df, by, id_col, seed, out="_rank", digits=5).join(wide, by)
+        return ranked.withColumn(out, passed([F.col("_rank") > F.col(str(i)) for i in range(cuts)])).select(
+            *df.columns, out
+        )
+
+    found = rank_cutoffs(df, by, id_col, rows, seed)
+    hashed = df.withColumn("_h", seeded_hash(id_col, seed))
+    if not by:
+        tests = [_beyond(F.lit(h), F.lit(i), id_col) for h, i in (found[(0,)][c] for c in range(cuts))]
+        return hashed.withColumn(out, passed(tests)).select(*df.columns, out)
+    id_type = df.schema[id_col].dataType.simpleString()
+    types = [f"`{k}` {df.schema[k].dataType.simpleString()}" for k in by]
+    types += [f"_h{c} string, _id{c} {id_type}" for c in range(cuts)]
+    table = df.sparkSession.createDataFrame(
+        [(*k, *[v for c in range(cuts) for v in found[k][c]]) for k in found], ", ".join(types)
     )
+    tests = [_beyond(F.col(f"_h{c}"), F.col(f"_id{c}"), id_col) for c in range(cuts)]
+    return hashed.join(F.broadcast(table), by).withColumn(out, passed(tests)).select(*df.columns, out)
+
+
+def _beyond(cut_hash: Column, cut_id: Column, id_col: str) -> Column:
+    """Whether the row's (hash, id) lies behind a cut-off."""
+    h = F.col("_h")
+    return (h > cut_hash) | ((h == cut_hash) & F.coalesce(F.col(id_col) > cut_id, F.lit(False)))
 
 
 def lay_out(df: DataFrame, order: list[str], partitions: int | None = None) -> DataFrame:

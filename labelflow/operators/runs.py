@@ -5,7 +5,7 @@ from __future__ import annotations
 import warnings
 from functools import reduce
 
-from pyspark.errors import PySparkException
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -36,16 +36,15 @@ def merge_fold_metrics(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def read_fold_metrics(spark: SparkSession, path: str) -> DataFrame:
-    """Stored fold metrics, or an empty table with a warning when they cannot be read."""
+    """Fold metrics stored as a JSON payload; an unreadable payload counts as empty and only warns."""
     layout = "fold_metrics array<struct<fold:variant,eval_accuracy:double,eval_macro_f1:double,eval_loss:double>>"
     try:
-        payload = spark.read.schema(layout).option("mode", "FAILFAST").option("multiLine", True).json(path)
-        stored = payload.select(F.inline("fold_metrics"))
-        stored.count()
-        return stored
-    except PySparkException as error:
-        warnings.warn(f"fold metrics at {path} could not be read: {error}", stacklevel=2)
+        payload = spark.read.schema(layout).option("multiLine", True).json(path)
+    except AnalysisException:  # nothing stored yet
         return spark.createDataFrame([], FOLD_METRICS)
+    if not payload.where("fold_metrics IS NULL").isEmpty():
+        warnings.warn(f"fold metrics at {path} could not be read", stacklevel=2)
+    return payload.select(F.inline("fold_metrics"))
 
 
 def stack_runs(runs: dict[str, DataFrame]) -> DataFrame:

@@ -43,24 +43,24 @@ def stratified_split(
     With a class of fewer than two rows the split is random over all rows instead.
     """
     quotas = holdout_quotas(df, label, test_share)
-    first = quotas.select("smallest", "train").first()
+    first = quotas.select("smallest", "train", "total").first()
     if first is None:
         return df.withColumn(out, F.lit("train"))
     if first["smallest"] >= 2:
-        wanted = quotas.select(label, F.lit(0).alias("cut"), F.col("quota").alias("rank"))
+        wanted = quotas.select(label, F.lit(0).alias("cut"), F.col("quota").alias("rank"), "n")
         marked = pieces_by_rank(df, [label], id_col, wanted, 1, seed, "_piece")
     else:
-        marked = pieces_by_rank(df, [], id_col, _one_cut(df, first["train"]), 1, seed, "_piece")
+        marked = pieces_by_rank(df, [], id_col, _one_cut(df, first["train"], first["total"]), 1, seed, "_piece")
     return marked.withColumn(out, F.when(F.col("_piece") == 0, "train").otherwise("test")).drop("_piece")
 
 
-def _one_cut(df: DataFrame, rank: int) -> DataFrame:
-    return df.sparkSession.createDataFrame([(0, int(rank))], "cut int, rank long")
+def _one_cut(df: DataFrame, rank: int, total: int) -> DataFrame:
+    return df.sparkSession.createDataFrame([(0, int(rank), int(total))], "cut int, rank long, n long")
 
 
 def sample_n(df: DataFrame, id_col: str, n: int, seed: int) -> DataFrame:
     """min(n, rows) rows without replacement. Works for any n: nothing is gathered in one place."""
-    picked = pieces_by_rank(df, [], id_col, _one_cut(df, n), 1, seed, "_piece")
+    picked = pieces_by_rank(df, [], id_col, _one_cut(df, n, df.count()), 1, seed, "_piece")
     return picked.where(F.col("_piece") == 0).drop("_piece")
 
 
@@ -79,12 +79,12 @@ def proportional_sample(df: DataFrame, label: str, id_col: str, n: int, seed: in
         return df
     if fact["smallest"] < 2:
         return sample_n(df, id_col, n, seed)
-    wanted = quotas.select(label, F.lit(0).alias("cut"), F.col("quota").alias("rank"))
+    wanted = quotas.select(label, F.lit(0).alias("cut"), F.col("quota").alias("rank"), "n")
     picked = pieces_by_rank(df, [label], id_col, wanted, 1, seed, "_piece")
     picked = picked.where(F.col("_piece") == 0).drop("_piece")
     if fact["drawn"] <= n:
         return picked
-    again = pieces_by_rank(picked, [], id_col, _one_cut(df, n), 1, f"{seed}:recut", "_piece")
+    again = pieces_by_rank(picked, [], id_col, _one_cut(df, n, fact["drawn"]), 1, f"{seed}:recut", "_piece")
     return again.where(F.col("_piece") == 0).drop("_piece")
 
 

@@ -22,19 +22,21 @@ def convert_and_score(
     judge_prefix: DataFrame,
     gen_retry: RetryPolicy = GENERATE_ONCE,
     judge_retry: RetryPolicy = JUDGE_RETRY,
+    parallelism: int | None = None,
 ) -> DataFrame:
     """Activity entries for requests (``timestamp, input_text, target_level`` such as ``4-...``).
 
     Blank requests are left out. The result is ready for :func:`append_activity`.
     """
     usable = usable_requests(requests).withColumn("_level", parse_level("target_level"))
+    usable = usable.repartition(parallelism) if parallelism else usable
     prompts = rewrite_prompt_basic(usable, "input_text", "_level", None)
     converted = cut_lineage(
         rewritten(prompts, generator, gen_retry, clean=False)
         .drop("prompt", "reply", "attempts", "status", "error")
         .withColumnRenamed("generated_text", "output_text")
     )
-    judged = judge(converted, judge_model, judge_prefix, "output_text", judge_retry)
+    judged = judge(converted, judge_model, judge_prefix, "output_text", judge_retry, parallelism)
     scored = judged.withColumn("predicted_score", F.col("predicted_score").cast("int"))
     return mark_correct(scored, "predicted_score", "_level", "success").select(
         *[c for c in requests.columns if c not in ("output_text", "predicted_score", "success")],

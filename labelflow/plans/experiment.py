@@ -8,14 +8,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.replies import clean_rewrite, parse_integer
-from ..operators.inference import GENERATE_ONCE, JUDGE_RETRY, ModelSpec, RetryPolicy, generate, score_table
+from ..operators.inference import (
+    GENERATE_ONCE,
+    JUDGE_RETRY,
+    ModelSpec,
+    RetryPolicy,
+    generate,
+    score_table,
+    templated,
+)
 from ..operators.labels import mark_correct, with_mode
 from ..operators.metrics import accuracy_by
 from ..operators.prompts import (
+    JUDGE_SUFFIX,
     attach_examples,
     examples_by_level,
     judge_prefix,
-    judge_prompt,
     rewrite_prompt_basic,
     rewrite_prompt_data,
 )
@@ -39,9 +47,17 @@ def rewritten(df: DataFrame, model: ModelSpec, retry: RetryPolicy, clean: bool =
     return out.withColumn("generated_text", F.when(failed, "Error").otherwise(F.col("generated_text")))
 
 
-def judge(df: DataFrame, model: ModelSpec, prefix: DataFrame, text: str, retry: RetryPolicy = JUDGE_RETRY) -> DataFrame:
-    """Score ``text`` with the judge prompt and its integer parser."""
-    return score_table(df, model, lambda d: judge_prompt(d, prefix, text), parse_integer, retry)
+def judge(
+    df: DataFrame,
+    model: ModelSpec,
+    prefix: DataFrame,
+    text: str,
+    retry: RetryPolicy = JUDGE_RETRY,
+    parallelism: int | None = None,
+) -> DataFrame:
+    """Score ``text`` with the judge prompt and its integer parser. The one-row prefix goes to the workers once."""
+    shared = templated(model, prefix.first()[0] + JUDGE_SUFFIX[0], JUDGE_SUFFIX[1])
+    return score_table(df, shared, text, parse_integer, retry, parallelism)
 
 
 def experiment(
@@ -54,6 +70,7 @@ def experiment(
     prompt_types: dict[str, bool] = PROMPT_TYPES,
     gen_retry: RetryPolicy = GENERATE_ONCE,
     judge_retry: RetryPolicy = JUDGE_RETRY,
+    parallelism: int | None = None,
 ) -> DataFrame:
     """Result rows for each task, model and prompt type.
 
@@ -65,11 +82,13 @@ def experiment(
     by_level = examples_by_level(first_n_per_class(examples, "score", 30, ["id"]), ["id"])
 
     def score_originals(texts: DataFrame) -> DataFrame:
-        return cut_lineage(judge(texts, judge_model, prefix, "text", judge_retry).select("_key", "predicted_score"))
+        scored = judge(texts, judge_model, prefix, "text", judge_retry, parallelism)
+        return cut_lineage(scored.select("_key", "predicted_score"))
 
     with_scores = score_distinct(assign_ids(picked, ["task_id"]), "text", score_originals, ["task_id"])
     with_scores = with_scores.withColumn("original_score", F.col("original_score").cast("int"))
-    grid = experiment_grid(with_scores, list(models), prompt_types)
+    spread = with_scores.repartition(parallelism) if parallelism else with_scores
+    grid = experiment_grid(spread, list(models), prompt_types)
     basic = rewrite_prompt_basic(grid.where(~F.col("use_data")))
     data = rewrite_prompt_data(attach_examples(grid.where("use_data"), by_level)).drop("examples")
     prompts = basic.unionByName(data)

@@ -7,10 +7,10 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.inference import SCORER_RETRY, ModelSpec, RetryPolicy, score_table
+from ..operators.inference import SCORER_RETRY, ModelSpec, RetryPolicy, score_table, templated
 from ..operators.labels import to_scoring_input, valid_counts, valid_predictions
 from ..operators.metrics import accuracy, classification_report, confusion
-from ..operators.prompts import scoring_prefix, scoring_prompt
+from ..operators.prompts import SCORING_SUFFIX, scoring_prefix
 from ..operators.sampling import proportional_sample, stratified_split
 from ..sources.files import run_output
 
@@ -50,9 +50,9 @@ def scoring_run(
         examples = proportional_sample(examples, "score", "id", examples_n, seed)
     prefix = scoring_prefix(examples, ["id"], version)
     rows = split.where("part = 'test'").drop("part") if results is None else to_scoring_input(results)
-    scored = score_table(
-        rows, model, lambda df: scoring_prompt(df, prefix), retry=retry, parallelism=parallelism
-    ).drop("prompt")
+    # The shared part of the prompt goes to the workers once, the rows carry only their sentence.
+    shared = templated(model, prefix.first()[0] + SCORING_SUFFIX[0], SCORING_SUFFIX[1])
+    scored = score_table(rows, shared, "text", retry=retry, parallelism=parallelism)
     path = run_output(scored, base, run_id, by=())
     stored = dataset.sparkSession.read.parquet(path)
     counts = valid_counts(stored)
