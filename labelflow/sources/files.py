@@ -65,8 +65,12 @@ def _as_struct(schema: str) -> str:
 
 
 def read_scoring_csv(spark: SparkSession, path: str, schema: str = SCORING_CSV) -> DataFrame:
-    """Header CSV with quoted line breaks. Such a file cannot be split: one file is one task."""
-    return spark.read.schema(schema).options(**CSV, multiLine=True).csv(path)
+    """Header CSV with quoted line breaks. Such a file cannot be split: one file is one task.
+
+    Nothing between two commas is null, a quoted nothing is the empty text. They differ only when the null
+    marker, which the parser puts in for the former, is a text that no file holds.
+    """
+    return spark.read.schema(schema).options(**CSV, multiLine=True, nullValue="\x00").csv(path)
 
 
 def concat_datasets(*tables: DataFrame) -> DataFrame:
