@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .labels import CLASS_NAMES
 from .metrics import class_counts
-from .ranking import pieces_by_rank
+from .ranking import bucket_counts, pieces_by_rank
 
 CLASS_IDS = (0, 1, 2, 3)
 
@@ -28,14 +28,13 @@ def check_foldable(df: DataFrame, label: str, k: int, labels: tuple[int, ...] =
     return counts
 
 
-def fold_quotas(df: DataFrame, label: str, id_col: str, k: int) -> DataFrame:
+def fold_quotas(totals: DataFrame, label: str, k: int) -> DataFrame:
     """Cumulative rows of each class up to each fold but the last.
 
     Classes are laid end to end by first appearance (smallest id); place p of that line counts towards fold
     p modulo k, so sizes of a class differ by at most one between folds.
     """
-    totals = df.groupBy(label).agg(F.count("*").alias("n"), F.min(id_col).alias("_first"))
-    before = Window.partitionBy(F.lit(0)).orderBy("_first").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(F.lit(0)).orderBy("first").rowsBetween(Window.unboundedPreceding, -1)
     offset = F.coalesce(F.sum("n").over(before), F.lit(0))
 
     def members(f: int):
@@ -46,10 +45,25 @@ def fold_quotas(df: DataFrame, label: str, id_col: str, k: int) -> DataFrame:
     cuts, running = [], F.lit(0).cast("long")
     for f in range(k - 1):
         running = running + members(f)
-        cuts.append(F.struct(F.lit(f).alias("cut"), running.cast("long").alias("rank"), "n"))
+        cuts.append(F.struct(F.lit(f).alias("cut"), running.cast("long").alias("rank")))
     return totals.withColumn("_off", offset).select(label, F.inline(F.array(*cuts)))
 
 
+def _with_first(totals: DataFrame, df: DataFrame, label: str, id_col: str) -> DataFrame:
+    """Add each class's smallest id.
+
+    One aggregate per class over all rows: grouped by class, the minimum of a text id would make Spark sort
+    every row first.
+    """
+    rows = totals.collect()
+    lowest = [F.min(F.when(F.col(label) == r[label], F.col(id_col))).alias(f"_{i}") for i, r in enumerate(rows)]
+    if not lowest:
+        return totals.withColumn("first", F.lit(None))
+    found = df.agg(*lowest).first()
+    kinds = f"`{label}` {df.schema[label].dataType.simpleString()}, n long, first {df.schema[id_col].dataType.simpleString()}"
+    return df.sparkSession.createDataFrame([(*r, found[i]) for i, r in enumerate(rows)], kinds).coalesce(1)
+
+
 def stratified_kfold(
     df: DataFrame, label: str, id_col: str, k: int = 5, seed: int = 3407, out: str = "fold"
 ) -> DataFrame:
@@ -58,8 +72,12 @@ def stratified_kfold(
     Within a class the seeded hash order is cut into k runs of exactly those sizes, so a row's fold follows
     from comparing its own hash with k-1 cut-offs; the rows themselves are not shuffled.
     """
-    quotas = fold_quotas(df, label, id_col, k)
-    return pieces_by_rank(df, [label], id_col, quotas, k - 1, seed, out)
+    buckets = bucket_counts(df, [label], id_col, seed)
+    if buckets is None:
+        totals = df.groupBy(label).agg(F.count("*").alias("n"), F.min(id_col).alias("first"))
+    else:
+        totals = _with_first(buckets.totals(df), df, label, id_col)
+    return pieces_by_rank(df, [label], id_col, fold_quotas(totals, label, k), k - 1, seed, buckets, out)
 
 
 def fold_view(df: DataFrame, fold: int) -> DataFrame:

@@ -8,7 +8,8 @@ ever sorted together.
 
 from __future__ import annotations
 
-import math
+from collections import Counter
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Row, Window
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 from ..session import cut_lineage
 
 MAX_GROUPS = 10_000  # largest summary table (in rows) that is taken to the driver or broadcast
+DIGITS = 3  # hex digits of a bucket: 4096 buckets, which leaves some 10 million rows in one of 40 billion
 
 
 def seeded_hash(id_col: str, seed: int | str) -> Column:
@@ -42,7 +44,7 @@ def _bucket_offsets(keyed: DataFrame, by: list[str]) -> DataFrame:
 
 
 def stable_rank(
-    df: DataFrame, by: list[str], id_col: str, seed: int | str = 0, out: str = "rank", digits: int = 3
+    df: DataFrame, by: list[str], id_col: str, seed: int | str = 0, out: str = "rank", digits: int = DIGITS
 ) -> DataFrame:
     """Exact 1-based rank of every row inside its class, in seeded hash order.
 
@@ -59,57 +61,87 @@ def stable_rank(
     return ranked.withColumn(out, F.col("_lo") + F.col("_r")).select(*df.columns, out)
 
 
-def _digits_for(n: int) -> int:
-    """Hex digits that balance bucket count against bucket size: about sqrt(n) of each, 1 to 5 digits."""
-    return min(5, max(1, round(math.log(max(n, 1), 16) / 2)))
+@dataclass
+class BucketCounts:
+    """Rows per class and hash bucket of one table, small enough for the driver."""
+
+    by: list[str]
+    counts: dict[tuple, dict[str, int]]
+
+    def totals(self, df: DataFrame) -> DataFrame:
+        """``(*by, n)`` per class, as a local table."""
+        types = [f"`{k}` {df.schema[k].dataType.simpleString()}" for k in self.by]
+        rows = [(*group, sum(c.values())) for group, c in self.counts.items()]
+        return df.sparkSession.createDataFrame(rows, ", ".join([*types, "n long"])).coalesce(1)
+
+    def size(self) -> int:
+        return sum(sum(c.values()) for c in self.counts.values())
+
+    def merged(self) -> BucketCounts:
+        """The same rows taken as one class."""
+        together: Counter = Counter()
+        for c in self.counts.values():
+            together.update(c)
+        return BucketCounts([], {(): dict(together)})
+
+
+def bucket_counts(df: DataFrame, by: list[str], id_col: str, seed: int | str) -> BucketCounts | None:
+    """Count buckets in one narrow scan with map-side aggregation; None when there are too many classes."""
+    bucket = F.substring(seeded_hash(id_col, seed), 1, DIGITS).alias("_b")
+    rows = collect_bounded(df.groupBy(*by, bucket).agg(F.count("*").alias("_n")), MAX_GROUPS * 16)
+    if rows is None:
+        return None
+    out = BucketCounts(by, {})
+    for row in rows:
+        out.counts.setdefault(tuple(row[k] for k in by), {})[row["_b"]] = row["_n"]
+    return out
+
+
+def _locate(counts: dict[str, int], rank: int) -> tuple[str, int]:
+    """The bucket that holds a rank, and the rank inside it."""
+    for bucket in sorted(counts):
+        if rank <= counts[bucket]:
+            return bucket, rank
+        rank -= counts[bucket]
+    raise ValueError("rank beyond the class")
 
 
 def rank_cutoffs(
-    df: DataFrame, by: list[str], id_col: str, quotas: list[Row], seed: int | str
+    df: DataFrame, buckets: BucketCounts, id_col: str, quotas: list[Row], seed: int | str
 ) -> dict[tuple, dict[int, tuple]]:
-    """The (hash, id) key of the row at each wanted rank, per class (``(0,)`` without classes) and cut.
+    """The (hash, id) key of the row at each wanted rank, per class and cut.
 
-    ``quotas`` are rows ``(*by, cut, rank, n)``, where n is the class size. One narrow scan counts buckets with
-    map-side aggregation, a second one sorts only the buckets that hold a wanted rank. Rank 0 gives the
-    empty key, below all rows; a rank from the class size on gives a key above all rows.
+    ``quotas`` are rows ``(*by, cut, rank)``. One narrow scan keeps and sorts only the buckets that hold a wanted
+    rank, a thousandth of the rows or less. Rank 0 gives the empty key, below all rows; a rank from the
+    class size on gives a key above all rows.
     """
-    spark = df.sparkSession
-    keys: dict[tuple, dict[int, tuple]] = {}
-    wanted = []
-    one_class = not by
-    by = by or ["_all"]
-    df = df.withColumn("_all", F.lit(0)) if one_class else df
+    by, keys = buckets.by, {}
+    wanted: dict[tuple, list] = {}
     for q in quotas:
-        group = (0,) if one_class else tuple(q[k] for k in by)
+        group = tuple(q[k] for k in by)
         if q["rank"] <= 0:
             keys.setdefault(group, {})[q["cut"]] = ("", None)
-        elif q["rank"] >= q["n"]:
+        elif q["rank"] >= sum(buckets.counts[group].values()):
             keys.setdefault(group, {})[q["cut"]] = ("~", None)
         else:
-            wanted.append((*group, q["cut"], q["rank"]))
+            bucket, place = _locate(buckets.counts[group], q["rank"])
+            wanted.setdefault((*group, bucket), []).append((q["cut"], place))
     if not wanted:
         return keys
-    types = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in by)
-    digits = _digits_for(max(q["n"] for q in quotas))
-    keyed = df.select(*by, F.col(id_col).alias("_id"), seeded_hash(id_col, seed).alias("_h"))
-    keyed = keyed.withColumn("_b", F.substring("_h", 1, digits))
-    ranks = spark.createDataFrame(wanted, f"{types}, cut int, rank long")
-    places = (
-        _bucket_offsets(keyed.select(*by, "_b"), by)
-        .join(F.broadcast(ranks), by)
-        .where((F.col("rank") > F.col("_lo")) & (F.col("rank") <= F.col("_lo") + F.col("_n")))
-        .select(*by, "_b", "cut", (F.col("rank") - F.col("_lo")).alias("_need"))
-        .collect()
+    types = [f"`{k}` {df.schema[k].dataType.simpleString()}" for k in by]
+    # One row per wanted rank at most, so this table is as bounded as the quotas are.
+    targets = df.sparkSession.createDataFrame(
+        [(*k, v) for k, v in wanted.items()],
+        ", ".join([*types, "_b string", "_cuts array<struct<cut:int,place:long>>"]),
     )
-    # One row per wanted rank, so this table is as bounded as the quotas are.
-    targets = spark.createDataFrame(places, f"{types}, _b string, cut int, _need long")
-    buckets = targets.groupBy(*by, "_b").agg(F.collect_list(F.struct("cut", "_need")).alias("_cuts"))
+    keyed = df.select(*by, F.col(id_col).alias("_id"), seeded_hash(id_col, seed).alias("_h"))
     inside = Window.partitionBy(*by, "_b").orderBy("_h", "_id")
     found = (
-        keyed.join(F.broadcast(buckets), [*by, "_b"])
+        keyed.withColumn("_b", F.substring("_h", 1, DIGITS))
+        .join(F.broadcast(targets), [*by, "_b"])
         .withColumn("_r", F.row_number().over(inside))
         .withColumn("_cut", F.explode("_cuts"))
-        .where(F.col("_r") == F.col("_cut._need"))
+        .where(F.col("_r") == F.col("_cut.place"))
         .select(*by, F.col("_cut.cut").alias("cut"), "_h", "_id")
     )
     for row in found.collect():
@@ -124,27 +156,27 @@ def pieces_by_rank(
     quotas: DataFrame,
     cuts: int,
     seed: int | str,
+    buckets: BucketCounts | None,
     out: str = "piece",
 ) -> DataFrame:
     """Number of cut-offs that lie before each row: 0 up to the first wanted rank, then 1, and so on.
 
-    ``quotas`` holds ``(*by, cut, rank, n)``. The row data is not shuffled: the cut-offs (one row per class) are
-    looked up by a broadcast join and compared with the row's own hash. With more classes than ``MAX_GROUPS``
-    the full ranks are used and the quotas are joined by shuffle instead.
+    ``quotas`` holds ``(*by, cut, rank)``, ``buckets`` the counts that :func:`bucket_counts` gave. The row data is
+    not shuffled: the cut-offs (one row per class) are looked up by a broadcast join and compared with the
+    row's own hash. With too many classes for that, the full ranks are used and joined by shuffle.
     """
-    rows = collect_bounded(quotas, MAX_GROUPS * cuts)
     passed = lambda tests: reduce(Column.__add__, [t.cast("int") for t in tests])
-    if rows is None:
+    if buckets is None:
         wide = quotas.groupBy(*by).pivot("cut", list(range(cuts))).agg(F.max("rank"))
-        ranked = stable_rank(df, by, id_col, seed, out="_rank", digits=5).join(wide, by)
+        ranked = stable_rank(df, by, id_col, seed, out="_rank").join(wide, by)
         return ranked.withColumn(out, passed([F.col("_rank") > F.col(str(i)) for i in range(cuts)])).select(
             *df.columns, out
         )
 
-    found = rank_cutoffs(df, by, id_col, rows, seed)
+    found = rank_cutoffs(df, buckets, id_col, quotas.collect(), seed)
     hashed = df.withColumn("_h", seeded_hash(id_col, seed))
     if not by:
-        tests = [_beyond(F.lit(h), F.lit(i), id_col) for h, i in (found[(0,)][c] for c in range(cuts))]
+        tests = [_beyond(F.lit(h), F.lit(i), id_col) for h, i in (found[()][c] for c in range(cuts))]
         return hashed.withColumn(out, passed(tests)).select(*df.columns, out)
     id_type = df.schema[id_col].dataType.simpleString()
     types = [f"`{k}` {df.schema[k].dataType.simpleString()}" for k in by]

@@ -5,34 +5,43 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ranking import pieces_by_rank, seeded_hash
+from .ranking import BucketCounts, bucket_counts, pieces_by_rank, seeded_hash
 
-
-def _all_rows(totals: DataFrame) -> Window:
-    """A window over a class-count table: one row per class, never the data."""
-    return Window.partitionBy(F.lit(0)).orderBy(F.lit(0)).rowsBetween(
-        Window.unboundedPreceding, Window.unboundedFollowing
-    )
+ALL_CLASSES = (Window.unboundedPreceding, Window.unboundedFollowing)
 
 
 def class_totals(df: DataFrame, label: str) -> DataFrame:
     """Rows of each class, of all classes, and of the smallest class."""
-    totals = df.groupBy(label).agg(F.count("*").alias("n"))
-    w = _all_rows(totals)
+    return _with_sums(df.groupBy(label).agg(F.count("*").alias("n")))
+
+
+def _with_sums(totals: DataFrame) -> DataFrame:
+    """Add sums over a class-count table. The window holds one row per class, never the data."""
+    w = Window.partitionBy(F.lit(0)).rowsBetween(*ALL_CLASSES)
     return totals.withColumns({"total": F.sum("n").over(w), "smallest": F.min("n").over(w)})
 
 
-def holdout_quotas(df: DataFrame, label: str, test_share: float) -> DataFrame:
+def _counted(df: DataFrame, label: str, id_col: str, seed: int | str) -> tuple[BucketCounts | None, DataFrame]:
+    """Bucket counts and class totals from one scan; with very many classes only the totals."""
+    buckets = bucket_counts(df, [label], id_col, seed)
+    totals = class_totals(df, label) if buckets is None else _with_sums(buckets.totals(df))
+    return buckets, totals
+
+
+def _merged(df: DataFrame, buckets: BucketCounts | None, id_col: str, seed: int | str) -> BucketCounts:
+    return bucket_counts(df, [], id_col, seed) if buckets is None else buckets.merged()
+
+
+def holdout_quotas(totals: DataFrame, label: str, test_share: float) -> DataFrame:
     """Train rows per class by largest remainder; equal remainders go to the lower label."""
-    totals = class_totals(df, label)
     train = F.col("total") - F.ceil(F.col("total") * F.lit(test_share))
     exact = F.col("n") * F.col("train")
     shares = totals.withColumn("train", train).withColumns(
         {"base": F.floor(exact / F.col("total")), "rest": exact % F.col("total")}
     )
     by_rest = Window.partitionBy(F.lit(0)).orderBy(F.desc("rest"), F.asc(label))
-    left = F.col("train") - F.sum("base").over(_all_rows(shares))
-    return shares.withColumn("quota", F.col("base") + (F.row_number().over(by_rest) <= left).cast("long"))
+    left = F.col("train") - F.sum("base").over(Window.partitionBy(F.lit(0)).rowsBetween(*ALL_CLASSES))
+    return shares.withColumn("rank", F.col("base") + (F.row_number().over(by_rest) <= left).cast("long"))
 
 
 def stratified_split(
@@ -42,26 +51,33 @@ def stratified_split(
 
     With a class of fewer than two rows the split is random over all rows instead.
     """
-    quotas = holdout_quotas(df, label, test_share)
-    first = quotas.select("smallest", "train", "total").first()
+    buckets, totals = _counted(df, label, id_col, seed)
+    quotas = holdout_quotas(totals, label, test_share)
+    first = quotas.select("smallest", "train").first()
     if first is None:
         return df.withColumn(out, F.lit("train"))
     if first["smallest"] >= 2:
-        wanted = quotas.select(label, F.lit(0).alias("cut"), F.col("quota").alias("rank"), "n")
-        marked = pieces_by_rank(df, [label], id_col, wanted, 1, seed, "_piece")
+        marked = pieces_by_rank(df, [label], id_col, quotas.withColumn("cut", F.lit(0)), 1, seed, buckets, "_piece")
     else:
-        marked = pieces_by_rank(df, [], id_col, _one_cut(df, first["train"], first["total"]), 1, seed, "_piece")
+        together = _merged(df, buckets, id_col, seed)
+        marked = pieces_by_rank(df, [], id_col, _one_cut(df, first["train"]), 1, seed, together, "_piece")
     return marked.withColumn(out, F.when(F.col("_piece") == 0, "train").otherwise("test")).drop("_piece")
 
 
-def _one_cut(df: DataFrame, rank: int, total: int) -> DataFrame:
-    return df.sparkSession.createDataFrame([(0, int(rank), int(total))], "cut int, rank long, n long")
+def _one_cut(df: DataFrame, rank: int) -> DataFrame:
+    return df.sparkSession.createDataFrame([(0, int(rank))], "cut int, rank long")
+
+
+def _first_by_hash(df: DataFrame, id_col: str, n: int, seed: int | str, buckets: BucketCounts) -> DataFrame:
+    if not buckets.counts or n >= buckets.size():
+        return df
+    picked = pieces_by_rank(df, [], id_col, _one_cut(df, n), 1, seed, buckets, "_piece")
+    return picked.where(F.col("_piece") == 0).drop("_piece")
 
 
 def sample_n(df: DataFrame, id_col: str, n: int, seed: int) -> DataFrame:
     """min(n, rows) rows without replacement. Works for any n: nothing is gathered in one place."""
-    picked = pieces_by_rank(df, [], id_col, _one_cut(df, n, df.count()), 1, seed, "_piece")
-    return picked.where(F.col("_piece") == 0).drop("_piece")
+    return _first_by_hash(df, id_col, n, seed, bucket_counts(df, [], id_col, seed))
 
 
 def proportional_sample(df: DataFrame, label: str, id_col: str, n: int, seed: int = 42) -> DataFrame:
@@ -70,22 +86,17 @@ def proportional_sample(df: DataFrame, label: str, id_col: str, n: int, seed: in
     All rows when n covers them; plain random when a class has fewer than two rows; a second random cut
     when rounding gave more than n.
     """
-    totals = class_totals(df, label)
+    buckets, totals = _counted(df, label, id_col, seed)
     share = F.greatest(F.lit(1), F.bround(F.lit(n) * F.col("n") / F.col("total")).cast("long"))
-    quotas = totals.withColumn("quota", share)
-    facts = quotas.agg(F.max("total").alias("total"), F.min("n").alias("smallest"), F.sum("quota").alias("drawn"))
-    fact = facts.first()
+    quotas = totals.withColumn("rank", share).withColumn("cut", F.lit(0))
+    fact = quotas.agg(F.max("total").alias("total"), F.min("n").alias("smallest"), F.sum("rank").alias("drawn")).first()
     if fact["total"] is None or n >= fact["total"]:
         return df
     if fact["smallest"] < 2:
-        return sample_n(df, id_col, n, seed)
-    wanted = quotas.select(label, F.lit(0).alias("cut"), F.col("quota").alias("rank"), "n")
-    picked = pieces_by_rank(df, [label], id_col, wanted, 1, seed, "_piece")
+        return _first_by_hash(df, id_col, n, seed, _merged(df, buckets, id_col, seed))
+    picked = pieces_by_rank(df, [label], id_col, quotas, 1, seed, buckets, "_piece")
     picked = picked.where(F.col("_piece") == 0).drop("_piece")
-    if fact["drawn"] <= n:
-        return picked
-    again = pieces_by_rank(picked, [], id_col, _one_cut(df, n, fact["drawn"]), 1, f"{seed}:recut", "_piece")
-    return again.where(F.col("_piece") == 0).drop("_piece")
+    return picked if fact["drawn"] <= n else sample_n(picked, id_col, n, f"{seed}:recut")
 
 
 def first_n_per_class(

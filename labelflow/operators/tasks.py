@@ -56,6 +56,6 @@ def score_distinct(
     merged before anything is shuffled, the join goes by digest, and texts with very many copies are salted.
     """
     keyed = df.withColumn("_key", digest(col))
-    texts = keyed.groupBy("_key").agg(F.any_value(col).alias(col))
+    texts = keyed.select("_key", col).distinct()
     scored = scorer(texts).select("_key", F.col("predicted_score").alias(out))
     return spread_lookup(keyed, scored, "_key", spread_by).drop("_key")
