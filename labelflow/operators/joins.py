@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .ranking import collect_bounded
-
 HOT_SHARE = 0.001  # a key with more than this share of all rows is split; there are at most 1000
 SMALL = 100_000  # tables up to this size fit one task whatever their skew
 
@@ -27,19 +25,21 @@ def spread_lookup(
 ) -> DataFrame:
     """Join ``rows`` to ``table`` (unique on ``on``), salting the keys that are hot in ``rows``.
 
-    Hot keys are counted first with map-side aggregation. At most ``1 / hot_share`` keys can be hot; each
-    gets as many salts as it has multiples of that share, and only its row of ``table`` is copied. A row's
-    salt is a hash of ``spread_by``, so a task that is run again picks the same one.
+    Hot keys are found first by a frequent-items sketch: one pass, a few thousand counters per task, no
+    shuffle of keys. At most ``1 / hot_share`` keys can be hot; each gets as many salts as it has multiples of
+    that share, and only its row of ``table`` is copied. The sketch decides only where rows go, never which
+    rows match. A row's salt is a hash of ``spread_by``, so a task that is run again picks the same one.
     """
-    counts = rows.groupBy(on).agg(F.count("*").alias("_n"))
-    total = rows.count()
-    threshold = max(1.0, total * hot_share)
-    hot = collect_bounded(counts.where(F.col("_n") > threshold)) if total > small else []
+    most = int(1 / hot_share)
+    sketch = F.expr(f"approx_top_k(`{on}`, {most}, {most * 10})")
+    found = rows.agg(F.count("*").alias("total"), sketch.alias("top")).first()
+    threshold = max(1.0, found["total"] * hot_share)
+    hot = [] if found["total"] <= small else [r for r in found["top"] if r["count"] > threshold]
     if not hot:
         return rows.join(table, on, how)
     key_type = rows.schema[on].dataType.simpleString()
     salts = rows.sparkSession.createDataFrame(
-        [(r[on], int(r["_n"] / threshold) + 1) for r in hot if r[on] is not None],
+        [(r["item"], int(r["count"] / threshold) + 1) for r in hot if r["item"] is not None],
         f"`{on}` {key_type}, _salts int",
     )
     # Null keys match nothing, so they may go anywhere.

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import non_empty
+from ..schemas import PAIRED_EXAMPLE
 
 MAX_EXAMPLES = 10_000  # a prompt prefix with more examples than this is refused
 
@@ -23,6 +24,19 @@ HARD_NEGATIVES = (
     "容易弄混的例子：\n「會議改到三點。」→ 2\n「會議改到三點，辛苦你配合了。」→ 1\n"
     "「三點開會，別再遲到！」→ 3\n「三點開會，你這次打算幾點到呢？」→ 4"
 )
+# Ten originals with a rewrite per level, for prompts without a data set of their own.
+PAIRED_EXAMPLES = (
+    ("鑰匙還我", "方便的話，鑰匙可以還我嗎？謝謝你。", "請把鑰匙還給我。", "鑰匙拿來，講幾次了！", "這把鑰匙看來是你家的了。"),
+    ("音樂關小聲", "不好意思，音樂可以小聲一點嗎？", "音樂請調小聲。", "音樂吵死了，關掉！", "謝謝你請全棟樓聽演唱會。"),
+    ("垃圾沒倒", "今天垃圾還沒倒，我們一起處理好嗎？", "垃圾還沒有倒。", "垃圾又沒倒，你是住旅館嗎！", "你在培養垃圾的年份吧。"),
+    ("借我充電線", "可以跟你借一下充電線嗎？麻煩了。", "我要借充電線。", "充電線拿來，快點。", "你的充電線是傳家寶，看一眼都不行。"),
+    ("車停歪了", "車子好像停得有點斜，要不要我幫你看？", "車子沒有停在格線內。", "車停這樣別人怎麼過！", "停車格畫得太保守，配不上你。"),
+    ("湯太鹹", "湯很香，下次鹽少一點會更棒喔。", "湯偏鹹。", "湯鹹成這樣誰喝得下！", "這碗湯讓我懂了海的心情。"),
+    ("排隊不要插隊", "不好意思，隊伍的尾端在後面喔。", "請到後面排隊。", "別插隊，滾到後面去！", "原來隊伍是從你開始算的。"),
+    ("字太小看不清", "字可以幫忙放大一點嗎？謝謝。", "字太小，看不清楚。", "字這麼小是給誰看的！", "字這麼小，是怕我們看懂嗎。"),
+    ("電話沒接", "剛剛打給你沒接到，一切都好吧？", "你沒有接電話。", "打了五通都不接，搞什麼！", "你的手機大概只是裝飾品。"),
+    ("下雨忘了帶傘", "下雨了，沒帶傘的話跟我一起撐吧。", "外面下雨，你沒有帶傘。", "說了會下雨還不帶傘！", "你是想免費洗個澡吧。"),
+)
 EXAMPLES_HEADER = "參考例句：\n"
 SCORING_SUFFIX = ("\n請為這個句子評分：\n「", "」\n只回答 1、2、3、4 其中一個數字。")
 JUDGE_SCALE = SCALES[1]
@@ -100,6 +114,12 @@ def paired_line() -> Column:
     return F.concat(head, *[level(n) for n in (1, 2, 3, 4)], F.lit("\n"))
 
 
+def default_pairs(spark: SparkSession) -> DataFrame:
+    """The built-in paired examples: ``position, original, by_level``."""
+    rows = [(i, p[0], dict(enumerate(p[1:], 1))) for i, p in enumerate(PAIRED_EXAMPLES)]
+    return spark.createDataFrame(rows, f"position int, {PAIRED_EXAMPLE}")
+
+
 def scale_text(version: int = 1, override: str | None = None) -> str:
     if override is not None:
         return override

@@ -12,7 +12,7 @@ from ..operators.labels import to_scoring_input, valid_counts, valid_predictions
 from ..operators.metrics import accuracy, classification_report, confusion
 from ..operators.prompts import SCORING_SUFFIX, scoring_prefix
 from ..operators.sampling import proportional_sample, stratified_split
-from ..sources.files import run_output
+from ..sources.files import report_lines, run_output, write_report
 
 
 @dataclass
@@ -68,3 +68,12 @@ def scoring_run(
         confusion(valid, *pair),
         classification_report(valid, *pair, labels=(1, 2, 3, 4)),
     )
+
+
+def write_scoring_report(result: ScoringResult, settings: dict[str, str], prefix: str, path: str) -> str:
+    """Text report of a run: settings, start of the shared prompt, accuracy, confusion matrix."""
+    cells = {(r["gold"], r["pred"]): r["n"] for r in result.matrix.collect()}
+    labels = sorted({g for g, _ in cells})
+    matrix = [[cells[g, p] for p in labels] for g in labels]
+    percent = result.accuracy.first()["accuracy_percent"]
+    return write_report(result.scored.sparkSession, report_lines(settings, prefix, percent, matrix), path)

@@ -50,3 +50,16 @@ def test_long_texts_keep_a_finite_loss(spark, rows):
     model = L.train_fold(folded, 0).model
     long = spark.createDataFrame([(1, WORDS[0] * 20_000, 3)], "id long, text string, label int")
     assert 0 < L.predictions(model, long).first()["loss"] < float("inf")
+
+
+def test_whole_cross_validation_run(spark, rows, tmp_path):
+    from labelflow.plans.crossval import cross_validation_run
+
+    records = rows.selectExpr("id", "text", "label + 1 AS score")
+    extra = spark.createDataFrame([(1, "會議", "2"), (2, "", "2"), (3, "x", "9")], "id long, sentence string, label string")
+    only = cross_validation_run(records, extra, k=3, split_only=True)
+    assert only.dropped["dropped"] == 2
+    assert sorted(r["test_size"] for r in only.sizes.collect()) == [16, 16, 17]
+    full = cross_validation_run(records, extra, k=3, folds=(1,), model_dir=str(tmp_path))
+    assert full.metrics.first()["eval_accuracy"] == 1.0
+    assert (tmp_path / "fold_1").exists()

@@ -2,7 +2,7 @@ import pytest
 from labelflow.operators import inference as I
 from labelflow.operators.prompts import fixed_prompt
 from labelflow.plans.experiment import experiment, store_and_compare
-from labelflow.plans.scoring import scoring_run
+from labelflow.plans.scoring import scoring_run, write_scoring_report
 from pyspark.sql import functions as F
 
 
@@ -95,6 +95,8 @@ def test_scoring_run_of_a_result_table(spark, tmp_path):
     assert run.counts.first()["valid"] == 2
     assert run.accuracy.first()["rows"] == 2
     assert run.report.count() == 7
+    path = write_scoring_report(run, {"model": "hash"}, "prefix", str(tmp_path / "report"))
+    assert "model: hash" in [r["value"] for r in spark.read.text(path).collect()]
     with pytest.raises(ValueError, match="no valid"):
         scoring_run(data, I.ModelSpec(I.NullModel), str(tmp_path), retry=I.RetryPolicy(tries=1, base_delay=0))
 

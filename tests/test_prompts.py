@@ -69,3 +69,9 @@ def test_instruction_nulls_are_empty(spark):
     df = spark.createDataFrame([("do", None, None)], "instruction string, input string, output string")
     assert one(E.instruction_text(df)) == E.INSTRUCTION % ("do", "", "")
     assert "%" not in one(E.instruction_text(df))
+
+
+def test_built_in_pairs(spark):
+    prefix = E.scoring_prefix(E.default_pairs(spark), ["position"]).first()[0]
+    assert prefix.count("原句：") == 10
+    assert prefix.index(E.PAIRED_EXAMPLES[0][0]) < prefix.index(E.PAIRED_EXAMPLES[9][0])
