@@ -137,6 +137,23 @@ def templated(model: ModelSpec, before: str, after: str) -> ModelSpec:
     return ModelSpec(TemplatedModel, (model, before, after))
 
 
+class RoutedModel:
+    """Several models behind one, chosen per row by the setting ``model``; each is built when first asked."""
+
+    def __init__(self, *specs: tuple[str, ModelSpec]):
+        self.specs, self.built = dict(specs), {}
+
+    def generate(self, prompt: str, model: str, **settings) -> str | None:
+        if model not in self.built:
+            self.built[model] = self.specs[model].build()
+        return self.built[model].generate(prompt, **settings)
+
+
+def routed(models: dict[str, ModelSpec]) -> ModelSpec:
+    """One spec for a table whose ``model`` column (passed as a setting) names the model of each row."""
+    return ModelSpec(RoutedModel, tuple(models.items()))
+
+
 @lru_cache(maxsize=8)
 def _built(spec: ModelSpec) -> Model:
     """Models live as long as the Python worker, not just for one task."""

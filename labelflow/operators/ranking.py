@@ -49,15 +49,15 @@ def stable_rank(
     """Exact 1-based rank of every row inside its class, in seeded hash order.
 
     The offset table has at most ``16 ** digits`` rows per class and is joined on the keys the window is
-    already partitioned by, so it adds no shuffle of the data and needs no broadcast. Classes must not be
-    null.
+    already partitioned by, so it adds no shuffle of the data and needs no broadcast. Rows without a class
+    get no rank.
     """
     keys = by or ["_all"]
     keyed = df.withColumn("_h", seeded_hash(id_col, seed)).withColumn("_b", F.substring("_h", 1, digits))
     keyed = keyed if by else keyed.withColumn("_all", F.lit(0))
     inside = Window.partitionBy(*keys, "_b").orderBy("_h", id_col)
     offsets = _bucket_offsets(keyed.select(*keys, "_b"), keys).drop("_n")
-    ranked = keyed.withColumn("_r", F.row_number().over(inside)).join(offsets, [*keys, "_b"])
+    ranked = keyed.withColumn("_r", F.row_number().over(inside)).join(offsets, [*keys, "_b"], "left")
     return ranked.withColumn(out, F.col("_lo") + F.col("_r")).select(*df.columns, out)
 
 
@@ -128,17 +128,17 @@ def rank_cutoffs(
             wanted.setdefault((*group, bucket), []).append((q["cut"], place))
     if not wanted:
         return keys
-    types = [f"`{k}` {df.schema[k].dataType.simpleString()}" for k in by]
+    types = _key_types(df, by)
     # One row per wanted rank at most, so this table is as bounded as the quotas are.
     targets = df.sparkSession.createDataFrame(
         [(*k, v) for k, v in wanted.items()],
-        ", ".join([*types, "_b string", "_cuts array<struct<cut:int,place:long>>"]),
+        ", ".join([*types, "_kb string", "_cuts array<struct<cut:int,place:long>>"]),
     )
     keyed = df.select(*by, F.col(id_col).alias("_id"), seeded_hash(id_col, seed).alias("_h"))
     inside = Window.partitionBy(*by, "_b").orderBy("_h", "_id")
     found = (
         keyed.withColumn("_b", F.substring("_h", 1, DIGITS))
-        .join(F.broadcast(targets), [*by, "_b"])
+        .join(F.broadcast(targets), (F.col("_b") == F.col("_kb")) & _same_class(by))
         .withColumn("_r", F.row_number().over(inside))
         .withColumn("_cut", F.explode("_cuts"))
         .where(F.col("_r") == F.col("_cut.place"))
@@ -179,13 +179,22 @@ def pieces_by_rank(
         tests = [_beyond(F.lit(h), F.lit(i), id_col) for h, i in (found[()][c] for c in range(cuts))]
         return hashed.withColumn(out, passed(tests)).select(*df.columns, out)
     id_type = df.schema[id_col].dataType.simpleString()
-    types = [f"`{k}` {df.schema[k].dataType.simpleString()}" for k in by]
+    types = _key_types(df, by)
     types += [f"_h{c} string, _id{c} {id_type}" for c in range(cuts)]
     table = df.sparkSession.createDataFrame(
         [(*k, *[v for c in range(cuts) for v in found[k][c]]) for k in found], ", ".join(types)
     )
     tests = [_beyond(F.col(f"_h{c}"), F.col(f"_id{c}"), id_col) for c in range(cuts)]
-    return hashed.join(F.broadcast(table), by).withColumn(out, passed(tests)).select(*df.columns, out)
+    return hashed.join(F.broadcast(table), _same_class(by)).withColumn(out, passed(tests)).select(*df.columns, out)
+
+
+def _key_types(df: DataFrame, by: list[str]) -> list[str]:
+    return [f"_k{i} {df.schema[k].dataType.simpleString()}" for i, k in enumerate(by)]
+
+
+def _same_class(by: list[str]) -> Column:
+    """Class columns equal those of a look-up table; rows without a class are a class of their own."""
+    return reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(by)], F.lit(True))
 
 
 def _beyond(cut_hash: Column, cut_id: Column, id_col: str) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ranking import BucketCounts, bucket_counts, pieces_by_rank, seeded_hash
+from .ranking import MAX_GROUPS, BucketCounts, bucket_counts, pieces_by_rank, seeded_hash
 
 ALL_CLASSES = (Window.unboundedPreceding, Window.unboundedFollowing)
 
@@ -102,14 +102,21 @@ def proportional_sample(df: DataFrame, label: str, id_col: str, n: int, seed: in
 def first_n_per_class(
     df: DataFrame, label: str, n: int, order: list[str], labels: tuple[int, ...] | None = (1, 2, 3, 4)
 ) -> DataFrame:
-    """First n rows of each class in ``order``, with their rank.
+    """First n rows of each class in ``order`` (unique per row), with their rank.
 
     The rank filter is pushed below the shuffle as a per-task group limit, so a class sends at most n rows
-    per task, whatever its size.
+    per task, whatever its size. Only label and order columns are sorted; the chosen keys then pick the
+    whole rows in a second narrow scan.
     """
     kept = df.where(F.col(label).isin(*labels)) if labels else df
-    ranked = kept.withColumn("rn", F.row_number().over(Window.partitionBy(label).orderBy(*order)))
-    return ranked.where(F.col("rn") <= n)
+    keys = kept.select(label, *order)
+    ranked = keys.withColumn("rn", F.row_number().over(Window.partitionBy(label).orderBy(*order)))
+    top = ranked.where(F.col("rn") <= n)
+    if set(df.columns) == set(keys.columns):
+        return top.select(*df.columns, "rn")
+    # At most n rows per listed label; without a list Spark decides by the size it finds.
+    bounded = labels is not None and n * len(labels) <= MAX_GROUPS
+    return kept.join(F.broadcast(top) if bounded else top, [label, *order]).select(*df.columns, "rn")
 
 
 def few_shot_sets(

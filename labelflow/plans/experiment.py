@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +12,7 @@ from ..operators.inference import (
     ModelSpec,
     RetryPolicy,
     generate,
+    routed,
     score_table,
     templated,
 )
@@ -39,9 +38,11 @@ COLUMNS = (
 )
 
 
-def rewritten(df: DataFrame, model: ModelSpec, retry: RetryPolicy, clean: bool = True) -> DataFrame:
+def rewritten(
+    df: DataFrame, model: ModelSpec, retry: RetryPolicy, clean: bool = True, settings: tuple[str, ...] = ()
+) -> DataFrame:
     """Generate and clean; a failed call gives the text ``Error``."""
-    answered = generate(df, model, retry=retry)
+    answered = generate(df, model, retry=retry, settings=settings)
     out = clean_rewrite(answered) if clean else answered.withColumn("generated_text", F.col("reply"))
     failed = F.col("status").isin("failed", "exhausted")
     return out.withColumn("generated_text", F.when(failed, "Error").otherwise(F.col("generated_text")))
@@ -89,12 +90,13 @@ def experiment(
     with_scores = with_scores.withColumn("original_score", F.col("original_score").cast("int"))
     spread = with_scores.repartition(parallelism) if parallelism else with_scores
     grid = experiment_grid(spread, list(models), prompt_types)
-    basic = rewrite_prompt_basic(grid.where(~F.col("use_data")))
-    data = rewrite_prompt_data(attach_examples(grid.where("use_data"), by_level)).drop("examples")
-    prompts = basic.unionByName(data)
-    parts = [rewritten(prompts.where(F.col("model") == m), spec, gen_retry) for m, spec in models.items()]
+    both = rewrite_prompt_data(attach_examples(rewrite_prompt_basic(grid, out="_basic"), by_level), out="_data")
+    prompts = both.withColumn("prompt", F.when(F.col("use_data"), F.col("_data")).otherwise(F.col("_basic")))
+    prompts = prompts.drop("_basic", "_data", "examples")
     generated = cut_lineage(
-        reduce(DataFrame.unionByName, parts).drop("prompt", "reply", "attempts", "status", "error")
+        rewritten(prompts, routed(models), gen_retry, settings=("model",)).drop(
+            "prompt", "reply", "attempts", "status", "error"
+        )
     )
     judged = judge(generated, judge_model, prefix, "generated_text", judge_retry)
     named = judged.withColumnsRenamed({"text": "original_text", "target": "target_level"})
