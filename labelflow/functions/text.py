@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import sys
 import unicodedata
+from functools import lru_cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -11,9 +12,13 @@ from pyspark.sql import functions as F
 # Derived from the rule "str.isspace()", not typed in.
 WHITESPACE = "".join(c for c in map(chr, range(0x10000)) if c.isspace())
 
-_DECIMALS = [c for c in map(chr, range(128, sys.maxunicode + 1)) if unicodedata.category(c) == "Nd"]
-_DECIMAL_FROM = "".join(_DECIMALS)
-_DECIMAL_TO = "".join(str(unicodedata.decimal(c)) for c in _DECIMALS)
+
+@lru_cache(maxsize=1)
+def _decimals() -> tuple[str, str]:
+    """All Unicode decimal digits beyond ASCII, and the ASCII digit each stands for."""
+    found = [c for c in map(chr, range(128, sys.maxunicode + 1)) if unicodedata.category(c) == "Nd"]
+    return "".join(found), "".join(str(unicodedata.decimal(c)) for c in found)
+
 
 LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 SPACE_CLASS = r"[\s\x1c-\x1f]"
@@ -44,7 +49,7 @@ def split_lines(c: Column | str) -> Column:
 
 def ascii_digits(c: Column | str) -> Column:
     """Map every Unicode decimal digit to 0-9, so that a cast can read it."""
-    return F.translate(as_column(c), _DECIMAL_FROM, _DECIMAL_TO)
+    return F.translate(as_column(c), *_decimals())
 
 
 def preview(c: Column | str, n: int) -> Column:

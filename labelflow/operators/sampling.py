@@ -108,6 +108,7 @@ def first_n_per_class(
     per task, whatever its size. Only label and order columns are sorted; the chosen keys then pick the
     whole rows in a second narrow scan.
     """
+    df = df.drop("rn")  # of an earlier selection
     kept = df.where(F.col(label).isin(*labels)) if labels else df
     keys = kept.select(label, *order)
     ranked = keys.withColumn("rn", F.row_number().over(Window.partitionBy(label).orderBy(*order)))
