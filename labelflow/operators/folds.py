@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .labels import CLASS_NAMES
 from .metrics import class_counts
-from .ranking import bucket_counts, pieces_by_rank
+from .ranking import BucketCounts, bucket_counts, pieces_by_rank
 
 CLASS_IDS = (0, 1, 2, 3)
 
@@ -49,17 +50,21 @@ def fold_quotas(totals: DataFrame, label: str, k: int) -> DataFrame:
     return totals.withColumn("_off", offset).select(label, F.inline(F.array(*cuts)))
 
 
-def _with_first(totals: DataFrame, df: DataFrame, label: str, id_col: str) -> DataFrame:
-    """Add each class's smallest id.
+def _with_first(buckets: BucketCounts, df: DataFrame, label: str, id_col: str) -> DataFrame:
+    """Class totals with each class's smallest id.
 
-    One aggregate per class over all rows: grouped by class, the minimum of a text id would make Spark sort
-    every row first.
+    For text ids it takes a scan of its own, with one aggregate per class instead of groups, so that no sort is
+    needed.
     """
+    totals = buckets.totals(df)
     rows = totals.collect()
-    lowest = [F.min(F.when(F.col(label) == r[label], F.col(id_col))).alias(f"_{i}") for i, r in enumerate(rows)]
-    if not lowest:
+    if not rows:
         return totals.withColumn("first", F.lit(None))
-    found = df.agg(*lowest).first()
+    if buckets.first:
+        found = [buckets.first[(r[label],)] for r in rows]
+    else:
+        same = lambda value: F.col(label).eqNullSafe(F.lit(value))
+        found = df.agg(*[F.min(F.when(same(r[label]), F.col(id_col))).alias(f"_{i}") for i, r in enumerate(rows)]).first()
     kinds = f"`{label}` {df.schema[label].dataType.simpleString()}, n long, first {df.schema[id_col].dataType.simpleString()}"
     return df.sparkSession.createDataFrame([(*r, found[i]) for i, r in enumerate(rows)], kinds).coalesce(1)
 
@@ -72,11 +77,12 @@ def stratified_kfold(
     Within a class the seeded hash order is cut into k runs of exactly those sizes, so a row's fold follows
     from comparing its own hash with k-1 cut-offs; the rows themselves are not shuffled.
     """
-    buckets = bucket_counts(df, [label], id_col, seed)
+    fixed_width = not isinstance(df.schema[id_col].dataType, (T.StringType, T.BinaryType))
+    buckets = bucket_counts(df, [label], id_col, seed, with_first=fixed_width)
     if buckets is None:
         totals = df.groupBy(label).agg(F.count("*").alias("n"), F.min(id_col).alias("first"))
     else:
-        totals = _with_first(buckets.totals(df), df, label, id_col)
+        totals = _with_first(buckets, df, label, id_col)
     return pieces_by_rank(df, [label], id_col, fold_quotas(totals, label, k), k - 1, seed, buckets, out)
 
 

@@ -9,7 +9,7 @@ ever sorted together.
 from __future__ import annotations
 
 from collections import Counter
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Row, Window
@@ -67,6 +67,7 @@ class BucketCounts:
 
     by: list[str]
     counts: dict[tuple, dict[str, int]]
+    first: dict[tuple, object] = field(default_factory=dict)
 
     def totals(self, df: DataFrame) -> DataFrame:
         """``(*by, n)`` per class, as a local table."""
@@ -85,15 +86,25 @@ class BucketCounts:
         return BucketCounts([], {(): dict(together)})
 
 
-def bucket_counts(df: DataFrame, by: list[str], id_col: str, seed: int | str) -> BucketCounts | None:
-    """Count buckets in one narrow scan with map-side aggregation; None when there are too many classes."""
+def bucket_counts(
+    df: DataFrame, by: list[str], id_col: str, seed: int | str, with_first: bool = False
+) -> BucketCounts | None:
+    """Count buckets in one narrow scan with map-side aggregation; None when there are too many classes.
+
+    ``with_first`` also finds each class's smallest id, which only suits ids of fixed width: the minimum of a
+    text would make Spark sort every row first.
+    """
     bucket = F.substring(seeded_hash(id_col, seed), 1, DIGITS).alias("_b")
-    rows = collect_bounded(df.groupBy(*by, bucket).agg(F.count("*").alias("_n")), MAX_GROUPS * 16)
+    sums = [F.count("*").alias("_n"), *([F.min(id_col).alias("_first")] if with_first else [])]
+    rows = collect_bounded(df.groupBy(*by, bucket).agg(*sums), MAX_GROUPS * 16)
     if rows is None:
         return None
     out = BucketCounts(by, {})
     for row in rows:
-        out.counts.setdefault(tuple(row[k] for k in by), {})[row["_b"]] = row["_n"]
+        group = tuple(row[k] for k in by)
+        out.counts.setdefault(group, {})[row["_b"]] = row["_n"]
+        if with_first:
+            out.first[group] = min(out.first.get(group, row["_first"]), row["_first"])
     return out
 
 
