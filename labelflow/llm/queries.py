@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decision_lists, line_dedup
+from . import byte_bpe, decision_lists, line_dedup, secret_ledger
 from .common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -60,3 +60,29 @@ def line_dedup_query(spark: SparkSession, folder: str) -> DataFrame:
         F.col(n_dropped).alias("n_dropped"),
         sha256(F.col(kept)).alias("kept_sha256"),
     )
+
+
+def tokenizer() -> tuple[bytes, str]:
+    import public_tokenizers
+
+    return byte_bpe.read_vocabulary(public_tokenizers.path("byte_bpe_50k.tiktoken")), public_tokenizers.PATTERN
+
+
+@query("op6_byte_bpe")
+def byte_bpe_query(spark: SparkSession, folder: str) -> DataFrame:
+    ranks, pattern = tokenizer()
+    return byte_bpe.encode_table(documents(spark, folder), ranks, pattern, with_ids=False)
+
+
+@query("op8_secret_scan")
+def secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    found = secret_ledger.find_secrets(documents(spark, folder))
+    spans = F.col("spans")
+    base = ["assign", "access", "hex"]
+    counts = [F.size(F.filter(spans, lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{k}") for k in base]
+    return found.select(
+        "doc_id",
+        *counts,
+        sha256(secret_ledger.listed(spans, base)).alias("base_sha256"),
+        secret_ledger.listed(spans).alias("spans"),
+    )
