@@ -79,7 +79,8 @@ def secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     found = secret_ledger.find_secrets(documents(spark, folder))
     spans = F.col("spans")
     base = ["assign", "access", "hex"]
-    counts = [F.size(F.filter(spans, lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{k}") for k in base]
+    of = lambda kind: F.filter(spans, lambda x: x["kind"] == kind)
+    counts = [F.size(of(kind)).cast("long").alias(f"n_{kind}") for kind in base]
     return found.select(
         "doc_id",
         *counts,
