@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decision_lists, line_dedup, secret_ledger
-from .common import documents
+from ..session import scratch_path
+from . import byte_bpe, decision_lists, line_dedup, secret_ledger, url_filters, warc_archive
+from .common import documents, pages
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -28,6 +29,54 @@ def sha256(c) -> F.Column:
     return F.sha2(c.cast("binary"), 256)
 
 
+@query(
+    "op1_warc_archive",
+    """
+WITH sized AS (SELECT page_id, coalesce(html, '') AS html, strlen(coalesce(html, '')) AS payload_bytes FROM pages),
+owners AS (SELECT html, max(page_id) AS owner FROM sized WHERE payload_bytes >= 1000 GROUP BY html)
+SELECT s.page_id, s.payload_bytes, sha1(s.html) AS payload_digest,
+       CASE WHEN o.owner <> s.page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN o.owner <> s.page_id THEN o.owner END AS refers_to
+FROM sized s LEFT JOIN owners o ON o.html = s.html
+""",
+)
+def warc_query(spark: SparkSession, folder: str) -> DataFrame:
+    at = scratch_path(spark, "warc")
+    warc_archive.write_archive(pages(spark, folder), at)
+    return warc_archive.read_records(spark, at).select(
+        F.col("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to"
+    )
+
+
+URL_RULES = [
+    ("net", "/", "block"),
+    ("example.net", "/en/", "allow"),
+    ("example.com", "/de/", "block"),
+    ("org", "/fr/", "allow"),
+]
+
+
+@query(
+    "op2_url_filters",
+    r"""
+WITH parts AS (
+  SELECT page_id,
+    translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), ''),
+              'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') AS path FROM pages),
+rules(h, p, v) AS (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'),
+                          ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')),
+judged AS (
+  SELECT page_id, host, path,
+    (SELECT max(struct_pack(size := length(h || p), rule := h || p, verdict := v)) FROM rules
+     WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)) AS best FROM parts)
+SELECT page_id, host, path, best.rule AS rule, coalesce(best.verdict, 'allow') AS verdict FROM judged
+""",
+)
+def url_filter_query(spark: SparkSession, folder: str) -> DataFrame:
+    return url_filters.judge_urls(pages(spark, folder), url_filters.rules_frame(spark, URL_RULES))
+
+
 @query("op5_quality_rules")
 def quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     docs = documents(spark, folder)
