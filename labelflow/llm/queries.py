@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import byte_bpe, decision_lists, line_dedup, secret_ledger, url_filters, warc_archive
+from . import byte_bpe, decision_lists, line_dedup, secret_ledger, simhash, url_filters, warc_archive
 from .common import documents, pages
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -136,3 +136,10 @@ def secret_scan(spark: SparkSession, folder: str) -> DataFrame:
         sha256(secret_ledger.listed(spans, base)).alias("base_sha256"),
         secret_ledger.listed(spans).alias("spans"),
     )
+
+
+@query("op9_simhash")
+def simhash_query(spark: SparkSession, folder: str) -> DataFrame:
+    found = simhash.near_groups(documents(spark, folder))
+    digits = F.lpad(F.lower(F.hex("fp")), 16, "0")
+    return found.select("doc_id", digits.alias("fingerprint"), "component_id")
