@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import byte_bpe, decision_lists, line_dedup, secret_ledger, simhash, url_filters, warc_archive
+from . import byte_bpe, decision_lists, decontaminate, line_dedup, secret_ledger, simhash, url_filters, warc_archive
 from .common import documents, pages
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -77,6 +77,11 @@ def url_filter_query(spark: SparkSession, folder: str) -> DataFrame:
     return url_filters.judge_urls(pages(spark, folder), url_filters.rules_frame(spark, URL_RULES))
 
 
+@query("op3_decontamination")
+def decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.contaminated(documents(spark, folder), spark.read.parquet(f"{folder}/benchmark.parquet"))
+
+
 @query("op5_quality_rules")
 def quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     docs = documents(spark, folder)
