@@ -41,6 +41,17 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, string.ascii_uppercase, string.ascii_lowercase)
 
 
+def where_computed(df: DataFrame, condition: Column) -> DataFrame:
+    """Filter on computed columns as they are.
+
+    Predicate pushdown would copy their expressions into the filter once per use, and so into each other's lambdas, where they
+    would run once per array element. It does not go through a projection with a row number.
+    """
+    (tick,) = fresh(df, "_tick")
+    numbered = df.withColumn(tick, F.monotonically_increasing_id())
+    return numbered.where(condition & (F.col(tick) >= 0)).drop(tick)
+
+
 def shuffle_partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 

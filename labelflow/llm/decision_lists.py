@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, fresh, named, whole_text, word_array
+from .common import WORD, fresh, named, where_computed, whole_text, word_array
 
 STATISTICS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 FEATURES = ["words", "word_length", "symbol_rate", "dup_line_rate", "repeat_rate"]
@@ -228,5 +228,5 @@ def filter_quality(df: DataFrame, learned: DecisionList, text_col: str = "text")
     """The rows that pass, with the columns of ``df``."""
     names = fresh(df, *STATISTICS)
     found = with_statistics(df, text_col, names)
-    kept = found.where(~base_failed(names) & learned.keeps(features(names)))
+    kept = where_computed(found, ~base_failed(names) & learned.keeps(features(names)))
     return kept.select(*[F.col(f"`{c}`") for c in df.columns])
