@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import byte_bpe, decision_lists, decontaminate, line_dedup, secret_ledger, simhash, url_filters, warc_archive
+from . import byte_bpe, decision_lists, decontaminate, line_dedup, secret_ledger, simhash, substring_trees, url_filters, warc_archive
 from .common import documents, pages
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -82,6 +82,26 @@ def decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.contaminated(documents(spark, folder), spark.read.parquet(f"{folder}/benchmark.parquet"))
 
 
+@query(
+    "op4_substring_trees",
+    r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+starts AS (SELECT doc_id, words, unnest(range(1, len(words) - 33)) AS s FROM w WHERE len(words) >= 35),
+windows AS (SELECT doc_id, s, md5(array_to_string(words[s:s + 34], ' ')) AS k FROM starts),
+many AS (SELECT k FROM windows GROUP BY k HAVING count(*) > 1),
+cut AS (SELECT DISTINCT doc_id, unnest(range(s, s + 35)) AS p FROM windows WHERE k IN (SELECT k FROM many)),
+each AS (SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS p FROM w),
+kept AS (SELECT e.doc_id, count(*) AS n, string_agg(e.word, ' ' ORDER BY e.p) AS t
+         FROM each e ANTI JOIN cut c ON c.doc_id = e.doc_id AND c.p = e.p GROUP BY e.doc_id)
+SELECT w.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(len(words) - coalesce(n, 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(t, '')) AS kept_sha256
+FROM w LEFT JOIN kept k ON k.doc_id = w.doc_id
+""",
+)
+def substring_trees_query(spark: SparkSession, folder: str) -> DataFrame:
+    return substring_trees.cut_repeats(documents(spark, folder), with_text=False)
+
+
 @query("op5_quality_rules")
 def quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     docs = documents(spark, folder)
