@@ -30,15 +30,31 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from .common import named, shuffle_partitions
+from .repeats import (
+    BASES,
+    ENTRY,
+    anchored_texts,
+    batches_of,
+    covered,
+    entries_at,
+    first_of_equals,
+    flat,
+    group_of,
+    groups_for,
+    lists_of,
+    longs,
+    numbers_of,
+    place_lists,
+    rolled,
+    runs_of,
+    texts_of,
+    with_runs,
+)
 
 DEPTH = 35
 GRAM = 8
-GROUPS = 4
 BATCH_WORDS = 400_000
-BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
 MEMO_WORDS = 1_000_000
 
 
@@ -53,186 +69,12 @@ class _Words(dict):
 _words = _Words()
 
 
-def word_hashes(words: list[bytes]) -> np.ndarray:
+def symbols(text: str) -> np.ndarray:
+    """A hash per word. Bytes are split at ASCII white space."""
+    words = text.encode().split()
     return np.fromiter(map(_words.__getitem__, words), dtype=np.uint64, count=len(words))
 
 
-def rolled(h: np.ndarray, n: int, base: np.uint64) -> np.ndarray:
-    """Hash of every run of ``n`` elements, from the hashes of runs of powers of two."""
-    power, block, size = base, h, 1
-    out, done = None, 0
-    while n:
-        if n & 1:
-            if out is None:
-                out = block
-            else:
-                m = len(h) - done - size + 1
-                out = out[:m] * power + block[done : done + m]
-            done += size
-        n >>= 1
-        if n:
-            m = max(0, len(block) - size)
-            block = block[:m] * power + block[size : size + m]
-            power, size = power * power, size * 2
-    return mixed(out)
-
-
-def mixed(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xFF51AFD7ED558CCD)
-    return h ^ (h >> np.uint64(29))
-
-
-def first_smallest(g: np.ndarray, width: int) -> np.ndarray:
-    """Place of the smallest value in every run of ``width``; the first of equal ones."""
-    at, size = np.arange(len(g)), 1
-    while size < width:
-        step = min(size, width - size)
-        left, right = at[: len(at) - step], at[step:]
-        at = np.where(g[left] <= g[right], left, right)
-        size += step
-    return at
-
-
-class Batch:
-    """Documents laid end to end: word hashes, valid suffix starts and the anchor of each."""
-
-    def __init__(self, word_lists: list[list[bytes]], depth: int, gram: int):
-        self.sizes = np.array([len(w) for w in word_lists])
-        self.offsets = np.concatenate([[0], np.cumsum(self.sizes)])
-        self.hashes = np.concatenate([word_hashes(w) for w in word_lists])
-        doc = np.repeat(np.arange(len(word_lists)), self.sizes)
-        n = max(0, len(self.hashes) - depth + 1)
-        self.starts = np.nonzero(doc[:n] == doc[depth - 1 : depth - 1 + n])[0]
-        self.doc = doc
-        self.grams = rolled(self.hashes, gram, BASES[0]) if n else np.zeros(0, np.uint64)
-        self.anchor = first_smallest(self.grams, depth - gram + 1)[self.starts] if n else self.starts
-
-    def place(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Document number, and word number inside it."""
-        doc = self.doc[at]
-        return doc, at - self.offsets[doc]
-
-
-def batches_of(texts: list[str | None], depth: int) -> Iterator[tuple[list[int], list[list[bytes]]]]:
-    """Numbers and words of the texts that are long enough, some texts at a time."""
-    numbers, lists, size = [], [], 0
-    for number, text in enumerate(texts):
-        words = (text or "").encode().split()
-        if len(words) < depth:
-            continue
-        numbers.append(number)
-        lists.append(words)
-        size += len(words)
-        if size >= BATCH_WORDS:
-            yield numbers, lists
-            numbers, lists, size = [], [], 0
-    if numbers:
-        yield numbers, lists
-
-
-def _first_of_equals(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted order of equal keys: places of the first of each, of those with an equal, and of the firsts with an equal."""
-    order = np.lexsort(keys[::-1])
-    new = np.ones(len(order), dtype=bool)
-    if len(order):
-        new[1:] = np.any([k[order][1:] != k[order][:-1] for k in keys], axis=0)
-    run = np.cumsum(new) - 1
-    many = (np.bincount(run) > 1)[run] if len(order) else new
-    return order[new], order[many], order[new & many]
-
-
-def _long(values: np.ndarray) -> pa.Array:
-    return pa.array(values.view(np.int64) if values.dtype == np.uint64 else values, pa.int64())
-
-
-def _lists(values: pa.Array, sizes: np.ndarray, kind: pa.DataType) -> pa.Array:
-    offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
-    return pa.ListArray.from_arrays(offsets, values, type=pa.list_(kind))
-
-
-ENTRY = ["id", "mark", "start", "bits"]
-
-
-def _entries(batch: pa.RecordBatch, row: np.ndarray, start: np.ndarray, bits: np.ndarray) -> dict[str, pa.Array]:
-    """Places in documents: id, text hash, word number, and what is said about the words from there."""
-    take = pa.array(row, pa.int64())
-    return {
-        "id": batch["id"].take(take),
-        "mark": batch["mark"].take(take),
-        "start": pa.array(start, pa.int32()),
-        "bits": pa.array(bits, pa.int32()),
-    }
-
-
-def _by_group(group: np.ndarray, columns: dict[str, pa.Array], names: list[str]) -> pa.RecordBatch:
-    """One row per group, with every column as a list."""
-    order = np.argsort(group, kind="stable")
-    ids, sizes = np.unique(group, return_counts=True)
-    take = pa.array(order, pa.int64())
-    lists = [_lists(columns[n].take(take), sizes, columns[n].type) for n in names]
-    return pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), *lists], names=["group", *names])
-
-
-def _group_of(h: np.ndarray, groups: int) -> np.ndarray:
-    return ((h >> np.uint64(32)) * np.uint64(groups) >> np.uint64(32)).astype(np.int64)
-
-
-SENT, KNOWN, REPORT = 0, 1, 2
-
-
-def _send_anchors(batches: Iterator[pa.RecordBatch], depth: int, gram: int, groups: int) -> Iterator[pa.RecordBatch]:
-    """Per group: hash and place of anchors. ``bits`` says what the batch knows of them.
-
-    The first of equal anchors is sent to the group of its hash, as ``KNOWN`` if the batch has it again; the others are only
-    reported, through any group.
-    """
-    for batch in batches:
-        parts = []
-        for numbers, lists in batches_of(batch["text"].to_pylist(), depth):
-            b = Batch(lists, depth, gram)
-            anchors = np.unique(b.anchor)
-            doc, start = b.place(anchors)
-            parts.append((b.grams[anchors], np.array(numbers)[doc], start))
-        if not parts:
-            continue
-        h, row, start = [np.concatenate(x) for x in zip(*parts, strict=True)]
-        first, _, again = _first_of_equals(h)
-        bits = np.full(len(h), REPORT)
-        bits[first] = SENT
-        bits[again] = KNOWN
-        group = np.where(bits == REPORT, row % groups, _group_of(h, groups))
-        yield _by_group(group, {"key": _long(h), **_entries(batch, row, start, bits)}, ["key", *ENTRY])
-
-
-def _flat(table: pa.Table, name: str) -> pa.Array:
-    return pa.concat_arrays([c.flatten() for c in table.column(name).chunks])
-
-
-def _numbers(table: pa.Table, name: str) -> np.ndarray:
-    return _flat(table, name).to_numpy(zero_copy_only=False)
-
-
-def _repeated_anchors(table: pa.Table) -> pa.Table:
-    """Places of the anchors that occur more than once."""
-    bits = _numbers(table, "bits")
-    counted = np.nonzero(bits != REPORT)[0]
-    _, many, _ = _first_of_equals(_numbers(table, "key")[counted])
-    chosen = bits != SENT
-    chosen[counted[many]] = True
-    take = pa.array(np.nonzero(chosen)[0], pa.int64())
-    return pa.table({n: _flat(table, n).take(take) for n in ("id", "mark", "start")})
-
-
-def _runs(*same: np.ndarray, next_to: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """First places and lengths of the runs in which ``same`` do not change and ``next_to`` grows by one."""
-    new = np.ones(len(next_to), dtype=bool)
-    new[1:] = next_to[1:] != next_to[:-1] + 1
-    for c in same:
-        new[1:] |= c[1:] != c[:-1]
-    heads = np.nonzero(new)[0]
-    return heads, np.diff(np.append(heads, len(next_to)))
-
-
 def _send_suffixes(batches: Iterator[pa.RecordBatch], depth: int, gram: int, groups: int) -> Iterator[pa.RecordBatch]:
     """Per group: runs of suffixes with one anchor, and their path labels.
 
@@ -241,27 +83,22 @@ def _send_suffixes(batches: Iterator[pa.RecordBatch], depth: int, gram: int, gro
     """
     names = [*ENTRY, "a", "b", "known"]
     for batch in batches:
-        texts, parts = batch["text"].to_pylist(), []
-        for numbers, lists in batches_of(texts, depth):
-            b = Batch(lists, depth, gram)
-            flagged = np.zeros(len(b.hashes), dtype=bool)
-            for k, number in enumerate(numbers):
-                flagged[b.offsets[k] + np.array(batch["starts"][number].as_py())] = True
-            use = flagged[b.anchor]
+        parts, starts = [], batch["starts"].to_pylist()
+        for b in batches_of(batch["text"].to_pylist(), symbols, depth, gram, BATCH_WORDS):
+            use = b.flagged(starts)[b.anchor]
             at, anchor = b.starts[use], b.anchor[use]
             labels = [rolled(b.hashes, depth, base)[at] for base in BASES]
-            doc, start = b.place(at)
-            parts.append((np.array(numbers)[doc], start, _group_of(b.grams[anchor], groups), *labels))
+            parts.append((*b.place(at), group_of(b.grams[anchor], groups), *labels))
         if not parts:
             continue
         row, start, group, a, c = [np.concatenate(x) for x in zip(*parts, strict=True)]
-        first, _, again = _first_of_equals(a, c)
+        first, _, again = first_of_equals(a, c)
         known = np.zeros(len(a), dtype=np.int8)
         known[again] = 1
         sent = np.zeros(len(a), dtype=bool)
         sent[first] = True
         group = np.where(sent, group, row % groups)
-        heads, size = _runs(row, group, sent, next_to=start)
+        heads, size = runs_of(row, group, sent, next_to=start)
         order = np.argsort(group[heads], kind="stable")
         heads, size = heads[order], size[order]
         labelled = np.where(sent[heads], size, 0)
@@ -270,32 +107,32 @@ def _send_suffixes(batches: Iterator[pa.RecordBatch], depth: int, gram: int, gro
         if not len(ids):
             continue
         per_group = np.add.reduceat(labelled, begin)
-        entries = _entries(batch, row[heads], start[heads], np.where(sent[heads], size, -size))
-        columns = [_lists(entries[n], runs, entries[n].type) for n in ENTRY]
-        columns += [_lists(_long(v[inside]), per_group, pa.int64()) for v in (a, c)]
-        columns.append(_lists(pa.array(known[inside], pa.int8()), per_group, pa.int8()))
+        entries = entries_at(batch, row[heads], start[heads], np.where(sent[heads], size, -size))
+        columns = [lists_of(entries[n], runs, entries[n].type) for n in ENTRY]
+        columns += [lists_of(longs(v[inside]), per_group, pa.int64()) for v in (a, c)]
+        columns.append(lists_of(pa.array(known[inside], pa.int8()), per_group, pa.int8()))
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), *columns], names=["group", *names])
 
 
 def _deep_nodes(table: pa.Table) -> pa.Table:
     """Runs of suffixes that hang below a deep node with other leaves: ``(id, mark, start, bits = length)``."""
-    size = _numbers(table, "bits")
+    size = numbers_of(table, "bits")
     labelled = np.nonzero(size > 0)[0]
     n = size[labelled]
-    _, many, _ = _first_of_equals(_numbers(table, "a"), _numbers(table, "b"))
-    repeats = _numbers(table, "known").astype(bool)
+    _, many, _ = first_of_equals(numbers_of(table, "a"), numbers_of(table, "b"))
+    repeats = numbers_of(table, "known").astype(bool)
     repeats[many] = True
     run = np.repeat(labelled, n)
-    start = _numbers(table, "start")
+    start = numbers_of(table, "start")
     word = start[run] + np.arange(len(run)) - np.repeat(np.cumsum(n) - n, n)
     run, word = run[repeats], word[repeats]
-    heads, length = _runs(run, next_to=word)
+    heads, length = runs_of(run, next_to=word)
     told = np.nonzero(size < 0)[0]
     take = pa.array(np.concatenate([run[heads], told]), pa.int64())
     return pa.table(
         {
-            "id": _flat(table, "id").take(take),
-            "mark": _flat(table, "mark").take(take),
+            "id": flat(table, "id").take(take),
+            "mark": flat(table, "mark").take(take),
             "start": pa.array(np.concatenate([word[heads], start[told]]), pa.int32()),
             "bits": pa.array(np.concatenate([length, -size[told]]), pa.int32()),
         }
@@ -305,13 +142,8 @@ def _deep_nodes(table: pa.Table) -> pa.Table:
 def kept_words(text: str | None, starts: list[int] | None, sizes: list[int] | None, depth: int) -> tuple[int, list[bytes]]:
     """Number of words, and those not covered by a repeated suffix's first ``depth`` words."""
     words = (text or "").encode().split()
-    if not starts:
-        return len(words), words
-    edge = np.zeros(len(words) + 1, dtype=np.int64)
-    np.add.at(edge, np.array(starts), 1)
-    np.add.at(edge, np.array(starts) + np.array(sizes) + depth - 1, -1)
-    covered = np.cumsum(edge[:-1]) > 0
-    return len(words), [words[i] for i in np.nonzero(~covered)[0].tolist()]
+    gone = covered(len(words), starts, sizes, depth)
+    return len(words), [words[i] for i in np.nonzero(~gone)[0].tolist()] if gone.any() else words
 
 
 def _cut(batches: Iterator[pa.RecordBatch], depth: int, with_text: bool) -> Iterator[pa.RecordBatch]:
@@ -338,36 +170,13 @@ def cut_repeats(
     with_text: bool = True,
 ) -> DataFrame:
     """``(id, n_words, n_removed, kept_sha256, kept_text)`` of every row; the text is what is left, joined by spaces."""
-    id_type = df.schema[id_col].dataType.simpleString()
-    text = named(df, text_col)
-    slim = df.select(named(df, id_col).alias("id"), F.xxhash64(text).alias("mark"), text.alias("text"))
-    groups = GROUPS * shuffle_partitions(df)
-    lists = f"id array<{id_type}>, mark array<long>, start array<int>, bits array<int>"
-    place = f"id {id_type}, mark long, start int"
-
-    anchors = slim.mapInArrow(
-        lambda it: _send_anchors(it, depth, gram, groups), f"group int, key array<long>, {lists}"
-    )
-    repeated = anchors.groupBy("group").applyInArrow(_repeated_anchors, place)
-    flags = repeated.groupBy("id", "mark").agg(F.collect_list("start").alias("starts"))
-    key = lambda right: slim["id"].eqNullSafe(right["_id"]) & (slim["mark"] == right["_mark"])
-    flags = flags.withColumnsRenamed({"id": "_id", "mark": "_mark"})
-    suffixes = (
-        slim.join(flags, key(flags))
-        .select("id", "mark", "text", "starts")
-        .mapInArrow(
-            lambda it: _send_suffixes(it, depth, gram, groups),
-            f"group int, {lists}, a array<long>, b array<long>, known array<tinyint>",
-        )
-    )
-    runs = suffixes.groupBy("group").applyInArrow(_deep_nodes, f"{place}, bits int")
-    covered = runs.groupBy("id", "mark").agg(F.collect_list(F.struct("start", "bits")).alias("runs"))
-    covered = covered.select(
-        F.col("id").alias("_id"),
-        F.col("mark").alias("_mark"),
-        F.col("runs.start").alias("starts"),
-        F.col("runs.bits").alias("sizes"),
+    texts = texts_of(df, id_col, text_col)
+    id_type, groups = df.schema[id_col].dataType.simpleString(), groups_for(df)
+    suffixes = anchored_texts(texts, symbols, depth, gram, BATCH_WORDS).mapInArrow(
+        lambda it: _send_suffixes(it, depth, gram, groups),
+        f"group int, {place_lists(id_type)}, a array<long>, b array<long>, known array<tinyint>",
     )
+    runs = suffixes.groupBy("group").applyInArrow(_deep_nodes, f"id {id_type}, mark long, start int, bits int")
     schema = f"id {id_type}, n_words long, n_removed long, kept_sha256 string" + (", kept_text string" if with_text else "")
-    done = slim.join(covered, key(covered), "left").select("id", "text", "starts", "sizes")
-    return done.mapInArrow(lambda it: _cut(it, depth, with_text), schema).withColumnRenamed("id", id_col)
+    done = with_runs(texts, runs).mapInArrow(lambda it: _cut(it, depth, with_text), schema)
+    return done.withColumnRenamed("id", id_col)
