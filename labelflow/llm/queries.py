@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import byte_bpe, decision_lists, decontaminate, line_dedup, secret_ledger, simhash, substring_trees, url_filters, warc_archive
+from . import byte_bpe, decision_lists, decontaminate, line_dedup, secret_ledger, simhash, substring_trees, suffix_array, url_filters, warc_archive
 from .common import documents, pages
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -168,3 +168,31 @@ def simhash_query(spark: SparkSession, folder: str) -> DataFrame:
     found = simhash.near_groups(documents(spark, folder))
     digits = F.lpad(F.lower(F.hex("fp")), 16, "0")
     return found.select("doc_id", digits.alias("fingerprint"), "component_id")
+
+
+@query(
+    "op10_suffix_array",
+    """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, hex(encode(coalesce(text, ''))) AS h FROM documents),
+starts AS (SELECT doc_id, unnest(range(1, CAST(length(h) / 2 AS BIGINT) - 48)) AS s, h FROM d WHERE length(h) >= 100),
+windows AS (SELECT doc_id, s, hash(substr(h, 2 * s - 1, 100)) AS k FROM starts),
+firsts AS (SELECT k, min(doc_id) AS first_doc FROM windows GROUP BY k),
+cut AS (SELECT doc_id, s FROM windows JOIN firsts USING (k) WHERE first_doc < doc_id),
+grouped AS (SELECT doc_id, s, s - lag(s) OVER (PARTITION BY doc_id ORDER BY s) AS gap FROM cut),
+spans AS (SELECT doc_id, s, sum(CASE WHEN gap IS NULL OR gap > 50 THEN 1 ELSE 0 END)
+                            OVER (PARTITION BY doc_id ORDER BY s) AS span FROM grouped),
+ends AS (SELECT doc_id, span, min(s) AS a, max(s) + 50 AS b FROM spans GROUP BY 1, 2),
+parts AS (SELECT doc_id, span, b AS from_byte,
+                 coalesce(lead(a) OVER (PARTITION BY doc_id ORDER BY span), 2000000000) AS to_byte, a FROM ends),
+kept AS (SELECT p.doc_id, count(*) AS n_spans,
+                sum(from_byte - a) AS n_removed,
+                substr(any_value(h), 1, 2 * (min(a) - 1))
+                  || string_agg(substr(h, 2 * from_byte - 1, 2 * (to_byte - from_byte)), '' ORDER BY span) AS left_hex
+         FROM parts p JOIN d ON d.doc_id = p.doc_id GROUP BY p.doc_id)
+SELECT d.doc_id, CAST(length(h) / 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+       CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(left_hex, h))) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+""",
+)
+def suffix_array_query(spark: SparkSession, folder: str) -> DataFrame:
+    return suffix_array.cut_later_copies(documents(spark, folder), with_bytes=False)

@@ -14,9 +14,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .common import named, shuffle_partitions
 
 GROUPS = 4
+HOT = 4096
+HOT_KEYS = 200_000
 BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
 
 
@@ -147,16 +150,13 @@ def group_of(h: np.ndarray, groups: int) -> np.ndarray:
     return ((h >> np.uint64(32)) * np.uint64(groups) >> np.uint64(32)).astype(np.int64)
 
 
-SENT, KNOWN, REPORT = 0, 1, 2
-
-
 def send_anchors(
     batches: Iterator[pa.RecordBatch], symbols: Callable, depth: int, gram: int, most: int, groups: int
 ) -> Iterator[pa.RecordBatch]:
-    """Per group: hash and place of anchors. ``bits`` says what the batch knows of them.
+    """Per group: hash and place of anchors. ``bits`` is how often the batch has the anchor.
 
-    The first of equal anchors is sent to the group of its hash, as ``KNOWN`` if the batch has it again; the others are only
-    reported, through any group.
+    The first of equal anchors is sent to the group of its hash. The others, whose number is then over 1, are only reported as repeated,
+    through any group and with the number 0.
     """
     for batch in batches:
         parts = []
@@ -166,11 +166,10 @@ def send_anchors(
         if not parts:
             continue
         h, row, start = [np.concatenate(x) for x in zip(*parts, strict=True)]
-        first, _, again = first_of_equals(h)
-        bits = np.full(len(h), REPORT)
-        bits[first] = SENT
-        bits[again] = KNOWN
-        group = np.where(bits == REPORT, row % groups, group_of(h, groups))
+        _, first, times = np.unique(h, return_index=True, return_counts=True)
+        bits = np.zeros(len(h), dtype=np.int32)
+        bits[first] = times
+        group = np.where(bits == 0, row % groups, group_of(h, groups))
         yield by_group(group, {"key": longs(h), **entries_at(batch, row, start, bits)}, ["key", *ENTRY])
 
 
@@ -182,15 +181,22 @@ def numbers_of(table: pa.Table, name: str) -> np.ndarray:
     return flat(table, name).to_numpy(zero_copy_only=False)
 
 
-def repeated_anchors(table: pa.Table) -> pa.Table:
-    """Places of the anchors that occur more than once."""
-    bits = numbers_of(table, "bits")
-    counted = np.nonzero(bits != REPORT)[0]
-    _, many, _ = first_of_equals(numbers_of(table, "key")[counted])
-    chosen = bits != SENT
-    chosen[counted[many]] = True
+def repeated_anchors(table: pa.Table, hot: int) -> pa.Table:
+    """Places of the anchors that occur more than once; and, without a place, anchors (``key``) that occur over ``hot`` times."""
+    bits, key = numbers_of(table, "bits"), numbers_of(table, "key")
+    counted = np.nonzero(bits > 0)[0]
+    keys, which = np.unique(key[counted], return_inverse=True)
+    times = np.zeros(len(keys), dtype=np.int64)
+    np.add.at(times, which, bits[counted])
+    chosen = bits == 0
+    chosen[counted] = times[which] > 1
     take = pa.array(np.nonzero(chosen)[0], pa.int64())
-    return pa.table({n: flat(table, n).take(take) for n in ("id", "mark", "start")})
+    columns = {n: flat(table, n).take(take) for n in ("id", "mark", "start")}
+    often = pa.array(keys[times > hot], pa.int64())
+    return pa.table(
+        {n: pa.concat_arrays([c, pa.nulls(len(often), c.type)]) for n, c in columns.items()}
+        | {"key": pa.concat_arrays([pa.nulls(len(take), pa.int64()), often])}
+    )
 
 
 def runs_of(*same: np.ndarray, next_to: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -222,18 +228,31 @@ def same_text(texts: DataFrame, right: DataFrame) -> F.Column:
     return texts["id"].eqNullSafe(right["_id"]) & (texts["mark"] == right["_mark"])
 
 
-def anchored_texts(texts: DataFrame, symbols: Callable, depth: int, gram: int, most: int) -> DataFrame:
-    """The texts with anchors that repeat, and where those start: ``(id, mark, text, starts)``."""
+def anchored_texts(
+    texts: DataFrame, symbols: Callable, depth: int, gram: int, most: int, hot: int = HOT
+) -> tuple[DataFrame, np.ndarray]:
+    """The texts with anchors that repeat, and where those start: ``(id, mark, text, starts)``. And the hot anchors.
+
+    An anchor that occurs over ``hot`` times would make a group too large. There are at most as many of them as anchors divided by
+    ``hot``; should that be over ``HOT_KEYS``, only that many are told apart, and the others keep larger groups.
+    """
     id_type = texts.schema["id"].dataType.simpleString()
     groups = groups_for(texts)
     sent = texts.mapInArrow(
         lambda it: send_anchors(it, symbols, depth, gram, most, groups),
         f"group int, key array<long>, {place_lists(id_type)}",
     )
-    repeated = sent.groupBy("group").applyInArrow(repeated_anchors, f"id {id_type}, mark long, start int")
-    flags = repeated.groupBy("id", "mark").agg(F.collect_list("start").alias("starts"))
+    repeated = cut_lineage(
+        sent.groupBy("group").applyInArrow(
+            lambda table: repeated_anchors(table, hot), f"id {id_type}, mark long, start int, key long"
+        ),
+        "anchors",
+    )
+    often = [r[0] for r in repeated.where("key IS NOT NULL").select("key").orderBy("key").limit(HOT_KEYS).collect()]
+    flags = repeated.where("key IS NULL").groupBy("id", "mark").agg(F.collect_list("start").alias("starts"))
     flags = flags.withColumnsRenamed({"id": "_id", "mark": "_mark"})
-    return texts.join(flags, same_text(texts, flags)).select("id", "mark", "text", "starts")
+    found = texts.join(flags, same_text(texts, flags)).select("id", "mark", "text", "starts")
+    return found, np.array(often, dtype=np.int64).view(np.uint64)
 
 
 def with_runs(texts: DataFrame, runs: DataFrame) -> DataFrame:

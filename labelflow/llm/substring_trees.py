@@ -8,6 +8,7 @@ shuffle partitions.
 
 1. Prefixes. Only prefixes whose anchor occurs twice can have an internal node below them. Anchors are every fourteenth word or so; they are
    counted in groups by hash, and those that repeat go back to their documents.
+   A prefix with over ``HOT`` suffixes is lengthened to full depth, so that these spread over all groups.
 2. Subtrees. Documents with such anchors give their suffixes below them, each as a 128-bit path label to full depth. A group
    sorts its labels; equal neighbours are the leaves of one deep node.
 3. The repeated starts of each document, one bit each, meet its text, and covered words are cut.
@@ -34,6 +35,7 @@ from pyspark.sql import DataFrame
 from .repeats import (
     BASES,
     ENTRY,
+    HOT,
     anchored_texts,
     batches_of,
     covered,
@@ -75,7 +77,9 @@ def symbols(text: str) -> np.ndarray:
     return np.fromiter(map(_words.__getitem__, words), dtype=np.uint64, count=len(words))
 
 
-def _send_suffixes(batches: Iterator[pa.RecordBatch], depth: int, gram: int, groups: int) -> Iterator[pa.RecordBatch]:
+def _send_suffixes(
+    batches: Iterator[pa.RecordBatch], depth: int, gram: int, groups: int, hot: np.ndarray
+) -> Iterator[pa.RecordBatch]:
     """Per group: runs of suffixes with one anchor, and their path labels.
 
     ``bits`` is the number of suffixes of a run, whose labels (lists ``a`` and ``b``, with ``known`` for those that the batch has again) follow
@@ -88,7 +92,8 @@ def _send_suffixes(batches: Iterator[pa.RecordBatch], depth: int, gram: int, gro
             use = b.flagged(starts)[b.anchor]
             at, anchor = b.starts[use], b.anchor[use]
             labels = [rolled(b.hashes, depth, base)[at] for base in BASES]
-            parts.append((*b.place(at), group_of(b.grams[anchor], groups), *labels))
+            prefix = np.where(np.isin(b.grams[anchor], hot), labels[0], b.grams[anchor])  # hot ones grow to full depth
+            parts.append((*b.place(at), group_of(prefix, groups), *labels))
         if not parts:
             continue
         row, start, group, a, c = [np.concatenate(x) for x in zip(*parts, strict=True)]
@@ -167,13 +172,15 @@ def cut_repeats(
     text_col: str = "text",
     depth: int = DEPTH,
     gram: int = GRAM,
+    hot: int = HOT,
     with_text: bool = True,
 ) -> DataFrame:
     """``(id, n_words, n_removed, kept_sha256, kept_text)`` of every row; the text is what is left, joined by spaces."""
     texts = texts_of(df, id_col, text_col)
     id_type, groups = df.schema[id_col].dataType.simpleString(), groups_for(df)
-    suffixes = anchored_texts(texts, symbols, depth, gram, BATCH_WORDS).mapInArrow(
-        lambda it: _send_suffixes(it, depth, gram, groups),
+    anchored, hot_anchors = anchored_texts(texts, symbols, depth, gram, BATCH_WORDS, hot)
+    suffixes = anchored.mapInArrow(
+        lambda it: _send_suffixes(it, depth, gram, groups, hot_anchors),
         f"group int, {place_lists(id_type)}, a array<long>, b array<long>, known array<tinyint>",
     )
     runs = suffixes.groupBy("group").applyInArrow(_deep_nodes, f"id {id_type}, mark long, start int, bits int")
