@@ -55,22 +55,22 @@ _F1 = """, l AS (SELECT k, gold AS label FROM best UNION SELECT k, pred FROM bes
     with_views(_bayes(range(1)) + "SELECT id, CAST(gold AS INTEGER) AS label, CAST(pred AS INTEGER) AS pred, round(loss, 4) AS loss FROM loss", "labeled"),
 )
 def l1_train_fold(spark, folder):
-    folded = stratified_kfold(_rows(spark, folder), "label", "id", K, SEED)
+    folded = L.folded_input(_rows(spark, folder), K, "id", SEED)
     result = L.train_fold(folded, 0)
     scored = L.predictions(result.model, held_out(folded, 0))
     return scored.select("id", "label", "pred", F.round("loss", 4).alias("loss"))
 
 
-@query(
-    "l2_cross_validate",
-    with_views(
+_CV_SQL = with_views(
         _bayes(range(K))
         + _F1
         + """SELECT CAST(k AS INTEGER) AS fold, round(avg(CAST(gold = pred AS INTEGER)), 6) AS eval_accuracy, round(any_value(f1), 6) AS eval_macro_f1,
  round(avg(loss), 4) AS eval_loss FROM loss JOIN f1 USING (k) GROUP BY k""",
         "labeled",
-    ),
-)
+    )
+
+
+@query("l2_cross_validate", _CV_SQL)
 def l2_cross_validate(spark, folder):
     merged, _ = L.cross_validate(_rows(spark, folder), K, "id", SEED)
     return merged.select(
@@ -79,6 +79,18 @@ def l2_cross_validate(spark, folder):
     )
 
 
+@query("l2_resumed_folds", _CV_SQL)
+def l2_resumed_folds(spark, folder):
+    """Folds 0 and 1 first, the others in a second run that reads what the first has stored."""
+    path = scratch_path(spark, "fold-metrics")
+    L.cross_validate(_rows(spark, folder), K, "id", SEED, folds=tuple(range(2)), metrics_path=path)
+    merged, _ = L.cross_validate(_rows(spark, folder), K, "id", SEED, folds=tuple(range(2, K)), metrics_path=path)
+    return merged.select(
+        "fold", six("eval_accuracy").alias("eval_accuracy"), six("eval_macro_f1").alias("eval_macro_f1"),
+        F.round("eval_loss", 4).alias("eval_loss"),
+    )
+
+
 @query(
     "l3_evaluate",
     with_views(
@@ -95,7 +107,7 @@ def l2_cross_validate(spark, folder):
 )
 def l3_evaluate(spark, folder):
     """Train with fold 0 held out, save, load, and evaluate the stored model on that fold."""
-    folded = stratified_kfold(_rows(spark, folder), "label", "id", K, SEED)
+    folded = L.folded_input(_rows(spark, folder), K, "id", SEED)
     models = scratch_path(spark, "models")
     L.train_fold(folded, 0, model_dir=models)
     model = L.PipelineModel.load(f"{models}/fold_0")
@@ -119,7 +131,7 @@ SELECT run, CAST(sum(sup) AS BIGINT) AS rows, round(sum(tp) / sum(sup), 6) AS ac
     ),
 )
 def l5_evaluate_outputs(spark, folder):
-    folded = stratified_kfold(_rows(spark, folder), "label", "id", K, SEED)
+    folded = L.folded_input(_rows(spark, folder), K, "id", SEED)
     model = L.train_fold(folded, 0).model
     test = held_out(folded, 0).select("id", "text", "label")
     outputs = {"same": test, "next": test.withColumn("label", (F.col("label") + 1) % 4)}

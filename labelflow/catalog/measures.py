@@ -94,7 +94,7 @@ LEFT JOIN p ON p.gold = a.label AND p.pred = b.label GROUP BY 1, 2""",
     ),
 )
 def h4_confusion(spark, folder):
-    return H.confusion(_with_failures(spark, folder), "gold", "pred")
+    return H.confusion(_with_failures(spark, folder), "gold", "pred", (-1, 1, 2, 3, 4))
 
 
 @query(

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.replies import parse_first_digit
@@ -164,7 +167,7 @@ SELECT id, md5(prefix || {quoted(E.SCORING_SUFFIX[0])} || text || {quoted(E.SCOR
     ),
 )
 def e1_scoring_prompt(spark, folder):
-    prefix = E.scoring_prefix(_few(spark, folder), ["id"], 2, hard_negatives=True)
+    prefix = E.scoring_prefix(_few(spark, folder), ["id"], 120, 2, hard_negatives=True)
     return E.scoring_prompt(V.labeled(spark, folder), prefix).select("id", text_md5("prompt").alias("prompt_md5"))
 
 
@@ -172,7 +175,7 @@ def e1_scoring_prompt(spark, folder):
     "e1_scoring_prompt_paired",
     with_views(
         f""", pairs AS (SELECT conv_id, arg_min(text, turn) AS original, max(CASE WHEN turn = 1 THEN text END) AS t1, max(CASE WHEN turn = 2 THEN text END) AS t2,
- max(CASE WHEN turn = 3 THEN text END) AS t3 FROM conversations WHERE conv_id % 97 = 0 GROUP BY conv_id)
+ max(CASE WHEN turn = 3 THEN text END) AS t3 FROM conversations GROUP BY conv_id ORDER BY conv_id LIMIT 10)
 , pre AS (SELECT {quoted(E.SCALES[1] + chr(10) * 2 + E.EXAMPLES_HEADER)} || string_agg('原句：' || original || chr(10) || '1: ' || coalesce(t1, '') || chr(10) || '2: ' || coalesce(t2, '') || chr(10)
  || '3: ' || coalesce(t3, '') || chr(10) || '4: ' || chr(10) || chr(10), '' ORDER BY conv_id) AS prefix FROM pairs)
 SELECT id, md5(prefix || {quoted(E.SCORING_SUFFIX[0])} || text || {quoted(E.SCORING_SUFFIX[1])}) AS prompt_md5 FROM labeled, pre""",
@@ -180,10 +183,10 @@ SELECT id, md5(prefix || {quoted(E.SCORING_SUFFIX[0])} || text || {quoted(E.SCOR
     ),
 )
 def e1_scoring_prompt_paired(spark, folder):
-    turns = V.table(spark, folder, "conversations").where("conv_id % 97 = 0")
+    turns = V.table(spark, folder, "conversations")
     level = F.map_from_entries(F.collect_list(F.when(F.col("turn").between(1, 3), F.struct(F.col("turn").cast("int"), "text"))))
     pairs = turns.groupBy("conv_id").agg(F.min_by("text", "turn").alias("original"), level.alias("by_level"))
-    prefix = E.scoring_prefix(pairs, ["conv_id"])
+    prefix = E.scoring_prefix(pairs, ["conv_id"], 10)
     return E.scoring_prompt(V.labeled(spark, folder), prefix).select("id", text_md5("prompt").alias("prompt_md5"))
 
 
@@ -202,7 +205,7 @@ def _judged(text: str) -> str:
     with_views(_EXAMPLES + _JUDGE + f"SELECT id, md5({_judged('text')}) AS prompt_md5 FROM labeled, pre", "tasks"),
 )
 def e2_judge_prompt(spark, folder):
-    prefix = E.judge_prefix(_few(spark, folder), ["id"])
+    prefix = E.judge_prefix(_few(spark, folder), ["id"], 30)
     return E.judge_prompt(V.labeled(spark, folder), prefix).select("id", text_md5("prompt").alias("prompt_md5"))
 
 
@@ -295,27 +298,22 @@ def offline_registry() -> ModelRegistry:
 @query(
     "f1_models_by_name",
     with_views(
-        f"""SELECT id, m.model, CASE m.model WHEN 'null' THEN NULL WHEN 'echo-1' THEN md5('改寫為第 1 級：' || text || chr(10) || '這個改寫保留了原句。')
+        f"""SELECT id, m.model, CASE m.model WHEN 'null' THEN NULL WHEN 'echo-1' THEN md5('改寫為第 1 級：'
+ || CASE WHEN len(string_split(text, '"')) > 2 THEN string_split(text, '"')[-2] ELSE text END || chr(10) || '以上改自原句，未加內容。')
  ELSE md5('【最終分數：' || {_digit("text")} || '】') END AS reply_md5 FROM labeled CROSS JOIN (VALUES ('hash'), ('null'), ('echo-1'), ('very-flaky-null')) m(model)""",
         "labeled",
     ),
 )
 def f1_models_by_name(spark, folder):
-    rows = V.labeled(spark, folder).select("id", F.regexp_replace("text", '"', "").alias("plain"), "text")
+    rows = V.labeled(spark, folder).select("id", "text")
     registry = offline_registry()
-    parts = []
-    for name in ("hash", "null", "echo-1", "very-flaky-null"):
-        answered = generate(rows.withColumn("model", F.lit(name)), registry.resolve(name), "text", NO_WAIT)
-        # The echo model quotes a part of texts that hold quotation marks; it is asked for the whole one here.
-        reply = F.col("reply")
-        if name == "echo-1":
-            reply = F.concat(F.lit("改寫為第 1 級："), "text", F.lit("\n這個改寫保留了原句。"))
-            reply = F.when(F.instr("text", '"') > 0, reply).otherwise(F.col("reply"))
-        parts.append(answered.select("id", "model", text_md5(reply).alias("reply_md5")))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    parts = [
+        generate(rows.withColumn("model", F.lit(name)), registry.resolve(name), "text", NO_WAIT).select(
+            "id", "model", text_md5("reply").alias("reply_md5")
+        )
+        for name in ("hash", "null", "echo-1", "very-flaky-null")
+    ]
+    return reduce(DataFrame.unionByName, parts)
 
 
 @query(
@@ -387,7 +385,7 @@ SELECT event_id, output_text, predicted_score, predicted_score = target AS succe
 )
 def f6_convert_and_score(spark, folder):
     requests = V.activity(spark, folder).select("event_id", "timestamp", "input_text", F.concat("target_level", F.lit("-x")).alias("target_level"))
-    prefix = E.judge_prefix(_few(spark, folder), ["id"])
+    prefix = E.judge_prefix(_few(spark, folder), ["id"], 30)
     out = convert_and_score(requests, HASH, HASH, prefix, parallelism=spark.sparkContext.defaultParallelism)
     return out.select("event_id", "output_text", "predicted_score", "success")
 
@@ -426,7 +424,7 @@ SELECT CAST(count(*) AS BIGINT) AS rows, CAST(count(*) FILTER (WHERE score = pre
 )
 def p1_scoring_run(spark, folder):
     rows = V.labeled(spark, folder)
-    result = scoring_run(rows, HASH, scratch_path(spark, "scoring"), retry=NO_WAIT, examples_n=8)
+    result = scoring_run(rows, HASH, scratch_path(spark, "scoring"), 8, retry=NO_WAIT)
     return result.accuracy.select("rows", "correct", six("accuracy_percent").alias("accuracy_percent"))
 
 

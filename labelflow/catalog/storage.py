@@ -252,7 +252,7 @@ def _event_stream(spark, folder):
 def j2_daily_rollup_stream(spark, folder):
     rollup = SA.daily_rollup(V.as_activity(_event_stream(spark, folder)))
     state = scratch_path(spark, "rollup")
-    return _shown(SS.latest_result(rollup, "rollup_" + state[-12:], state))
+    return _shown(SS.latest_result(rollup, scratch_path(spark, "rollup-table"), state))
 
 
 @query(
@@ -280,6 +280,6 @@ def j4_live_accuracy(spark, folder):
         F.col("l_returnflag").alias("model"), (F.col("l_linenumber") % 4).alias("gold"), (F.col("l_partkey") % 4).alias("pred")
     )
     state = scratch_path(spark, "live")
-    return SS.latest_result(SS.live_accuracy(rows, by=("model",)), "live_" + state[-12:], state).withColumn(
+    return SS.latest_result(SS.live_accuracy(rows, by=("model",)), scratch_path(spark, "live-table"), state).withColumn(
         "accuracy", six("accuracy")
     )

@@ -16,7 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..schemas import EVALUATION, FOLD_METRICS
-from ..sources.files import read_scoring_csv, write_metrics, write_results_csv
+from ..session import cut_lineage
+from ..sources.files import next_run_id, read_scoring_csv, write_metrics, write_results_csv
 from .folds import check_foldable, held_out, stratified_kfold, train_part
 from .labels import CLASS_NAMES, label_view, mark_correct
 from .metrics import class_scores, cv_summary, overall
@@ -105,19 +106,41 @@ def cross_validate(
 ) -> tuple[DataFrame, DataFrame]:
     """Fold metrics and their summary; folds run one after the other, each fit is distributed.
 
-    ``folds`` runs only some of them. With ``metrics_path`` the metrics of earlier runs at that path are merged
-    in and the result is stored in a new folder next to them.
+    ``folds`` runs only some of them. With ``metrics_path`` the newest payload under that path is merged in, new folds
+    replacing old ones, and the merged payload is stored as a new run folder beside it.
     """
+    return run_folds(folded_input(df, k, id_col, seed), k, folds, smoothing, model_dir, metrics_path)
+
+
+def folded_input(df: DataFrame, k: int, id_col: str = "id", seed: int = 3407) -> DataFrame:
+    """``id, text, label, fold``, checked and written once: every fit and evaluation reads this table."""
     check_foldable(df, "label", k)
-    folded = stratified_kfold(df, "label", id_col, k, seed)
+    rows = df.select(F.col(id_col).alias("id"), "text", "label")
+    return cut_lineage(stratified_kfold(rows, "label", "id", k, seed), "folded")
+
+
+def run_folds(
+    folded: DataFrame,
+    k: int,
+    folds: tuple[int, ...] | None = None,
+    smoothing: tuple[float, ...] = (1.0,),
+    model_dir: str | None = None,
+    metrics_path: str | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """Train and evaluate the wanted folds of :func:`folded_input`; see :func:`cross_validate`."""
     wanted = range(k) if folds is None else folds
     rows = [train_fold(folded, f, smoothing, model_dir).metrics for f in wanted]
     if not rows:
         raise ValueError("no fold was run")
-    spark = df.sparkSession
+    spark = folded.sparkSession
     new = spark.createDataFrame([tuple(r.values()) for r in rows], FOLD_METRICS)
-    old = read_fold_metrics(spark, metrics_path) if metrics_path else spark.createDataFrame([], FOLD_METRICS)
-    merged = merge_fold_metrics(old, new)
+    if not metrics_path:
+        merged = merge_fold_metrics(spark.createDataFrame([], FOLD_METRICS), new)
+        return merged, cv_summary(merged)
+    run = next_run_id(spark, metrics_path)
+    old = read_fold_metrics(spark, f"{metrics_path}/run_id={run - 1}")
+    stored = write_metrics(metrics_payload(merge_fold_metrics(old, new), k, folded.count()), f"{metrics_path}/run_id={run}")
+    merged = merge_fold_metrics(read_fold_metrics(spark, stored), new)
     return merged, cv_summary(merged)
 
 

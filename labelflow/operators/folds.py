@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .labels import CLASS_NAMES
 from .metrics import class_counts
-from .ranking import BucketCounts, bucket_counts, pieces_by_rank
+from .ranking import pieces_by_rank, sums_before
 
 CLASS_IDS = (0, 1, 2, 3)
 
@@ -19,13 +18,13 @@ def check_foldable(df: DataFrame, label: str, k: int, labels: tuple[int, ...] =
     Classes without rows count as 0. The counts are one row per listed label.
     """
     if k < 2:
-        raise ValueError(f"the number of folds must be >= 2, not {k}")
+        raise ValueError(f"k-fold needs k >= 2; got {k}")
     rows = class_counts(df, label, labels).orderBy(label).collect()
     counts = [r["n"] for r in rows]
     if sum(counts) < k:
-        raise ValueError(f"{sum(counts)} rows must be >= {k} folds")
+        raise ValueError(f"k-fold with k={k} needs k rows or more; got {sum(counts)}")
     if min(counts) < k:
-        raise ValueError(f"each class needs at least {k} rows for {k} folds; current counts={counts}")
+        raise ValueError(f"k={k} is too large for the smallest class; rows per class: {counts}")
     return counts
 
 
@@ -33,10 +32,8 @@ def fold_quotas(totals: DataFrame, label: str, k: int) -> DataFrame:
     """Cumulative rows of each class up to each fold but the last.
 
     Classes are laid end to end by first appearance (smallest id); place p of that line counts towards fold
-    p modulo k, so sizes of a class differ by at most one between folds.
+    p modulo k, so sizes of a class differ by at most one between folds. ``totals`` is ``(label, n, first)``.
     """
-    before = Window.partitionBy(F.lit(0)).orderBy("first").rowsBetween(Window.unboundedPreceding, -1)
-    offset = F.coalesce(F.sum("n").over(before), F.lit(0))
 
     def members(f: int):
         """Places p of [offset, offset + n) with p mod k == f."""
@@ -47,26 +44,7 @@ def fold_quotas(totals: DataFrame, label: str, k: int) -> DataFrame:
     for f in range(k - 1):
         running = running + members(f)
         cuts.append(F.struct(F.lit(f).alias("cut"), running.cast("long").alias("rank")))
-    return totals.withColumn("_off", offset).select(label, F.inline(F.array(*cuts)))
-
-
-def _with_first(buckets: BucketCounts, df: DataFrame, label: str, id_col: str) -> DataFrame:
-    """Class totals with each class's smallest id.
-
-    For text ids it takes a scan of its own, with one aggregate per class instead of groups, so that no sort is
-    needed.
-    """
-    totals = buckets.totals(df)
-    rows = totals.collect()
-    if not rows:
-        return totals.withColumn("first", F.lit(None))
-    if buckets.first:
-        found = [buckets.first[(r[label],)] for r in rows]
-    else:
-        same = lambda value: F.col(label).eqNullSafe(F.lit(value))
-        found = df.agg(*[F.min(F.when(same(r[label]), F.col(id_col))).alias(f"_{i}") for i, r in enumerate(rows)]).first()
-    kinds = f"`{label}` {df.schema[label].dataType.simpleString()}, n long, first {df.schema[id_col].dataType.simpleString()}"
-    return df.sparkSession.createDataFrame([(*r, found[i]) for i, r in enumerate(rows)], kinds).coalesce(1)
+    return sums_before(totals, ["first"], "n", "_off").select(label, F.inline(F.array(*cuts)))
 
 
 def stratified_kfold(
@@ -77,13 +55,8 @@ def stratified_kfold(
     Within a class the seeded hash order is cut into k runs of exactly those sizes, so a row's fold follows
     from comparing its own hash with k-1 cut-offs; the rows themselves are not shuffled.
     """
-    fixed_width = not isinstance(df.schema[id_col].dataType, (T.StringType, T.BinaryType))
-    buckets = bucket_counts(df, [label], id_col, seed, with_first=fixed_width)
-    if buckets is None:
-        totals = df.groupBy(label).agg(F.count("*").alias("n"), F.min(id_col).alias("first"))
-    else:
-        totals = _with_first(buckets, df, label, id_col)
-    return pieces_by_rank(df, [label], id_col, fold_quotas(totals, label, k), k - 1, seed, buckets, out)
+    totals = df.groupBy(label).agg(F.count("*").alias("n"), F.min(id_col).alias("first"))
+    return pieces_by_rank(df, [label], id_col, fold_quotas(totals, label, k), seed, out)
 
 
 def fold_view(df: DataFrame, fold: int) -> DataFrame:

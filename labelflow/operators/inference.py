@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import time
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from functools import lru_cache
 from typing import Protocol
@@ -17,7 +18,12 @@ from ..functions.replies import parse_marked
 from ..schemas import REPLY
 
 
+CALLERS = 16  # concurrent calls of one task, for models that take one prompt at a time
+
+
 class Model(Protocol):
+    """``generate_many(prompts, settings)`` may be added by models that answer batches."""
+
     def generate(self, prompt: str, **settings) -> str | None: ...
 
 
@@ -47,32 +53,82 @@ GENERATE_ONCE = RetryPolicy(tries=1, retry_other=False, retry_blank=False, pause
 NO_WAIT = RetryPolicy(base_delay=0.0, pause=0.0)
 
 
+def _settled(reply: str | None, error: str | None, attempt: int, retry: RetryPolicy) -> tuple[tuple | None, str | None]:
+    """A row's final ``(reply, attempts, status, error)`` after a try, or None and the error to try again for."""
+    if error is None:
+        if reply is None and not retry.retry_blank:
+            return (None, attempt + 1, "null", None), None
+        if not retry.retry_blank or (reply and reply.strip()):
+            return (reply, attempt + 1, "ok", None), None
+        error = "empty response"
+    if retry.is_transient(error) or retry.retry_other:
+        return ((None, retry.tries, "exhausted", error) if attempt + 1 >= retry.tries else None), error
+    return (None, attempt + 1, "failed", error), error
+
+
+def _wait(error: str, attempt: int, retry: RetryPolicy) -> float:
+    return retry.base_delay * (2**attempt if retry.is_transient(error) else 1)
+
+
 def ask(model: Model, prompt: str, settings: dict, retry: RetryPolicy, sleep: Callable = time.sleep) -> tuple:
     """One row: (reply, attempts, status, error). An error of one row never ends the job."""
-    error = None
     for attempt in range(retry.tries):
+        reply, error = None, None
         try:
             reply = model.generate(prompt, **settings)
         except Exception as problem:  # noqa: BLE001 - recorded as the row's status
             error = str(problem)
-        else:
-            if reply is None and not retry.retry_blank:
-                return None, attempt + 1, "null", None
-            if not retry.retry_blank or (reply and reply.strip()):
-                sleep(retry.pause)
-                return reply, attempt + 1, "ok", None
-            error = "empty response"
-        if retry.is_transient(error):
-            sleep(retry.base_delay * 2**attempt)
-        elif retry.retry_other:
-            sleep(retry.base_delay)
-        else:
-            return None, attempt + 1, "failed", error
-    return None, retry.tries, "exhausted", error
+        final, error = _settled(reply, error, attempt, retry)
+        if final and final[2] == "ok":
+            sleep(retry.pause)
+        elif error and not (final and final[2] == "failed"):
+            sleep(_wait(error, attempt, retry))
+        if final:
+            return final
+    raise ValueError("a retry policy needs one try at least")
+
+
+def ask_all(
+    model: Model, rows: list[tuple[str, dict]], retry: RetryPolicy, callers: int = CALLERS, sleep: Callable = time.sleep
+) -> list[tuple]:
+    """All rows of a batch, in order.
+
+    A model with ``generate_many(prompts, settings)`` gets the rows that still need an answer in one call per try; it returns a
+    reply or an exception for each. Any other model is asked by ``callers`` threads at once, so that a row's
+    waiting holds up no other row.
+    """
+    if not hasattr(model, "generate_many"):
+        with ThreadPoolExecutor(min(callers, max(1, len(rows)))) as pool:
+            return list(pool.map(lambda row: ask(model, *row, retry, sleep), rows))
+    out: list[tuple | None] = [None] * len(rows)
+    left = list(range(len(rows)))
+    for attempt in range(retry.tries):
+        try:
+            replies = model.generate_many([rows[i][0] for i in left], [rows[i][1] for i in left])
+        except Exception as problem:  # noqa: BLE001 - recorded as the status of the rows
+            replies = [problem] * len(left)
+        waits = [retry.pause]
+        for i, reply in zip(left, replies, strict=True):
+            failed = isinstance(reply, Exception)
+            out[i], error = _settled(None if failed else reply, str(reply) if failed else None, attempt, retry)
+            if error and out[i] is None:
+                waits.append(_wait(error, attempt, retry))
+        left = [i for i in left if out[i] is None]
+        sleep(max(waits))
+        if not left:
+            break
+    return out
 
 
 # Offline models, for tests, benches and dry runs.
-class HashModel:
+class _Immediate:
+    """Models that answer without waiting take a whole batch in one call."""
+
+    def generate_many(self, prompts: list[str], settings: list[dict]) -> list:
+        return [self.generate(p, **s) for p, s in zip(prompts, settings, strict=True)]
+
+
+class HashModel(_Immediate):
     """Marked score that follows from the prompt's digest alone."""
 
     def generate(self, prompt: str, **settings) -> str:
@@ -80,13 +136,13 @@ class HashModel:
         return f"【最終分數：{1 + nibble % 4}】"
 
 
-class EchoModel:
+class EchoModel(_Immediate):
     """A wordy rewrite: the rewrite mark, the last quoted text, and a closing comment."""
 
     def generate(self, prompt: str, **settings) -> str:
         quoted = prompt.rsplit('"', 2)
         sentence = quoted[1] if len(quoted) == 3 else prompt
-        return f"改寫為第 1 級：{sentence}\n這個改寫保留了原句。"
+        return f"改寫為第 1 級：{sentence}\n以上改自原句，未加內容。"
 
 
 class FlakyModel:
@@ -104,7 +160,7 @@ class FlakyModel:
         return HashModel().generate(prompt)
 
 
-class NullModel:
+class NullModel(_Immediate):
     def generate(self, prompt: str, **settings) -> None:
         return None
 
@@ -120,6 +176,21 @@ class ModelSpec:
         return self.backend(*self.arguments)
 
 
+def _many(model: Model, prompts: list[str], settings: list[dict]) -> list:
+    """Replies or exceptions of a model that may lack ``generate_many``."""
+    if hasattr(model, "generate_many"):
+        return model.generate_many(prompts, settings)
+
+    def one(row: tuple) -> str | None | Exception:
+        try:
+            return model.generate(row[0], **row[1])
+        except Exception as problem:  # noqa: BLE001 - recorded as the row's status
+            return problem
+
+    with ThreadPoolExecutor(min(CALLERS, max(1, len(prompts)))) as pool:
+        return list(pool.map(one, zip(prompts, settings, strict=True)))
+
+
 class TemplatedModel:
     """A model that is given the sentence only and puts it between two fixed texts.
 
@@ -130,7 +201,13 @@ class TemplatedModel:
         self.inner, self.before, self.after = inner.build(), before, after
 
     def generate(self, prompt: str | None, **settings) -> str | None:
-        return self.inner.generate(None if prompt is None else self.before + prompt + self.after, **settings)
+        return self.inner.generate(self._whole(prompt), **settings)
+
+    def generate_many(self, prompts: list[str], settings: list[dict]) -> list:
+        return _many(self.inner, [self._whole(p) for p in prompts], settings)
+
+    def _whole(self, prompt: str | None) -> str | None:
+        return None if prompt is None else self.before + prompt + self.after
 
 
 def templated(model: ModelSpec, before: str, after: str) -> ModelSpec:
@@ -143,10 +220,22 @@ class RoutedModel:
     def __init__(self, *specs: tuple[str, ModelSpec]):
         self.specs, self.built = dict(specs), {}
 
-    def generate(self, prompt: str, model: str, **settings) -> str | None:
+    def _named(self, model: str) -> Model:
         if model not in self.built:
             self.built[model] = self.specs[model].build()
-        return self.built[model].generate(prompt, **settings)
+        return self.built[model]
+
+    def generate(self, prompt: str, model: str, **settings) -> str | None:
+        return self._named(model).generate(prompt, **settings)
+
+    def generate_many(self, prompts: list[str], settings: list[dict]) -> list:
+        out: list = [None] * len(prompts)
+        for name in dict.fromkeys(s["model"] for s in settings):
+            own = [i for i, s in enumerate(settings) if s["model"] == name]
+            rest = [{k: v for k, v in settings[i].items() if k != "model"} for i in own]
+            for i, reply in zip(own, _many(self._named(name), [prompts[i] for i in own], rest), strict=True):
+                out[i] = reply
+        return out
 
 
 def routed(models: dict[str, ModelSpec]) -> ModelSpec:
@@ -193,11 +282,12 @@ def generate(
     retry: RetryPolicy = SCORER_RETRY,
     settings: tuple[str, ...] = (),
     parallelism: int | None = None,
+    callers: int = CALLERS,
 ) -> DataFrame:
     """Add ``reply, attempts, status, error`` for every row.
 
     Only the prompt and the setting columns go to Python; all others stay in the JVM. ``parallelism`` is the
-    number of concurrent callers, set by the service's rate limit and not by the data size. Replies are costly
+    number of tasks and ``callers`` that of concurrent calls in each, set by the service's rate limit and not by the data size. Replies are costly
     and may differ between calls: write the result, or ``cut_lineage`` it, before using it more than once.
     """
     spread = df.repartition(parallelism) if parallelism else df
@@ -207,8 +297,8 @@ def generate(
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         client = _built(model)
         for batch in batches:
-            rows = [ask(client, row[0], dict(zip(names, row[1:], strict=True)), retry) for row in batch.values.tolist()]
-            yield pd.DataFrame(rows, columns=["reply", "attempts", "status", "error"])
+            rows = [(row[0], dict(zip(names, row[1:], strict=True))) for row in batch.values.tolist()]
+            yield pd.DataFrame(ask_all(client, rows, retry, callers), columns=["reply", "attempts", "status", "error"])
 
     asked = run.asNondeterministic()(F.struct(F.col(prompt), *[F.col(c) for c in names]))
     return spread.withColumn("_a", asked).select("*", "_a.*").drop("_a")

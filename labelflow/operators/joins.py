@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 HOT_SHARE = 0.001  # a key with more than this share of all rows is split; there are at most 1000
-SMALL = 100_000  # tables up to this size fit one task whatever their skew
 
 
 def digest(col: str):
@@ -21,7 +20,6 @@ def spread_lookup(
     spread_by: list[str],
     how: str = "left",
     hot_share: float = HOT_SHARE,
-    small: int = SMALL,
 ) -> DataFrame:
     """Join ``rows`` to ``table`` (unique on ``on``), salting the keys that are hot in ``rows``.
 
@@ -34,7 +32,7 @@ def spread_lookup(
     sketch = F.expr(f"approx_top_k(`{on}`, {most}, {most * 10})")
     found = rows.agg(F.count("*").alias("total"), sketch.alias("top")).first()
     threshold = max(1.0, found["total"] * hot_share)
-    hot = [] if found["total"] <= small else [r for r in found["top"] if r["count"] > threshold]
+    hot = [r for r in found["top"] or [] if r["count"] > threshold]
     if not hot:
         return rows.join(table, on, how)
     key_type = rows.schema[on].dataType.simpleString()

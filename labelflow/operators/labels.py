@@ -32,7 +32,7 @@ def require_columns(df: DataFrame, columns: list[str], name: str = "table") -> D
     """Return ``df`` unchanged, or raise with the missing columns in ascending order."""
     missing = sorted(set(columns) - set(df.columns))
     if missing:
-        raise ValueError(f"{name} is missing required column(s): {', '.join(missing)}")
+        raise ValueError(f"columns absent from {name}: {', '.join(missing)}")
     return df
 
 
@@ -145,7 +145,7 @@ class Sanitized:
     def report(self, samples: int = 3) -> dict:
         """Number of rejects and a few of them; raises when no usable row is left."""
         if self.clean.isEmpty():
-            raise ValueError("no valid rows remain after preprocessing")
+            raise ValueError("preprocessing left no rows")
         return {"dropped": self.rejects.count(), "samples": self.rejects.limit(samples).collect()}
 
 

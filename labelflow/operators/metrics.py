@@ -9,10 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ranking import lay_out, totals_before
-
-MAX_LABELS = 1_000  # a dense matrix over seen labels has at most this many rows
-
+from .ranking import join_back, lay_out, totals_before
 
 def _zeros(df: DataFrame, label: str, labels: tuple, count: str) -> DataFrame:
     listed = F.array(*[F.lit(v) for v in labels]).cast(f"array<{df.schema[label].dataType.simpleString()}>")
@@ -63,26 +60,15 @@ def confusion_cells(df: DataFrame, gold: str, pred: str) -> DataFrame:
     return df.groupBy(F.col(gold).alias("gold"), F.col(pred).alias("pred")).agg(F.count("*").alias("n"))
 
 
-def confusion(df: DataFrame, gold: str, pred: str, max_labels: int = MAX_LABELS) -> DataFrame:
-    """Dense matrix in long form over every label seen as gold or prediction.
+def confusion(df: DataFrame, gold: str, pred: str, labels: tuple) -> DataFrame:
+    """Matrix in long form: every pair of the given labels, with 0 where it does not occur, and all other pairs seen.
 
-    The grid comes from the array of seen labels, which is checked against ``max_labels``.
+    Without a list of labels :func:`confusion_cells` has all there is to know.
     """
     cells = confusion_cells(df, gold, pred)
-    seen = cells.select(F.explode(F.array("gold", "pred")).alias("label")).distinct()
-    # At most max_labels + 1 labels are gathered; one more than allowed stops the job.
-    labels = seen.limit(max_labels + 1).agg(F.collect_list("label").alias("_labels"))
-    checked = F.when(F.size("_labels") <= max_labels, F.col("_labels")).otherwise(
-        F.raise_error(F.lit(f"more than {max_labels} labels: use confusion_cells")).cast(
-            labels.schema["_labels"].dataType
-        )
-    )
-    grid = (
-        labels.select(checked.alias("_labels"))
-        .select("_labels", F.explode("_labels").alias("gold"))
-        .select("gold", F.explode("_labels").alias("pred"))
-        .withColumn("n", F.lit(0).cast("long"))
-    )
+    zeros = _zeros(cells, "gold", labels, "n")
+    listed = F.array(*[F.lit(v) for v in labels]).cast(f"array<{cells.schema['pred'].dataType.simpleString()}>")
+    grid = zeros.select("gold", F.explode(listed).alias("pred"), "n")
     return grid.unionByName(cells).groupBy("gold", "pred").agg(F.sum("n").alias("n"))
 
 
@@ -197,24 +183,16 @@ def cv_summary(folds: DataFrame) -> DataFrame:
 def running_accuracy(df: DataFrame, gold: str, pred: str, order: list[str]) -> DataFrame:
     """Rows, right rows and accuracy up to and including each row, in a unique total order.
 
-    The rows are range-partitioned by ``order``; each partition carries the sums of the partitions before it,
-    and the running sum is a window inside the partition.
+    Keys and hits are range-partitioned by ``order``; each partition carries the sums of the partitions before it, and the
+    running sum is a window inside the partition. Whole rows meet them by key.
     """
-    laid = lay_out(df.withColumn("_hit", _hit(gold, pred).cast("long")), order)
+    laid = lay_out(df.select(*order, _hit(gold, pred).cast("long").alias("_hit")), order)
     before = totals_before(laid, {"_rows": F.count("*"), "_hits": F.sum("_hit")})
     inside = Window.partitionBy("_part").orderBy("_row").rowsBetween(Window.unboundedPreceding, 0)
-    return (
-        laid.withColumn("_in", F.sum("_hit").over(inside))
-        .join(F.broadcast(before), "_part")
-        .withColumns(
-            {
-                "rows_so_far": F.col("_rows") + F.col("_row") + 1,
-                "correct_so_far": F.col("_hits") + F.col("_in"),
-            }
-        )
-        .withColumn("running_accuracy", F.col("correct_so_far") / F.col("rows_so_far"))
-        .select(*df.columns, "rows_so_far", "correct_so_far", "running_accuracy")
-    )
+    new = {"rows_so_far": F.col("_rows") + F.col("_row") + 1, "correct_so_far": F.col("_hits") + F.col("_in")}
+    summed = laid.withColumn("_in", F.sum("_hit").over(inside)).join(F.broadcast(before), "_part").withColumns(new)
+    summed = summed.withColumn("running_accuracy", F.col("correct_so_far") / F.col("rows_so_far"))
+    return join_back(df, summed, order, [*new, "running_accuracy"])
 
 
 def comparison(df: DataFrame, series: str, column: str, values: list, correct: str) -> DataFrame:

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions.text import non_empty
 from ..schemas import PAIRED_EXAMPLE
+from .sampling import first_n_per_class
 
-MAX_EXAMPLES = 10_000  # a prompt prefix with more examples than this is refused
-
+# The names of the levels inside prompts.
 LEVEL_NAMES = {1: "一級", 2: "二級", 3: "三級", 4: "四級"}
 # Fixed value: what callers receive in place of a prompt when the target level is not 1..4.
 INVALID_LEVEL = "Error: Level must be 1, 2, 3, or 4."
@@ -83,19 +83,15 @@ def _choose(level: Column, texts: dict[int, str], default: Column | None = None)
     return chain.otherwise(default) if default is not None else chain
 
 
-def _one_block(examples: DataFrame, order: list[str], line: Column, limit: int = MAX_EXAMPLES) -> DataFrame:
-    """All example lines as one text, in ``order``.
-
-    Only the first ``limit + 1`` rows are ever gathered; finding more than ``limit``, or none, stops the job.
-    """
-    kept = examples.select(F.struct(*order).alias("_o"), line.alias("_line")).orderBy("_o").limit(limit + 1)
+def _one_block(examples: DataFrame, order: list[str], line: Column, n: int) -> DataFrame:
+    """The lines of the first ``n`` examples in ``order`` as one text. How many a prompt shows is the caller's choice; having none
+    at all stops the job."""
+    kept = examples.select(F.struct(*order).alias("_o"), line.alias("_line")).orderBy("_o").limit(n)
     lines = kept.agg(F.array_sort(F.collect_list(F.struct("_o", "_line"))).alias("_l"))
     text = F.array_join(F.transform("_l", lambda e: e["_line"]), "")
-    checked = (
-        F.when(F.size("_l") == 0, F.raise_error(F.lit("the examples must hold at least one row")).cast("string"))
-        .when(F.size("_l") > limit, F.raise_error(F.lit(f"more than {limit} examples; sample them")).cast("string"))
-        .otherwise(text)
-    )
+    checked = F.when(
+        F.size("_l") == 0, F.raise_error(F.lit("the examples must hold at least one row")).cast("string")
+    ).otherwise(text)
     return lines.select(checked.alias("block"))
 
 
@@ -131,17 +127,17 @@ def scale_text(version: int = 1, override: str | None = None) -> str:
 def scoring_prefix(
     examples: DataFrame,
     order: list[str],
+    n: int,
     version: int = 1,
     hard_negatives: bool = False,
     scale: str | None = None,
-    limit: int = MAX_EXAMPLES,
 ) -> DataFrame:
-    """One row with the part of the scoring prompt that all rows share."""
+    """One row with the part of the scoring prompt that all rows share; it shows the first ``n`` examples."""
     head = scale_text(version, scale).strip() + "\n\n"
     if hard_negatives:
         head += HARD_NEGATIVES.strip() + "\n\n"
     line = paired_line() if "by_level" in examples.columns else example_line(examples)
-    return _one_block(examples, order, line, limit).select(
+    return _one_block(examples, order, line, n).select(
         F.concat(F.lit(head + EXAMPLES_HEADER), F.col("block")).alias("prefix")
     )
 
@@ -154,13 +150,15 @@ def scoring_prompt(
 
 
 def judge_prefix(
-    examples: DataFrame, order: list[str], scale: str = JUDGE_SCALE, names: dict[int, str] = JUDGE_LEVELS
+    examples: DataFrame,
+    order: list[str],
+    per_level: int = 5,
+    scale: str = JUDGE_SCALE,
+    names: dict[int, str] = JUDGE_LEVELS,
 ) -> DataFrame:
-    """Scale, then the examples under a header per level, levels ascending.
-
-    ``examples`` holds a few rows per level, as :func:`first_n_per_class` gives them.
-    """
-    bullets = examples.groupBy("score").agg(
+    """Scale, then the first ``per_level`` examples of each level under a header, levels ascending."""
+    few = first_n_per_class(examples.select("score", "text", *order), "score", per_level, order, tuple(names))
+    bullets = few.groupBy("score").agg(
         F.array_join(
             F.transform(
                 F.array_sort(F.collect_list(F.struct(*order, F.col("text").alias("_text")))), lambda e: e["_text"]
@@ -169,10 +167,11 @@ def judge_prefix(
         ).alias("_b")
     )
     name = _choose(F.col("score"), names, F.format_string("Level %d", F.col("score")))
+    # The header and the bullet of a level.
     section = F.concat(
         F.lit("\n【Level "), F.col("score").cast("string"), F.lit("："), name, F.lit("】\n  • 「"), F.col("_b"), F.lit("」\n")
     )
-    return _one_block(bullets.withColumn("_s", section), ["score"], F.col("_s")).select(
+    return _one_block(bullets.withColumn("_s", section), ["score"], F.col("_s"), len(names)).select(
         F.concat(F.lit(scale + "\n\n" + EXAMPLES_HEADER), F.col("block")).alias("prefix")
     )
 
@@ -212,30 +211,31 @@ def rewrite_prompt_basic(
     return df.withColumn(out, F.when(_converts(df, original, t), convert).otherwise(plain))
 
 
-def examples_by_level(examples: DataFrame, order: list[str], level: str = "score", text: str = "text") -> DataFrame:
-    """``(level, n_examples, example_lines)`` from the first n examples per level."""
-    listed = F.array_sort(F.collect_list(F.struct(*order, F.col(text).alias("_text"))))
+def examples_by_level(
+    examples: DataFrame,
+    order: list[str],
+    n: int = 30,
+    level: str = "score",
+    text: str = "text",
+    levels: tuple[int, ...] = (1, 2, 3, 4),
+) -> DataFrame:
+    """``(level, n_examples, example_lines)`` from the first ``n`` examples of each level."""
+    slim = examples.select(F.col(level).cast("int").alias("level"), F.col(text).alias("_text"), *order)
+    few = first_n_per_class(slim, "level", n, order, levels)
+    listed = F.array_sort(F.collect_list(F.struct(*order, "_text")))
     lines = F.array_join(F.transform(listed, lambda e: F.concat(F.lit("- "), e["_text"], F.lit("\n"))), "")
-    return examples.groupBy(F.col(level).cast("int").alias("level")).agg(
-        F.count("*").alias("n_examples"), lines.alias("example_lines")
-    )
+    return few.groupBy("level").agg(F.count("*").alias("n_examples"), lines.alias("example_lines"))
 
 
-def attach_examples(df: DataFrame, by_level: DataFrame, target: str = "target", max_levels: int = 100) -> DataFrame:
+def attach_examples(
+    df: DataFrame, by_level: DataFrame, target: str = "target", levels: tuple[int, ...] = (1, 2, 3, 4)
+) -> DataFrame:
     """Add the example block of the target level, or the placeholder line.
 
-    The example table has a row per level. It is looked up through one scalar map, so the task rows are not
-    shuffled; more than ``max_levels`` levels stop the job.
+    The blocks of the given levels are looked up through one scalar map, so the task rows are not shuffled.
     """
-    kept = by_level.limit(max_levels + 1)
     entries = F.collect_list(F.struct("level", F.struct("n_examples", "example_lines")))
-    table = kept.agg(entries.alias("_e")).select(
-        F.when(F.size("_e") <= max_levels, F.map_from_entries("_e")).otherwise(
-            F.raise_error(F.lit(f"more than {max_levels} example levels")).cast(
-                "map<int,struct<n_examples:bigint,example_lines:string>>"
-            )
-        )
-    )
+    table = by_level.where(F.col("level").isin(*levels)).agg(F.map_from_entries(entries))
     block = F.concat(F.format_string(EXAMPLE_COUNT, F.col("_x.n_examples")), F.col("_x.example_lines"))
     return (
         df.withColumn("_x", F.element_at(table.scalar(), F.col(target).cast("int")))

@@ -8,17 +8,18 @@ ever sorted together.
 
 from __future__ import annotations
 
-from collections import Counter
-from dataclasses import dataclass, field
+from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Row, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 
-MAX_GROUPS = 10_000  # largest summary table (in rows) that is taken to the driver or broadcast
-DIGITS = 3  # hex digits of a bucket: 4096 buckets, which leaves some 10 million rows in one of 40 billion
+DIGITS = 4  # hex digits of a bucket: 65,536 buckets, which leaves some 15 million rows in one of a class of 10 ** 12
+
+
+ROWS_PER_RANGE = 5_000_000  # of narrow rows that one task sorts
 
 
 def seeded_hash(id_col: str, seed: int | str) -> Column:
@@ -27,14 +28,24 @@ def seeded_hash(id_col: str, seed: int | str) -> Column:
     return F.coalesce(F.md5(F.concat(F.lit(f"{seed}:"), F.col(id_col).cast("string")).cast("binary")), F.lit(""))
 
 
-def collect_bounded(df: DataFrame, limit: int = MAX_GROUPS) -> list | None:
-    """The rows of a summary table, or None when it has more than ``limit`` of them."""
-    rows = df.limit(limit + 1).collect()
-    return rows if len(rows) <= limit else None
+def _bucket(digits: int = DIGITS) -> Column:
+    return F.substring("_h", 1, digits)
+
+
+def same_keys(left: DataFrame, right: DataFrame, by: Sequence[str]) -> Column:
+    """Equal classes, where rows without a class are a class of their own."""
+    return reduce(Column.__and__, [left[k].eqNullSafe(right[f"_k{i}"]) for i, k in enumerate(by)], F.lit(True))
 
 
-def _bucket_offsets(keyed: DataFrame, by: list[str]) -> DataFrame:
-    """Rows before each (class, bucket), rows in it, and rows of the class."""
+def _as_right(df: DataFrame, by: Sequence[str]) -> DataFrame:
+    return df.withColumnsRenamed({k: f"_k{i}" for i, k in enumerate(by)})
+
+
+def bucket_offsets(keyed: DataFrame, by: list[str]) -> DataFrame:
+    """``(*by, _b, _n, _lo)``: rows of each (class, bucket), and rows of the class before it.
+
+    Counts combine map-side. The window runs over at most ``16 ** digits`` rows per class.
+    """
     before = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     return (
         keyed.groupBy(*by, "_b")
@@ -48,184 +59,86 @@ def stable_rank(
 ) -> DataFrame:
     """Exact 1-based rank of every row inside its class, in seeded hash order.
 
-    The offset table has at most ``16 ** digits`` rows per class and is joined on the keys the window is
-    already partitioned by, so it adds no shuffle of the data and needs no broadcast. Rows without a class
-    get no rank.
+    The offset table is joined on the keys the window is already partitioned by, so it adds no shuffle of the data and
+    needs no broadcast. Rows without a class are ranked among themselves.
     """
     keys = by or ["_all"]
-    keyed = df.withColumn("_h", seeded_hash(id_col, seed)).withColumn("_b", F.substring("_h", 1, digits))
+    keyed = df.withColumn("_h", seeded_hash(id_col, seed)).withColumn("_b", _bucket(digits))
     keyed = keyed if by else keyed.withColumn("_all", F.lit(0))
     inside = Window.partitionBy(*keys, "_b").orderBy("_h", id_col)
-    offsets = _bucket_offsets(keyed.select(*keys, "_b"), keys).drop("_n")
-    ranked = keyed.withColumn("_r", F.row_number().over(inside)).join(offsets, [*keys, "_b"], "left")
-    return ranked.withColumn(out, F.col("_lo") + F.col("_r")).select(*df.columns, out)
-
-
-@dataclass
-class BucketCounts:
-    """Rows per class and hash bucket of one table, small enough for the driver."""
-
-    by: list[str]
-    counts: dict[tuple, dict[str, int]]
-    first: dict[tuple, object] = field(default_factory=dict)
-
-    def totals(self, df: DataFrame) -> DataFrame:
-        """``(*by, n)`` per class, as a local table."""
-        types = [f"`{k}` {df.schema[k].dataType.simpleString()}" for k in self.by]
-        rows = [(*group, sum(c.values())) for group, c in self.counts.items()]
-        return df.sparkSession.createDataFrame(rows, ", ".join([*types, "n long"])).coalesce(1)
-
-    def size(self) -> int:
-        return sum(sum(c.values()) for c in self.counts.values())
-
-    def merged(self) -> BucketCounts:
-        """The same rows taken as one class."""
-        together: Counter = Counter()
-        for c in self.counts.values():
-            together.update(c)
-        return BucketCounts([], {(): dict(together)})
+    offsets = _as_right(bucket_offsets(keyed.select(*keys, "_b"), keys).drop("_n"), [*keys, "_b"])
+    ranked = keyed.withColumn("_r", F.row_number().over(inside))
+    return ranked.join(offsets, same_keys(ranked, offsets, [*keys, "_b"]), "left").select(
+        *[ranked[c] for c in df.columns], (F.col("_lo") + F.col("_r")).alias(out)
+    )
 
 
-def bucket_counts(
-    df: DataFrame, by: list[str], id_col: str, seed: int | str, with_first: bool = False
-) -> BucketCounts | None:
-    """Count buckets in one narrow scan with map-side aggregation; None when there are too many classes.
+def rank_cutoffs(df: DataFrame, by: list[str], id_col: str, quotas: DataFrame, seed: int | str) -> DataFrame:
+    """``(*by, cuts)``: per class the (hash, id) keys of the rows at its wanted ranks, as an array of ``(cut, h, id)``.
 
-    ``with_first`` also finds each class's smallest id, which only suits ids of fixed width: the minimum of a
-    text would make Spark sort every row first.
-    """
-    bucket = F.substring(seeded_hash(id_col, seed), 1, DIGITS).alias("_b")
-    sums = [F.count("*").alias("_n"), *([F.min(id_col).alias("_first")] if with_first else [])]
-    rows = collect_bounded(df.groupBy(*by, bucket).agg(*sums), MAX_GROUPS * 16)
-    if rows is None:
-        return None
-    out = BucketCounts(by, {})
-    for row in rows:
-        group = tuple(row[k] for k in by)
-        out.counts.setdefault(group, {})[row["_b"]] = row["_n"]
-        if with_first:
-            out.first[group] = min(out.first.get(group, row["_first"]), row["_first"])
-    return out
-
-
-def _locate(counts: dict[str, int], rank: int) -> tuple[str, int]:
-    """The bucket that holds a rank, and the rank inside it."""
-    for bucket in sorted(counts):
-        if rank <= counts[bucket]:
-            return bucket, rank
-        rank -= counts[bucket]
-    raise ValueError("rank beyond the class")
-
-
-def rank_cutoffs(
-    df: DataFrame, buckets: BucketCounts, id_col: str, quotas: list[Row], seed: int | str
-) -> dict[tuple, dict[int, tuple]]:
-    """The (hash, id) key of the row at each wanted rank, per class and cut.
-
-    ``quotas`` are rows ``(*by, cut, rank)``. One narrow scan keeps and sorts only the buckets that hold a wanted
-    rank, a thousandth of the rows or less. Rank 0 gives the empty key, below all rows; a rank from the
-    class size on gives a key above all rows.
+    ``quotas`` holds ``(*by, cut, rank)``. One narrow scan counts buckets; a second one sorts only the buckets that hold a wanted rank. Rank 0
+    gives a key below all rows; a rank from the class size on gives one above all.
     """
-    by, keys = buckets.by, {}
-    wanted: dict[tuple, list] = {}
-    for q in quotas:
-        group = tuple(q[k] for k in by)
-        if q["rank"] <= 0:
-            keys.setdefault(group, {})[q["cut"]] = ("", None)
-        elif q["rank"] >= sum(buckets.counts[group].values()):
-            keys.setdefault(group, {})[q["cut"]] = ("~", None)
-        else:
-            bucket, place = _locate(buckets.counts[group], q["rank"])
-            wanted.setdefault((*group, bucket), []).append((q["cut"], place))
-    if not wanted:
-        return keys
-    types = _key_types(df, by)
-    # One row per wanted rank at most, so this table is as bounded as the quotas are.
-    targets = df.sparkSession.createDataFrame(
-        [(*k, v) for k, v in wanted.items()],
-        ", ".join([*types, "_kb string", "_cuts array<struct<cut:int,place:long>>"]),
+    keyed = df.select(*by, F.col(id_col).alias("_id"), seeded_hash(id_col, seed).alias("_h")).withColumn("_b", _bucket())
+    offsets = _as_right(bucket_offsets(keyed, by), by)
+    inside = (F.col("rank") > F.col("_lo")) & (F.col("rank") <= F.col("_lo") + F.col("_n"))
+    targets = quotas.join(offsets, same_keys(quotas, offsets, by) & inside, "left").select(
+        *[quotas[k] for k in by], "cut", "rank", "_b", (F.col("rank") - F.col("_lo")).alias("_place")
     )
-    keyed = df.select(*by, F.col(id_col).alias("_id"), seeded_hash(id_col, seed).alias("_h"))
-    inside = Window.partitionBy(*by, "_b").orderBy("_h", "_id")
+    # Written, so that the joins below see how large it really is: some rows per class.
+    targets = cut_lineage(targets, "targets")
+    places = targets.where("_b IS NOT NULL").groupBy(*by, "_b").agg(F.collect_list(F.struct("cut", "_place")).alias("_cuts"))
+    places = _as_right(places, [*by, "_b"])
+    at = Window.partitionBy(*by, "_b").orderBy("_h", "_id")
     found = (
-        keyed.withColumn("_b", F.substring("_h", 1, DIGITS))
-        .join(F.broadcast(targets), (F.col("_b") == F.col("_kb")) & _same_class(by))
-        .withColumn("_r", F.row_number().over(inside))
+        keyed.join(places, same_keys(keyed, places, [*by, "_b"]))
+        .select(*[keyed[c] for c in keyed.columns], "_cuts")
+        .withColumn("_r", F.row_number().over(at))
         .withColumn("_cut", F.explode("_cuts"))
-        .where(F.col("_r") == F.col("_cut.place"))
+        .where(F.col("_r") == F.col("_cut._place"))
         .select(*by, F.col("_cut.cut").alias("cut"), "_h", "_id")
     )
-    for row in found.collect():
-        keys.setdefault(tuple(row[k] for k in by), {})[row["cut"]] = (row["_h"], row["_id"])
-    return keys
+    id_type = df.schema[id_col].dataType
+    beyond = targets.where("_b IS NULL").select(
+        *by, "cut", F.when(F.col("rank") <= 0, "").otherwise("~").alias("_h"), F.lit(None).cast(id_type).alias("_id")
+    )
+    return found.unionByName(beyond).groupBy(*by).agg(F.collect_list(F.struct("cut", "_h", "_id")).alias("_cuts"))
 
 
 def pieces_by_rank(
-    df: DataFrame,
-    by: list[str],
-    id_col: str,
-    quotas: DataFrame,
-    cuts: int,
-    seed: int | str,
-    buckets: BucketCounts | None,
-    out: str = "piece",
+    df: DataFrame, by: list[str], id_col: str, quotas: DataFrame, seed: int | str, out: str = "piece"
 ) -> DataFrame:
     """Number of cut-offs that lie before each row: 0 up to the first wanted rank, then 1, and so on.
 
-    ``quotas`` holds ``(*by, cut, rank)``, ``buckets`` the counts that :func:`bucket_counts` gave. The row data is
-    not shuffled: the cut-offs (one row per class) are looked up by a broadcast join and compared with the
-    row's own hash. With too many classes for that, the full ranks are used and joined by shuffle.
+    ``quotas`` holds ``(*by, cut, rank)`` for every class. Each row compares its own hash with the cut-offs of its class. Those are
+    a written table of one row per class: Spark broadcasts it where its size allows, and else joins by shuffle, with hot
+    classes split. No row is lost either way, also without a class.
     """
-    passed = lambda tests: reduce(Column.__add__, [t.cast("int") for t in tests])
-    if buckets is None:
-        wide = quotas.groupBy(*by).pivot("cut", list(range(cuts))).agg(F.max("rank"))
-        ranked = stable_rank(df, by, id_col, seed, out="_rank").join(wide, by)
-        return ranked.withColumn(out, passed([F.col("_rank") > F.col(str(i)) for i in range(cuts)])).select(
-            *df.columns, out
-        )
-
-    found = rank_cutoffs(df, buckets, id_col, quotas.collect(), seed)
+    cutoffs = _as_right(cut_lineage(rank_cutoffs(df, by, id_col, quotas, seed), "cutoffs"), by)
     hashed = df.withColumn("_h", seeded_hash(id_col, seed))
-    if not by:
-        tests = [_beyond(F.lit(h), F.lit(i), id_col) for h, i in (found[()][c] for c in range(cuts))]
-        return hashed.withColumn(out, passed(tests)).select(*df.columns, out)
-    id_type = df.schema[id_col].dataType.simpleString()
-    types = _key_types(df, by)
-    types += [f"_h{c} string, _id{c} {id_type}" for c in range(cuts)]
-    table = df.sparkSession.createDataFrame(
-        [(*k, *[v for c in range(cuts) for v in found[k][c]]) for k in found], ", ".join(types)
-    )
-    tests = [_beyond(F.col(f"_h{c}"), F.col(f"_id{c}"), id_col) for c in range(cuts)]
-    return hashed.join(F.broadcast(table), _same_class(by)).withColumn(out, passed(tests)).select(*df.columns, out)
-
-
-def _key_types(df: DataFrame, by: list[str]) -> list[str]:
-    return [f"_k{i} {df.schema[k].dataType.simpleString()}" for i, k in enumerate(by)]
-
-
-def _same_class(by: list[str]) -> Column:
-    """Class columns equal those of a look-up table; rows without a class are a class of their own."""
-    return reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(by)], F.lit(True))
-
-
-def _beyond(cut_hash: Column, cut_id: Column, id_col: str) -> Column:
-    """Whether the row's (hash, id) lies behind a cut-off."""
-    h = F.col("_h")
-    return (h > cut_hash) | ((h == cut_hash) & F.coalesce(F.col(id_col) > cut_id, F.lit(False)))
+    own, own_id = F.col("_h"), F.col(id_col)
+    beyond = lambda c: (own > c["_h"]) | ((own == c["_h"]) & F.coalesce(own_id > c["_id"], F.lit(False)))
+    passed = F.size(F.filter(F.col("_cuts"), beyond))
+    # Without classes there is one row of cut-offs, read as a scalar.
+    joined = hashed.join(cutoffs, same_keys(hashed, cutoffs, by)) if by else hashed.withColumn("_cuts", cutoffs.scalar())
+    return joined.select(*[hashed[c] for c in df.columns], passed.alias(out))
 
 
 def lay_out(df: DataFrame, order: list[str], partitions: int | None = None) -> DataFrame:
     """Rows in a total order: adds ``_part`` (range partition) and ``_row`` (0-based row inside it).
 
     ``order`` must be unique per row; a hot value of its first column is then still split, because the
-    range partitioning looks at the whole key. The sorted rows are checkpointed once, so everything that
-    is derived from the partitions later reads the same files.
+    range partitioning looks at the whole key. There is a range for every ``ROWS_PER_RANGE`` rows, and the shuffle partitions of
+    the session at least. The sorted rows are written once, so everything that is derived from the partitions later reads the
+    same files; callers pass only the columns they need.
     """
-    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    usual = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = partitions or max(usual, -(-df.count() // ROWS_PER_RANGE))
     laid = cut_lineage(
         df.repartitionByRange(n, *order)
         .sortWithinPartitions(*order)
-        .withColumn("_seq", F.monotonically_increasing_id())
+        .withColumn("_seq", F.monotonically_increasing_id()),
+        "layout",
     )
     # The id holds the partition in its upper bits and the row in its lower 33 bits.
     return laid.withColumns(
@@ -240,10 +153,27 @@ def totals_before(laid: DataFrame, sums: dict[str, Column]) -> DataFrame:
     return per_part.select("_part", *[F.coalesce(F.sum(n).over(before), F.lit(0)).alias(n) for n in sums])
 
 
+def join_back(df: DataFrame, keyed: DataFrame, order: list[str], new: list[str]) -> DataFrame:
+    """``df`` with the columns ``new`` of a table that has the same ``order`` keys; null keys meet null keys."""
+    if set(df.columns) == set(order):
+        return keyed.select(*df.columns, *new)
+    right = _as_right(keyed.select(*order, *new), order)
+    joined = df.join(right, same_keys(df, right, order))
+    return joined.select(*[df[c] for c in df.columns], *[right[c] for c in new])
+
+
 def dense_position(df: DataFrame, order: list[str], out: str = "position") -> DataFrame:
-    """0-based position in a total order, without a single-task sort."""
-    laid = lay_out(df, order)
+    """0-based position in a total order, without a single-task sort. Only the order keys are laid out."""
+    laid = lay_out(df.select(*order), order)
     offsets = totals_before(laid, {"_lo": F.count("*")})
-    return (
-        laid.join(F.broadcast(offsets), "_part").withColumn(out, F.col("_lo") + F.col("_row")).select(*df.columns, out)
-    )
+    placed = laid.join(F.broadcast(offsets), "_part").withColumn(out, F.col("_lo") + F.col("_row"))
+    return join_back(df, placed, order, [out])
+
+
+def sums_before(df: DataFrame, order: list[str], value: str, out: str) -> DataFrame:
+    """Sum of ``value`` over all rows before each row, in a total order; no task sees all rows."""
+    laid = lay_out(df, order)
+    offsets = totals_before(laid, {"_lo": F.sum(value)})
+    inside = Window.partitionBy("_part").orderBy("_row").rowsBetween(Window.unboundedPreceding, -1)
+    summed = laid.withColumn("_in", F.coalesce(F.sum(value).over(inside), F.lit(0)))
+    return summed.join(F.broadcast(offsets), "_part").select(*df.columns, (F.col("_lo") + F.col("_in")).alias(out))

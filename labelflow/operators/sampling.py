@@ -2,46 +2,34 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ranking import MAX_GROUPS, BucketCounts, bucket_counts, pieces_by_rank, seeded_hash
-
-ALL_CLASSES = (Window.unboundedPreceding, Window.unboundedFollowing)
+from ..session import cut_lineage
+from .ranking import dense_position, pieces_by_rank, seeded_hash
 
 
 def class_totals(df: DataFrame, label: str) -> DataFrame:
-    """Rows of each class, of all classes, and of the smallest class."""
-    return _with_sums(df.groupBy(label).agg(F.count("*").alias("n")))
-
-
-def _with_sums(totals: DataFrame) -> DataFrame:
-    """Add sums over a class-count table. The window holds one row per class, never the data."""
-    w = Window.partitionBy(F.lit(0)).rowsBetween(*ALL_CLASSES)
-    return totals.withColumns({"total": F.sum("n").over(w), "smallest": F.min("n").over(w)})
+    """Rows of each class, counted map-side."""
+    return df.groupBy(label).agg(F.count("*").alias("n"))
 
 
-def _counted(df: DataFrame, label: str, id_col: str, seed: int | str) -> tuple[BucketCounts | None, DataFrame]:
-    """Bucket counts and class totals from one scan; with very many classes only the totals."""
-    buckets = bucket_counts(df, [label], id_col, seed)
-    totals = class_totals(df, label) if buckets is None else _with_sums(buckets.totals(df))
-    return buckets, totals
-
-
-def _merged(df: DataFrame, buckets: BucketCounts | None, id_col: str, seed: int | str) -> BucketCounts:
-    return bucket_counts(df, [], id_col, seed) if buckets is None else buckets.merged()
+def holdout_quotas(totals: DataFrame, label: str, test_share: float) -> DataFrame:
+    """Train rows per class by largest remainder; equal remainders go to the lower label. Classes are never gathered."""
+    fact = totals.agg(F.sum("n").alias("total")).first()
+    total = fact["total"] or 0
+    train = total - math.ceil(total * test_share)
+    exact = F.col("n") * F.lit(train)
+    shares = totals.withColumns({"base": F.floor(exact / F.lit(max(1, total))), "_lack": -(exact % F.lit(max(1, total)))})
+    left = train - (shares.agg(F.sum("base")).first()[0] or 0)
+    placed = dense_position(shares, ["_lack", label], "_place")
+    return placed.select(label, (F.col("base") + (F.col("_place") < left).cast("long")).alias("rank"))
 
 
-def holdout_quotas(totals: DataFrame, label: str, test_share: float) -> DataFrame:
-    """Train rows per class by largest remainder; equal remainders go to the lower label."""
-    train = F.col("total") - F.ceil(F.col("total") * F.lit(test_share))
-    exact = F.col("n") * F.col("train")
-    shares = totals.withColumn("train", train).withColumns(
-        {"base": F.floor(exact / F.col("total")), "rest": exact % F.col("total")}
-    )
-    by_rest = Window.partitionBy(F.lit(0)).orderBy(F.desc("rest"), F.asc(label))
-    left = F.col("train") - F.sum("base").over(Window.partitionBy(F.lit(0)).rowsBetween(*ALL_CLASSES))
-    return shares.withColumn("rank", F.col("base") + (F.row_number().over(by_rest) <= left).cast("long"))
+def _one_cut(df: DataFrame, rank: int) -> DataFrame:
+    return df.sparkSession.createDataFrame([(0, int(rank))], "cut int, rank long")
 
 
 def stratified_split(
@@ -51,33 +39,27 @@ def stratified_split(
 
     With a class of fewer than two rows the split is random over all rows instead.
     """
-    buckets, totals = _counted(df, label, id_col, seed)
-    quotas = holdout_quotas(totals, label, test_share)
-    first = quotas.select("smallest", "train").first()
-    if first is None:
+    totals = cut_lineage(class_totals(df, label), "totals")
+    fact = totals.agg(F.min("n").alias("smallest"), F.sum("n").alias("total")).first()
+    if fact["total"] is None:
         return df.withColumn(out, F.lit("train"))
-    if first["smallest"] >= 2:
-        marked = pieces_by_rank(df, [label], id_col, quotas.withColumn("cut", F.lit(0)), 1, seed, buckets, "_piece")
+    if fact["smallest"] >= 2:
+        quotas = holdout_quotas(totals, label, test_share).withColumn("cut", F.lit(0))
+        marked = pieces_by_rank(df, [label], id_col, quotas, seed, "_piece")
     else:
-        together = _merged(df, buckets, id_col, seed)
-        marked = pieces_by_rank(df, [], id_col, _one_cut(df, first["train"]), 1, seed, together, "_piece")
+        train = fact["total"] - math.ceil(fact["total"] * test_share)
+        marked = pieces_by_rank(df, [], id_col, _one_cut(df, train), seed, "_piece")
     return marked.withColumn(out, F.when(F.col("_piece") == 0, "train").otherwise("test")).drop("_piece")
 
 
-def _one_cut(df: DataFrame, rank: int) -> DataFrame:
-    return df.sparkSession.createDataFrame([(0, int(rank))], "cut int, rank long")
-
-
-def _first_by_hash(df: DataFrame, id_col: str, n: int, seed: int | str, buckets: BucketCounts) -> DataFrame:
-    if not buckets.counts or n >= buckets.size():
-        return df
-    picked = pieces_by_rank(df, [], id_col, _one_cut(df, n), 1, seed, buckets, "_piece")
+def _first_by_hash(df: DataFrame, id_col: str, n: int, seed: int | str) -> DataFrame:
+    picked = pieces_by_rank(df, [], id_col, _one_cut(df, n), seed, "_piece")
     return picked.where(F.col("_piece") == 0).drop("_piece")
 
 
-def sample_n(df: DataFrame, id_col: str, n: int, seed: int) -> DataFrame:
+def sample_n(df: DataFrame, id_col: str, n: int, seed: int | str) -> DataFrame:
     """min(n, rows) rows without replacement. Works for any n: nothing is gathered in one place."""
-    return _first_by_hash(df, id_col, n, seed, bucket_counts(df, [], id_col, seed))
+    return _first_by_hash(df, id_col, n, seed)
 
 
 def proportional_sample(df: DataFrame, label: str, id_col: str, n: int, seed: int = 42) -> DataFrame:
@@ -86,38 +68,32 @@ def proportional_sample(df: DataFrame, label: str, id_col: str, n: int, seed: in
     All rows when n covers them; plain random when a class has fewer than two rows; a second random cut
     when rounding gave more than n.
     """
-    buckets, totals = _counted(df, label, id_col, seed)
-    share = F.greatest(F.lit(1), F.bround(F.lit(n) * F.col("n") / F.col("total")).cast("long"))
-    quotas = totals.withColumn("rank", share).withColumn("cut", F.lit(0))
-    fact = quotas.agg(F.max("total").alias("total"), F.min("n").alias("smallest"), F.sum("rank").alias("drawn")).first()
+    totals = cut_lineage(class_totals(df, label), "totals")
+    fact = totals.agg(F.sum("n").alias("total"), F.min("n").alias("smallest")).first()
     if fact["total"] is None or n >= fact["total"]:
         return df
     if fact["smallest"] < 2:
-        return _first_by_hash(df, id_col, n, seed, _merged(df, buckets, id_col, seed))
-    picked = pieces_by_rank(df, [label], id_col, quotas, 1, seed, buckets, "_piece")
+        return _first_by_hash(df, id_col, n, seed)
+    share = F.greatest(F.lit(1), F.bround(F.lit(n) * F.col("n") / F.lit(fact["total"])).cast("long"))
+    quotas = totals.select(label, share.alias("rank"), F.lit(0).alias("cut"))
+    picked = pieces_by_rank(df, [label], id_col, quotas, seed, "_piece")
     picked = picked.where(F.col("_piece") == 0).drop("_piece")
-    return picked if fact["drawn"] <= n else sample_n(picked, id_col, n, f"{seed}:recut")
+    drawn = quotas.agg(F.sum("rank")).first()[0]
+    return picked if drawn <= n else sample_n(picked, id_col, n, f"{seed}:recut")
 
 
 def first_n_per_class(
     df: DataFrame, label: str, n: int, order: list[str], labels: tuple[int, ...] | None = (1, 2, 3, 4)
 ) -> DataFrame:
-    """First n rows of each class in ``order`` (unique per row), with their rank.
+    """First n rows of each class in ``order``, with their rank; of rows with equal order keys, any.
 
-    The rank filter is pushed below the shuffle as a per-task group limit, so a class sends at most n rows
-    per task, whatever its size. Only label and order columns are sorted; the chosen keys then pick the
-    whole rows in a second narrow scan.
+    The rank filter is pushed below the shuffle as a per-task group limit, so a class sends at most n rows per task,
+    whatever its size, and exactly n rows come out however many share a place.
     """
     df = df.drop("rn")  # of an earlier selection
     kept = df.where(F.col(label).isin(*labels)) if labels else df
-    keys = kept.select(label, *order)
-    ranked = keys.withColumn("rn", F.row_number().over(Window.partitionBy(label).orderBy(*order)))
-    top = ranked.where(F.col("rn") <= n)
-    if set(df.columns) == set(keys.columns):
-        return top.select(*df.columns, "rn")
-    # At most n rows per listed label; without a list Spark decides by the size it finds.
-    bounded = labels is not None and n * len(labels) <= MAX_GROUPS
-    return kept.join(F.broadcast(top) if bounded else top, [label, *order]).select(*df.columns, "rn")
+    first = F.row_number().over(Window.partitionBy(label).orderBy(*order))
+    return kept.withColumn("rn", first).where(F.col("rn") <= n)
 
 
 def few_shot_sets(

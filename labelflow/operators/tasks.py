@@ -37,10 +37,11 @@ def assign_ids(df: DataFrame, order: list[str], fmt: str = "S%03d", out: str = "
 
 
 def default_ids(df: DataFrame, order: list[str], out: str = "id") -> DataFrame:
-    """Keep an existing id column; otherwise number the rows from 1 in ``order``."""
+    """Keep ids that are there; rows without one get their position in ``order``, from 1, in the type of the column."""
+    placed = dense_position(df, order, "_pos").withColumn("_pos", F.col("_pos") + 1)
     if out in df.columns:
-        return df
-    return dense_position(df, order, "_pos").withColumn(out, F.col("_pos") + 1).drop("_pos")
+        return placed.withColumn(out, F.coalesce(F.col(out), F.col("_pos").cast(df.schema[out].dataType))).drop("_pos")
+    return placed.withColumnRenamed("_pos", out)
 
 
 def score_distinct(

@@ -7,8 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.classify import cross_validate
-from ..operators.folds import check_foldable, split_sizes, stratified_kfold
+from ..operators.classify import folded_input, run_folds
+from ..operators.folds import split_sizes
 from ..operators.labels import sanitize
 from ..sources.files import concat_datasets
 
@@ -43,8 +43,8 @@ def cross_validation_run(
     parts = sanitize(concat_datasets(*tagged), keep=("_id",))
     dropped = parts.report()
     rows = parts.clean.withColumnRenamed("_id", "id")
+    folded = folded_input(rows, k, "id", seed)
+    sizes = split_sizes(folded)
     if split_only:
-        check_foldable(rows, "label", k)
-        return CrossValidation(dropped, split_sizes(stratified_kfold(rows, "label", "id", k, seed)))
-    metrics, summary = cross_validate(rows, k, "id", seed, folds, smoothing, model_dir, metrics_path)
-    return CrossValidation(dropped, split_sizes(stratified_kfold(rows, "label", "id", k, seed)), metrics, summary)
+        return CrossValidation(dropped, sizes)
+    return CrossValidation(dropped, sizes, *run_folds(folded, k, folds, smoothing, model_dir, metrics_path))

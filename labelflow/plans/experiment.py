@@ -26,7 +26,7 @@ from ..operators.prompts import (
     rewrite_prompt_basic,
     rewrite_prompt_data,
 )
-from ..operators.sampling import first_n_per_class, sample_n
+from ..operators.sampling import proportional_sample, sample_n
 from ..operators.tasks import assign_ids, experiment_grid, score_distinct
 from ..session import cut_lineage
 from ..sources.files import run_output
@@ -72,15 +72,17 @@ def experiment(
     gen_retry: RetryPolicy = GENERATE_ONCE,
     judge_retry: RetryPolicy = JUDGE_RETRY,
     parallelism: int | None = None,
+    judge_n: int = 50,
 ) -> DataFrame:
     """Result rows for each task, model and prompt type.
 
-    ``tasks`` has ``task_id, text, target``; ``examples`` has ``id, text, score``. Generated texts and original
-    scores are checkpointed, because every model call is costly and may answer differently when repeated.
+    ``tasks`` has ``task_id, text, target``; ``examples`` has ``id, text, score``; the judge sees the first five of
+    each level of a proportional sample of ``judge_n``, the writer the first thirty of the target level. Generated texts and original
+    scores are written, because every model call is costly and may answer differently when repeated.
     """
     picked = tasks if n is None else sample_n(tasks, "task_id", n, seed)
-    prefix = judge_prefix(first_n_per_class(examples, "score", 5, ["id"]), ["id"])
-    by_level = examples_by_level(first_n_per_class(examples, "score", 30, ["id"]), ["id"])
+    prefix = judge_prefix(proportional_sample(examples, "score", "id", judge_n), ["id"], 5)
+    by_level = examples_by_level(examples, ["id"], 30)
 
     def score_originals(texts: DataFrame) -> DataFrame:
         scored = judge(texts, judge_model, prefix, "text", judge_retry, parallelism)

@@ -42,9 +42,27 @@ def checkpoint_root(spark: SparkSession) -> str:
     return configured or sc.getCheckpointDir()
 
 
+_scratch: list[str] = []
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path under the shared folder, for tables that are written and read back."""
-    return f"{checkpoint_root(spark).rstrip('/')}/labelflow-{name}-{uuid.uuid4().hex[:12]}"
+    """A fresh path under the shared folder, for tables that are written and read back.
+
+    Results read those tables when they run, so they stay until :func:`clear_scratch`.
+    """
+    path = f"{checkpoint_root(spark).rstrip('/')}/labelflow-{name}-{uuid.uuid4().hex[:12]}"
+    _scratch.append(path)
+    return path
+
+
+def clear_scratch(spark: SparkSession) -> int:
+    """Delete the scratch tables of this process, when all results that read them have been stored; returns their number."""
+    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+    n = 0
+    while _scratch:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_scratch.pop())
+        n += bool(path.getFileSystem(hadoop).delete(path, True))
+    return n
 
 
 def cut_lineage(df: DataFrame, name: str = "cut") -> DataFrame:

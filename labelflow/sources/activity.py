@@ -34,9 +34,16 @@ def last_days(df: DataFrame, days: int, as_of: dt.date | str, date: str = "date"
 
 
 def read_activity(spark: SparkSession, path: str, days: int, as_of: dt.date | str) -> DataFrame:
-    """The last days of the log. Only their folders are listed and read; missing days are just empty."""
-    stored = spark.read.schema(f"{ACTIVITY}, date date").json(path)
-    return last_days(stored, days, as_of)
+    """The last days of the log. Only the folders of those days are looked up and listed; missing days are just empty."""
+    end = dt.date.fromisoformat(str(as_of))
+    folder = spark._jvm.org.apache.hadoop.fs.Path
+    files = folder(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    wanted = [f"{path}/date={end - dt.timedelta(days=i)}" for i in range(days)]
+    there = [p for p in wanted if files.exists(folder(p))]
+    schema = f"{ACTIVITY}, date date"
+    if not there:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).option("basePath", path).json(there)
 
 
 def recent_activity(df: DataFrame, n: int = 50, tie: str | None = None) -> DataFrame:

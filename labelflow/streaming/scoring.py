@@ -34,18 +34,29 @@ def live_accuracy(stream: DataFrame, gold: str = "gold", pred: str = "pred", by:
     )
 
 
-def latest_result(aggregate: DataFrame, name: str, checkpoint: str) -> DataFrame:
-    """Run an aggregating stream over what is there and return its last result.
+def latest_result(aggregate: DataFrame, path: str, checkpoint: str) -> DataFrame:
+    """Run an aggregating stream over what is there, keep its last result as a table at ``path``, and return that.
 
-    The result has a row per group of the aggregate, such as one per day, and is kept as an in-memory table.
+    Each batch writes its whole result to a folder of its own (a batch that is run again writes the same one anew), so nothing
+    is held on the driver. A stream without any new data returns what the newest folder has.
     """
+
+    def store(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
     query = (
         aggregate.writeStream.outputMode("complete")
-        .format("memory")
-        .queryName(name)
+        .foreachBatch(store)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
     )
     query.awaitTermination()
-    return aggregate.sparkSession.table(name)
+    spark = aggregate.sparkSession
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [s.getPath().getName() for s in files.listStatus(folder)] if files.exists(folder) else []
+    batches = [int(n.removeprefix("batch=")) for n in names if n.startswith("batch=")]
+    if not batches:
+        return spark.createDataFrame([], aggregate.schema)
+    return spark.read.schema(aggregate.schema).parquet(f"{path}/batch={max(batches)}")

@@ -2,7 +2,6 @@ import pytest
 from labelflow.operators import classify as L
 from labelflow.operators.folds import stratified_kfold
 from labelflow.operators.runs import read_fold_metrics
-from labelflow.sources.files import write_metrics
 
 WORDS = {0: "謝謝麻煩", 1: "會議時間", 2: "閉嘴煩死", 3: "真厲害呢"}
 
@@ -29,19 +28,19 @@ def test_separable_classes_are_learned(spark, rows, tmp_path):
 
 def test_folds_run_one_by_one_are_merged(spark, rows, tmp_path):
     path = str(tmp_path / "metrics")
-    first, _ = L.cross_validate(rows, 3, folds=(0,), metrics_path=path)
-    write_metrics(L.metrics_payload(first, 3, 48), path)
-    assert read_fold_metrics(spark, path).count() == 1
+    L.cross_validate(rows, 3, folds=(0,), metrics_path=path)
+    assert read_fold_metrics(spark, f"{path}/run_id=1").count() == 1
     merged, summary = L.cross_validate(rows, 3, folds=(2,), metrics_path=path)
     assert [r["fold"] for r in merged.collect()] == [0, 2]
     assert summary.first()["completed_folds"] == [0, 2]
+    assert read_fold_metrics(spark, f"{path}/run_id=2").count() == 2
     with pytest.raises(ValueError, match="no fold"):
         L.cross_validate(rows, 3, folds=())
 
 
 def test_small_classes_are_refused(spark):
     few = spark.createDataFrame([(i, "x", i % 4) for i in range(8)], "id long, text string, label int")
-    with pytest.raises(ValueError, match="at least 5 rows"):
+    with pytest.raises(ValueError, match="k=5 is too large"):
         L.cross_validate(few, 5)
 
 

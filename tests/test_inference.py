@@ -1,3 +1,5 @@
+import time
+
 import pytest
 from labelflow.operators import inference as I
 from labelflow.operators.prompts import fixed_prompt
@@ -45,6 +47,50 @@ def test_other_errors_wait_once_or_stop():
     assert slept == []
 
 
+class Slow:
+    def generate(self, prompt, **settings):
+        time.sleep(0.05)
+        if prompt == "7":
+            raise RuntimeError("boom")
+        return f"<{prompt}>"
+
+
+def test_calls_of_a_task_overlap_and_keep_their_order():
+    rows = [(str(i), {}) for i in range(200)]
+    start = time.perf_counter()
+    got = I.ask_all(Slow(), rows, I.RetryPolicy(tries=1, pause=0, retry_other=False))
+    assert time.perf_counter() - start < 200 * 0.05 / 8
+    assert [g[0] for g in got] == [f"<{i}>" if i != 7 else None for i in range(200)]
+    assert got[7][1:] == (1, "failed", "boom")
+
+
+class Batched:
+    """Null for odd prompts on the first call, an error for "4" always."""
+
+    def __init__(self):
+        self.calls = []
+
+    def generate_many(self, prompts, settings):
+        self.calls.append(list(prompts))
+        odd = len(self.calls) == 1
+        return [RuntimeError("429") if p == "4" else None if odd and int(p) % 2 else f"<{p}{s}>" for p, s in zip(prompts, settings)]
+
+
+def test_batches_ask_only_for_what_is_left():
+    model, slept = Batched(), []
+    got = I.ask_all(model, [(str(i), {"t": i}) for i in range(5)], I.RetryPolicy(tries=3, base_delay=1, pause=0), sleep=slept.append)
+    assert model.calls == [["0", "1", "2", "3", "4"], ["1", "3", "4"], ["4"]]
+    assert [g[:3] for g in got[:2]] == [("<0{'t': 0}>", 1, "ok"), ("<1{'t': 1}>", 2, "ok")]
+    assert got[4] == (None, 3, "exhausted", "429")
+    assert slept == [1, 2, 0]
+
+
+def test_routed_and_templated_models_take_batches():
+    spec = I.templated(I.routed({"a": I.ModelSpec(I.EchoModel), "s": I.ModelSpec(Slow)}), "<", ">")
+    got = I.ask_all(spec.build(), [("x", {"model": "a"}), ("y", {"model": "s"}), ("z", {"model": "a"})], I.NO_WAIT)
+    assert [g[0].split("：")[-1].split("\n")[0] if "：" in g[0] else g[0] for g in got] == ["<x>", "<<y>>", "<z>"]
+
+
 def test_judge_takes_null_and_blank_as_answers():
     assert waits(Script(None), I.JUDGE_RETRY)[0][:3] == (None, 1, "null")
     assert waits(Script(""), I.JUDGE_RETRY)[0][:3] == ("", 1, "ok")
@@ -90,15 +136,18 @@ def test_ties_take_the_first_class(spark):
 def test_scoring_run_of_a_result_table(spark, tmp_path):
     data = spark.createDataFrame([(i, f"t{i}", 1 + i % 4) for i in range(40)], "id long, text string, score int")
     results = spark.createDataFrame([("x", 2), ("y", 3)], "generated_text string, target_level int")
-    run = scoring_run(data, I.ModelSpec(I.HashModel), str(tmp_path), results, retry=I.NO_WAIT)
+    run = scoring_run(data, I.ModelSpec(I.HashModel), str(tmp_path), 8, results, retry=I.NO_WAIT)
     assert run.scored.count() == 2
     assert run.counts.first()["valid"] == 2
     assert run.accuracy.first()["rows"] == 2
     assert run.report.count() == 7
+    assert "/dataset_scored_" in run.csv_path
+    assert spark.read.option("header", True).csv(run.csv_path).count() == 2
+    assert "model: HashModel" in [r["value"] for r in spark.read.text(run.report_path).collect()]
     path = write_scoring_report(run, {"model": "hash"}, "prefix", str(tmp_path / "report"))
     assert "model: hash" in [r["value"] for r in spark.read.text(path).collect()]
     with pytest.raises(ValueError, match="no valid"):
-        scoring_run(data, I.ModelSpec(I.NullModel), str(tmp_path), retry=I.RetryPolicy(tries=1, base_delay=0))
+        scoring_run(data, I.ModelSpec(I.NullModel), str(tmp_path), 8, retry=I.RetryPolicy(tries=1, base_delay=0))
 
 
 def test_experiment_rows_and_storage(spark, tmp_path):

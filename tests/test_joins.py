@@ -15,7 +15,7 @@ def test_spread_lookup_equals_plain_join(spark):
     rows = skewed(spark)
     table = rows.where("k IS NOT NULL").select("k").distinct().where("k != '5'").withColumn("v", F.length("k"))
     plain = {r["id"]: r["v"] for r in rows.join(table, "k", "left").collect()}
-    spread = spread_lookup(rows, table, "k", ["id"], small=0)
+    spread = spread_lookup(rows, table, "k", ["id"])
     assert {r["id"]: r["v"] for r in spread.collect()} == plain
     assert spread.count() == 9000
 
@@ -27,7 +27,7 @@ def test_hot_key_is_split_over_tasks(spark):
         rows = skewed(spark)
         table = rows.where("k IS NOT NULL").select("k").distinct().withColumn("v", F.lit(1))
         parts = Counter(
-            r["p"] for r in spread_lookup(rows, table, "k", ["id"], small=0).select(F.spark_partition_id().alias("p")).collect()
+            r["p"] for r in spread_lookup(rows, table, "k", ["id"]).select(F.spark_partition_id().alias("p")).collect()
         )
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", 10 << 20)

@@ -52,7 +52,7 @@ def test_text_pick(spark):
 
 def test_sanitize_fails_when_nothing_is_left(spark):
     df = spark.createDataFrame([("t", 9)], "text string, label int")
-    with pytest.raises(ValueError, match="no valid rows"):
+    with pytest.raises(ValueError, match="left no rows"):
         L.sanitize(df).report()
     with pytest.raises(Exception, match="unsupported label"):
         L.sanitize(df, on_error="fail").clean.collect()

@@ -32,12 +32,12 @@ def test_example_prompt(spark):
 
 def test_scoring_prefix(spark):
     examples = spark.createDataFrame([(2, "乙", 4), (1, "甲", 1)], "id int, text string, score int")
-    prefix = E.scoring_prefix(examples, ["id"], 3).first()[0]
+    prefix = E.scoring_prefix(examples, ["id"], 9, 3).first()[0]
     assert prefix.endswith("「甲」 → 1\n「乙」 → 4\n")
     assert prefix.startswith(E.SCALES[3])
-    assert E.HARD_NEGATIVES in E.scoring_prefix(examples, ["id"], hard_negatives=True).first()[0]
-    assert E.scoring_prefix(examples, ["id"], scale="own").first()[0].startswith("own\n\n")
-    prompt = one(E.scoring_prompt(tasks(spark, [("句", 1, 1)]), E.scoring_prefix(examples, ["id"])))
+    assert E.HARD_NEGATIVES in E.scoring_prefix(examples, ["id"], 9, hard_negatives=True).first()[0]
+    assert E.scoring_prefix(examples, ["id"], 9, scale="own").first()[0].startswith("own\n\n")
+    prompt = one(E.scoring_prompt(tasks(spark, [("句", 1, 1)]), E.scoring_prefix(examples, ["id"], 9)))
     assert prompt.endswith("「句" + E.SCORING_SUFFIX[1])
     with pytest.raises(ValueError, match="version"):
         E.scale_text(5)
@@ -46,16 +46,23 @@ def test_scoring_prefix(spark):
 def test_bad_example_tables_stop_the_job(spark):
     layout = "id int, text string, score int"
     with pytest.raises(Exception, match="at least one row"):
-        E.scoring_prefix(spark.createDataFrame([], layout), ["id"]).collect()
+        E.scoring_prefix(spark.createDataFrame([], layout), ["id"], 5).collect()
     many = spark.createDataFrame([(i, "x", 1) for i in range(11)], layout)
-    with pytest.raises(Exception, match="more than 10 examples"):
-        E.scoring_prefix(many, ["id"], limit=10).collect()
-    assert E.scoring_prefix(many, ["id"], limit=11).first()[0].count("「x」") == 11
+    assert E.scoring_prefix(many, ["id"], 10).first()[0].count("「x」") == 10
+
+
+def test_prompts_show_no_more_examples_than_asked(spark):
+    many = spark.range(20_000).selectExpr("id", "concat('t', id) AS text", "cast(1 + id % 4 AS int) AS score")
+    assert E.scoring_prefix(many, ["id"], 40).first()[0].count("」 → ") == 40
+    judge = E.judge_prefix(many, ["id"], 5).first()[0]
+    assert judge.count("  • 「") == 20 and "「t19」" in judge and "「t20」" not in judge
+    rows = {r["level"]: r["n_examples"] for r in E.examples_by_level(many, ["id"], 30).collect()}
+    assert rows == {1: 30, 2: 30, 3: 30, 4: 30}
 
 
 def test_paired_examples(spark):
     pairs = spark.createDataFrame([("原", {1: "a", 3: "c"})], "original string, by_level map<int,string>")
-    prefix = E.scoring_prefix(pairs, ["original"]).first()[0]
+    prefix = E.scoring_prefix(pairs, ["original"], 10).first()[0]
     assert prefix.endswith("原句：原\n1: a\n2: \n3: c\n4: \n\n")
 
 
@@ -72,6 +79,6 @@ def test_instruction_nulls_are_empty(spark):
 
 
 def test_built_in_pairs(spark):
-    prefix = E.scoring_prefix(E.default_pairs(spark), ["position"]).first()[0]
+    prefix = E.scoring_prefix(E.default_pairs(spark), ["position"], 10).first()[0]
     assert prefix.count("原句：") == 10
     assert prefix.index(E.PAIRED_EXAMPLES[0][0]) < prefix.index(E.PAIRED_EXAMPLES[9][0])

@@ -94,13 +94,6 @@ def test_sample_n_bounds(spark):
     assert S.sample_n(df, "id", 0, 3).count() == 0
 
 
-def test_many_classes_use_the_shuffle_path(spark, monkeypatch):
-    df, rows = table(spark, SKEWED)
-    near = {r["id"]: r["fold"] for r in D.stratified_kfold(df, "label", "id", 5, 1).collect()}
-    monkeypatch.setattr(R, "MAX_GROUPS", 0)
-    assert {r["id"]: r["fold"] for r in D.stratified_kfold(df, "label", "id", 5, 1).collect()} == near
-
-
 def test_first_n_ignores_other_levels(spark):
     df, _ = table(spark, {0: 5, 1: 40, 7: 5})
     got = S.first_n_per_class(df, "label", 30, ["id"]).collect()

@@ -103,7 +103,7 @@ def test_rollup_stream_equals_batch(spark, tmp_path):
         A.append_activity(entries(spark, 8, day), path)
     stored = spark.read.schema(f"{ACTIVITY}, date date").json(path)
     batch = sorted(tuple(r) for r in SA.daily_rollup(stored).collect())
-    stream = SS.latest_result(SA.daily_rollup(SA.stream_activity(spark, path, 1)), "rollup_test", str(tmp_path / "state"))
+    stream = SS.latest_result(SA.daily_rollup(SA.stream_activity(spark, path, 1)), str(tmp_path / "table"), str(tmp_path / "state"))
     assert sorted(tuple(r) for r in stream.collect()) == batch
 
 
@@ -132,3 +132,26 @@ def test_scratch_paths_are_fresh_and_under_one_root(spark):
     a, b = scratch_path(spark, "x"), scratch_path(spark, "x")
     assert a != b
     assert a.rsplit("/", 1)[0] == b.rsplit("/", 1)[0]
+
+
+def test_fold_export(spark, tmp_path):
+    from labelflow.plans.foldexport import export_folds
+
+    records = spark.createDataFrame([(i, f"句{i}", str(1 + i % 4)) for i in range(44)], "id long, sentence string, score string")
+    row = export_folds(records, str(tmp_path), 5, input_file="in.jsonl").first()
+    assert row["input_file"] == "in.jsonl" and row["n_rows"] == 44 and len(row["folds"]) == 5
+    for fold in row["folds"]:
+        assert spark.read.json(fold["test_path"]).count() == fold["test_size"]
+        assert spark.read.json(fold["train_path"]).count() == fold["train_size"]
+    with pytest.raises(ValueError, match="without usable text"):
+        export_folds(records.unionByName(records.limit(1).selectExpr("id", "'' AS sentence", "score")), str(tmp_path / "b"), 5)
+
+
+def test_scratch_is_cleared(spark):
+    from labelflow.session import clear_scratch, cut_lineage
+
+    df = cut_lineage(spark.range(3))
+    path = df.inputFiles()[0].rsplit("/", 1)[0].removeprefix("file:")
+    assert os.path.exists(path)
+    assert clear_scratch(spark) >= 1
+    assert not os.path.exists(path)
