@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import threading
 import time
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
@@ -149,14 +150,15 @@ class FlakyModel:
     """Fails on the first tries of a prompt, as its digest says, then answers like HashModel."""
 
     def __init__(self, error: str = "429 rate_limit_exceeded", most: int = 3):
-        self.error, self.most, self.seen = error, most, {}
+        self.error, self.most, self.local = error, most, threading.local()
 
     def generate(self, prompt: str, **settings) -> str:
         key = hashlib.md5(prompt.encode()).hexdigest()
-        self.seen[key] = self.seen.get(key, 0) + 1
-        if self.seen[key] <= int(key[1], 16) % (self.most + 1):
+        seen = self.local.__dict__  # a thread asks for one row until that is settled
+        seen[key] = seen.get(key, 0) + 1
+        if seen[key] <= int(key[1], 16) % (self.most + 1):
             raise RuntimeError(self.error)
-        del self.seen[key]
+        del seen[key]
         return HashModel().generate(prompt)
 
 

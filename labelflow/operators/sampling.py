@@ -12,8 +12,10 @@ from .ranking import dense_position, pieces_by_rank, seeded_hash
 
 
 def class_totals(df: DataFrame, label: str) -> DataFrame:
-    """Rows of each class, counted map-side."""
-    return df.groupBy(label).agg(F.count("*").alias("n"))
+    """Rows of each class, counted map-side, with those of all classes and of the smallest one."""
+    counts = df.groupBy(label).agg(F.count("*").alias("n"))
+    fact = counts.agg(F.struct(F.sum("n").alias("total"), F.min("n").alias("smallest")).alias("f")).scalar()
+    return counts.withColumns({"total": fact["total"], "smallest": fact["smallest"]})
 
 
 def holdout_quotas(totals: DataFrame, label: str, test_share: float) -> DataFrame:
@@ -39,7 +41,7 @@ def stratified_split(
 
     With a class of fewer than two rows the split is random over all rows instead.
     """
-    totals = cut_lineage(class_totals(df, label), "totals")
+    totals = cut_lineage(df.groupBy(label).agg(F.count("*").alias("n")), "totals")
     fact = totals.agg(F.min("n").alias("smallest"), F.sum("n").alias("total")).first()
     if fact["total"] is None:
         return df.withColumn(out, F.lit("train"))
@@ -68,7 +70,7 @@ def proportional_sample(df: DataFrame, label: str, id_col: str, n: int, seed: in
     All rows when n covers them; plain random when a class has fewer than two rows; a second random cut
     when rounding gave more than n.
     """
-    totals = cut_lineage(class_totals(df, label), "totals")
+    totals = cut_lineage(df.groupBy(label).agg(F.count("*").alias("n")), "totals")
     fact = totals.agg(F.sum("n").alias("total"), F.min("n").alias("smallest")).first()
     if fact["total"] is None or n >= fact["total"]:
         return df

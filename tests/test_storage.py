@@ -1,4 +1,5 @@
 import json
+import os
 
 import pytest
 from labelflow.operators.ranking import dense_position
