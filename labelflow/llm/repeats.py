@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +20,7 @@ from .common import named, shuffle_partitions
 
 GROUPS = 4
 HOT = 4096
+BATCH_BYTES = 8 << 20
 HOT_KEYS = 200_000
 BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
 
@@ -147,7 +149,17 @@ def by_group(group: np.ndarray, columns: dict[str, pa.Array], names: list[str])
 
 
 def group_of(h: np.ndarray, groups: int) -> np.ndarray:
-    return ((h >> np.uint64(32)) * np.uint64(groups) >> np.uint64(32)).astype(np.int64)
+    """Anchors have small hashes, being the smallest of many, so they are mixed anew before they are dealt to groups."""
+    return ((mixed(h * BASES[1]) >> np.uint64(32)) * np.uint64(groups) >> np.uint64(32)).astype(np.int64)
+
+
+def by_bytes(batch: pa.RecordBatch, most: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with about ``most`` bytes of text each, so that memory does not depend on how long texts are."""
+    sizes = pc.fill_null(pc.binary_length(batch["text"]), 0).to_numpy(zero_copy_only=False)
+    part = np.cumsum(sizes, dtype=np.int64) // most
+    cuts = [0, *(np.nonzero(part[1:] != part[:-1])[0] + 1).tolist(), batch.num_rows]
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        yield batch.slice(a, b - a)
 
 
 def send_anchors(
@@ -158,7 +170,7 @@ def send_anchors(
     The first of equal anchors is sent to the group of its hash. The others, whose number is then over 1, are only reported as repeated,
     through any group and with the number 0.
     """
-    for batch in batches:
+    for batch in (some for whole in batches for some in by_bytes(whole)):
         parts = []
         for b in batches_of(batch["text"].to_pylist(), symbols, depth, gram, most):
             anchors = np.unique(b.anchor)

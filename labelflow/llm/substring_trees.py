@@ -38,6 +38,7 @@ from .repeats import (
     HOT,
     anchored_texts,
     batches_of,
+    by_bytes,
     covered,
     entries_at,
     first_of_equals,
@@ -86,7 +87,7 @@ def _send_suffixes(
     in order; runs that are only reported as repeated have a negative number and no labels.
     """
     names = [*ENTRY, "a", "b", "known"]
-    for batch in batches:
+    for batch in (some for whole in batches for some in by_bytes(whole)):
         parts, starts = [], batch["starts"].to_pylist()
         for b in batches_of(batch["text"].to_pylist(), symbols, depth, gram, BATCH_WORDS):
             use = b.flagged(starts)[b.anchor]

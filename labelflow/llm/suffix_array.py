@@ -36,6 +36,7 @@ from .repeats import (
     HOT,
     anchored_texts,
     batches_of,
+    by_bytes,
     covered,
     entries_at,
     flat,
@@ -55,7 +56,7 @@ from .repeats import (
 DEPTH = 50
 GRAM = 16
 BATCH_BYTES = 1_000_000
-SLICE = 1_000_000  # bytes of contexts that are sorted together; three names of a triple then fit 63 bits
+SLICE = 250_000  # bytes of contexts that are sorted together; three names of a triple then fit 63 bits
 BYTES = mixed(np.arange(1, 257, dtype=np.uint64) * BASES[1])
 
 
@@ -145,7 +146,7 @@ def _send_contexts(
 
     ``bits`` is the number of strings of a place; places that are only reported as repeats have a negative one and no context.
     """
-    for batch in batches:
+    for batch in (some for whole in batches for some in by_bytes(whole)):
         texts, starts = batch["text"].to_pylist(), batch["starts"].to_pylist()
         parts = []
         for b in batches_of(texts, symbols, depth, gram, BATCH_BYTES):
@@ -218,13 +219,21 @@ def _slices(key: np.ndarray, sizes: np.ndarray) -> Iterator[np.ndarray]:
 
 def _repeated_strings(table: pa.Table, depth: int) -> pa.Table:
     """Runs of strings that start in a document with a smaller id too: ``(id, mark, start, bits = length)``."""
-    contents = flat(table, "content").to_pylist()
+    number: dict[bytes, int] = {}  # distinct contexts, also where several batches have sent one
+    same = np.array([number.setdefault(c, len(number)) for c in flat(table, "content").to_pylist()], dtype=np.int64)
+    contents = list(number)
+    key = np.zeros(len(contents), dtype=np.int64)
+    key[same] = numbers_of(table, "key")
     sizes = np.array([len(c) for c in contents], dtype=np.int64)
     strings = sizes - depth + 1
     first = np.cumsum(strings) - strings  # number of a context's first string
-    cls = np.zeros(int(strings.sum()), dtype=np.int64)
-    shift = 0
-    for some in _slices(numbers_of(table, "key"), sizes):
+    # Strings of one context have their anchor at different places, so they differ: only contexts that share an anchor are sorted.
+    shift = int(strings.sum())
+    cls = np.arange(shift)
+    _, which_key, times = np.unique(key, return_inverse=True, return_counts=True)
+    several = np.nonzero(times[which_key] > 1)[0]
+    for some in _slices(key[several], sizes[several]):
+        some = several[some]
         found = classes([contents[i] for i in some.tolist()], depth)
         n = strings[some]
         cls[np.repeat(first[some] - (np.cumsum(n) - n), n) + np.arange(n.sum())] = found + shift
@@ -239,7 +248,7 @@ def _repeated_strings(table: pa.Table, depth: int) -> pa.Table:
     n = size[sent]
     place = np.repeat(sent, n)
     step = np.arange(len(place)) - np.repeat(np.cumsum(n) - n, n)
-    which = cls[first[of[place]] + step]
+    which = cls[first[same[of[place]]] + step]
     least = np.full(int(which.max()) + 1 if len(which) else 0, np.iinfo(np.int64).max)
     np.minimum.at(least, which, rank[place])
     later = rank[place] > least[which]
