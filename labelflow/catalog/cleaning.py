@@ -9,7 +9,7 @@ from ..functions import text as X
 from ..operators import labels as L
 from ..operators.metrics import class_counts
 from ..operators.folds import check_foldable
-from ..operators.tasks import assign_ids
+from ..operators.tasks import assign_ids, default_ids
 from ..sources import views as V
 from .registry import query, quoted, text_md5, with_views
 
@@ -216,6 +216,16 @@ def b10_parse_level(spark, folder):
     return rows.select("event_id", X.parse_level("choice").alias("level"))
 
 
+@query(
+    "b11_default_ids",
+    "SELECT doc_id, coalesce(CASE WHEN doc_id % 3 = 0 THEN 'd' || doc_id END, "
+    "CAST(row_number() OVER (ORDER BY doc_id) AS VARCHAR)) AS id FROM documents",
+)
+def b11_default_ids(spark, folder):
+    own = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("d"), F.col("doc_id").cast("string")))
+    return default_ids(V.table(spark, folder, "documents").select("doc_id", own.alias("id")), ["doc_id"])
+
+
 @query(
     "b11_assign_ids",
     with_views(

@@ -30,6 +30,7 @@ from ..plans.convert import convert_and_score, paraphrase
 from ..plans.experiment import experiment
 from ..plans.scoring import scoring_run
 from ..session import cut_lineage, scratch_path
+from ..sources.files import read_scoring_csv
 from ..sources import views as V
 from .registry import query, quoted, seeded_rank_sql, six, text_md5, with_views
 
@@ -402,10 +403,7 @@ def f7_paraphrase(spark, folder):
     return paraphrase(rows, table, HASH, level="score").select("id", "paraphrase")
 
 
-@query(
-    "p1_scoring_run",
-    with_views(
-        f""", r AS ({seeded_rank_sql("labeled", "score", 42)})
+_P1 = f""", r AS ({seeded_rank_sql("labeled", "score", 42)})
 , c AS (SELECT score AS k, count(*) AS n, sum(count(*)) OVER () AS total FROM labeled GROUP BY 1)
 , q AS (SELECT k, n, total, CAST(total - ceil(total * 0.2) AS BIGINT) AS train FROM c)
 , b AS (SELECT *, (n * train) // total AS base, (n * train) % total AS rest FROM q)
@@ -416,8 +414,14 @@ def f7_paraphrase(spark, folder):
 , drawn AS (SELECT *, row_number() OVER (ORDER BY md5('42:recut:' || id), id) AS again FROM few
   WHERE rn <= greatest(1, CAST(round_even(8 * n / total, 0) AS BIGINT)))
 , pre AS (SELECT {quoted(E.SCALES[1] + chr(10) * 2 + E.EXAMPLES_HEADER)} || {_LINES} AS prefix FROM drawn WHERE again <= 8)
-, s AS (SELECT id, score, {_digit(f"prefix || {quoted(E.SCORING_SUFFIX[0])} || text || {quoted(E.SCORING_SUFFIX[1])}")} AS predicted_score FROM m, pre WHERE NOT is_train)
-SELECT CAST(count(*) AS BIGINT) AS rows, CAST(count(*) FILTER (WHERE score = predicted_score) AS BIGINT) AS correct,
+, s AS (SELECT id, score, {_digit(f"prefix || {quoted(E.SCORING_SUFFIX[0])} || text || {quoted(E.SCORING_SUFFIX[1])}")} AS predicted_score FROM m, pre WHERE NOT is_train)"""
+
+
+@query(
+    "p1_scoring_run",
+    with_views(
+        _P1
+        + """SELECT CAST(count(*) AS BIGINT) AS rows, CAST(count(*) FILTER (WHERE score = predicted_score) AS BIGINT) AS correct,
  round(100 * avg(CAST(score = predicted_score AS INTEGER)), 6) AS accuracy_percent FROM s""",
         "labeled",
     ),
@@ -428,6 +432,17 @@ def p1_scoring_run(spark, folder):
     return result.accuracy.select("rows", "correct", six("accuracy_percent").alias("accuracy_percent"))
 
 
+@query(
+    "p1_stored_results",
+    with_views(_P1 + "SELECT score, predicted_score, CAST(count(*) AS BIGINT) AS n FROM s GROUP BY 1, 2", "labeled"),
+)
+def p1_stored_results(spark, folder):
+    """The CSV that a run leaves behind, named after its input and the time."""
+    result = scoring_run(V.labeled(spark, folder), HASH, scratch_path(spark, "scoring"), 8, retry=NO_WAIT, stem="labeled")
+    stored = read_scoring_csv(spark, result.csv_path, "text string, score int, predicted_score int")
+    return stored.groupBy("score", "predicted_score").agg(F.count("*").alias("n"))
+
+
 _ORIGINAL = ", originals AS (SELECT t.*, " + _digit(_judged("t.text")) + " AS original_score FROM blocks t, pre)"
 
 

@@ -10,6 +10,7 @@ from ..operators.inference import NO_WAIT, HashModel, ModelSpec, score_table
 from ..operators.metrics import accuracy
 from ..operators.prompts import fixed_prompt
 from ..operators.ranking import dense_position
+from ..plans.foldexport import export_folds
 from ..schemas import ACTIVITY
 from ..session import scratch_path
 from ..sources import activity as A
@@ -283,3 +284,30 @@ def j4_live_accuracy(spark, folder):
     return SS.latest_result(SS.live_accuracy(rows, by=("model",)), scratch_path(spark, "live-table"), state).withColumn(
         "accuracy", six("accuracy")
     )
+
+
+@query("k_file_stem", "SELECT doc_id, 'documents' AS stem FROM documents")
+def k_file_stem(spark, folder):
+    return IO.with_source_stem(V.table(spark, folder, "documents"), "stem").select("doc_id", "stem")
+
+
+@query(
+    "d8_fold_export",
+    with_views(
+        folded_sql("labeled", "score", 2, 5)
+        + """SELECT fold, CAST(count(*) AS BIGINT) AS test_rows, CAST((SELECT count(*) FROM folded) - count(*) AS BIGINT) AS train_rows,
+ 'labels.parquet' AS input_file, 'fold=' || fold || '/part=test' AS test_folder FROM folded GROUP BY fold""",
+        "labeled",
+    ),
+)
+def d8_fold_export(spark, folder):
+    """Rows per fold as counted in the exported files, and the paths as the stored summary names them."""
+    at = scratch_path(spark, "export")
+    summary = export_folds(V.labeled(spark, folder), at, 2, 5, input_file="labels.parquet")
+    stored = spark.read.schema("id long, label int, fold int, part string").json(f"{at}/folds")
+    is_test = (F.col("part") == "test").cast("long")
+    counted = stored.groupBy("fold").agg(F.sum(is_test).alias("test_rows"), F.sum(1 - is_test).alias("train_rows"))
+    named = summary.select("input_file", F.explode("folds").alias("f")).select(
+        "input_file", F.col("f.fold").alias("fold"), F.regexp_extract("f.test_path", "[^/]+/[^/]+$", 0).alias("test_folder")
+    )
+    return counted.join(named, "fold").select("fold", "test_rows", "train_rows", "input_file", "test_folder")
