@@ -15,6 +15,7 @@ COMMENT_PHRASES = ("保留", "這個改寫", "原句")
 UNPARSED, NULL_REPLY, EXHAUSTED = -1, -2, -3
 
 # One character class, not an alternation: the latter recurses per character and fails on long lines.
+# Fixed value: what counts as a line without a sentence in it.
 ASCII_LINE = r"(?U)^[A-Za-z0-9.,!?;:'\"()\-\s\x1c-\x1f]+$"
 WHOLE_INTEGER = r"^[+-]?\p{Nd}+(?:_\p{Nd}+)*$"
 

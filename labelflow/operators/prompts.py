@@ -96,7 +96,7 @@ def _one_block(examples: DataFrame, order: list[str], line: Column, n: int) -> D
 
 
 def example_line(df: DataFrame) -> Column:
-    """``「text」 → score``; the text is the first non-empty of ``text``, ``original``, ``sentence``."""
+    """``「text」 → score`` (a fixed value, as callers expect it); the text is the first non-empty of ``text``, ``original``, ``sentence``."""
     names = [c for c in ("text", "original", "sentence") if c in df.columns]
     text = F.coalesce(*[non_empty(c) for c in names], F.lit(""))
     score = F.coalesce(F.col("score").cast("string"), F.lit("")) if "score" in df.columns else F.lit("")
@@ -104,7 +104,7 @@ def example_line(df: DataFrame) -> Column:
 
 
 def paired_line() -> Column:
-    """One original with its four level texts, a missing level left empty."""
+    """One original with its four level texts, a missing level left empty. Fixed value: the form of these lines."""
     level = lambda n: F.concat(F.lit(f"{n}: "), F.coalesce(F.element_at("by_level", F.lit(n)), F.lit("")), F.lit("\n"))
     head = F.concat(F.lit("原句："), F.coalesce("original", F.lit("")), F.lit("\n"))
     return F.concat(head, *[level(n) for n in (1, 2, 3, 4)], F.lit("\n"))
