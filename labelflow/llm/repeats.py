@@ -15,12 +15,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
 from .common import named, shuffle_partitions
 
 GROUPS = 4
 HOT = 4096
-BATCH_BYTES = 8 << 20
+HOT_SHARE = 16
+BATCH_BYTES = 32 << 20
 HOT_KEYS = 200_000
 BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
 
@@ -193,22 +193,28 @@ def numbers_of(table: pa.Table, name: str) -> np.ndarray:
     return flat(table, name).to_numpy(zero_copy_only=False)
 
 
-def repeated_anchors(table: pa.Table, hot: int) -> pa.Table:
-    """Places of the anchors that occur more than once; and, without a place, anchors (``key``) that occur over ``hot`` times."""
+def _times(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Which entries are counted, their distinct keys, the key of each, and how often each key occurs."""
     bits, key = numbers_of(table, "bits"), numbers_of(table, "key")
     counted = np.nonzero(bits > 0)[0]
     keys, which = np.unique(key[counted], return_inverse=True)
     times = np.zeros(len(keys), dtype=np.int64)
     np.add.at(times, which, bits[counted])
-    chosen = bits == 0
+    return counted, keys, which, times
+
+
+def repeated_anchors(table: pa.Table) -> pa.Table:
+    """Places of the anchors that occur more than once."""
+    counted, _, which, times = _times(table)
+    chosen = numbers_of(table, "bits") == 0
     chosen[counted] = times[which] > 1
     take = pa.array(np.nonzero(chosen)[0], pa.int64())
-    columns = {n: flat(table, n).take(take) for n in ("id", "mark", "start")}
-    often = pa.array(keys[times > hot], pa.int64())
-    return pa.table(
-        {n: pa.concat_arrays([c, pa.nulls(len(often), c.type)]) for n, c in columns.items()}
-        | {"key": pa.concat_arrays([pa.nulls(len(take), pa.int64()), often])}
-    )
+    return pa.table({n: flat(table, n).take(take) for n in ("id", "mark", "start")})
+
+
+def frequent_anchors(table: pa.Table, most: int) -> pa.Table:
+    _, keys, _, times = _times(table)
+    return pa.table({"key": pa.array(keys[times > most], pa.int64())})
 
 
 def runs_of(*same: np.ndarray, next_to: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -224,7 +230,7 @@ def runs_of(*same: np.ndarray, next_to: np.ndarray) -> tuple[np.ndarray, np.ndar
 def texts_of(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``(id, mark, text)``: what a row is known by is its id together with a hash of its text."""
     text = named(df, text_col)
-    return df.select(named(df, id_col).alias("id"), F.xxhash64(text).alias("mark"), text.alias("text"))
+    return df.select(named(df, id_col).alias("id"), F.hash(text).alias("mark"), text.alias("text"))
 
 
 def groups_for(df: DataFrame) -> int:
@@ -232,7 +238,7 @@ def groups_for(df: DataFrame) -> int:
 
 
 def place_lists(id_type: str) -> str:
-    return f"id array<{id_type}>, mark array<long>, start array<int>, bits array<int>"
+    return f"id array<{id_type}>, mark array<int>, start array<int>, bits array<int>"
 
 
 def same_text(texts: DataFrame, right: DataFrame) -> F.Column:
@@ -240,31 +246,39 @@ def same_text(texts: DataFrame, right: DataFrame) -> F.Column:
     return texts["id"].eqNullSafe(right["_id"]) & (texts["mark"] == right["_mark"])
 
 
-def anchored_texts(
+def hot_anchors(
     texts: DataFrame, symbols: Callable, depth: int, gram: int, most: int, hot: int = HOT
-) -> tuple[DataFrame, np.ndarray]:
-    """The texts with anchors that repeat, and where those start: ``(id, mark, text, starts)``. And the hot anchors.
+) -> np.ndarray:
+    """Anchors that occur about ``hot`` times or more, as estimated from one document in ``HOT_SHARE``.
 
-    An anchor that occurs over ``hot`` times would make a group too large. There are at most as many of them as anchors divided by
-    ``hot``; should that be over ``HOT_KEYS``, only that many are told apart, and the others keep larger groups.
+    They decide only how entries are dealt to groups, never which sequences are equal. There are at most as many as anchors divided by ``hot``;
+    if those are over ``HOT_KEYS``, only that many are told apart, and the others keep larger groups.
     """
+    some = texts.where(F.pmod(F.xxhash64("id", "mark"), F.lit(HOT_SHARE)) == 0)
+    often = _sent_anchors(some, symbols, depth, gram, most).applyInArrow(
+        lambda table: frequent_anchors(table, hot // HOT_SHARE), "key long"
+    )
+    return np.array([r[0] for r in often.orderBy("key").limit(HOT_KEYS).collect()], dtype=np.int64).view(np.uint64)
+
+
+def _sent_anchors(texts: DataFrame, symbols: Callable, depth: int, gram: int, most: int):
     id_type = texts.schema["id"].dataType.simpleString()
     groups = groups_for(texts)
-    sent = texts.mapInArrow(
+    return texts.mapInArrow(
         lambda it: send_anchors(it, symbols, depth, gram, most, groups),
         f"group int, key array<long>, {place_lists(id_type)}",
+    ).groupBy("group")
+
+
+def anchored_texts(texts: DataFrame, symbols: Callable, depth: int, gram: int, most: int) -> DataFrame:
+    """The texts with anchors that repeat, and where those start: ``(id, mark, text, starts)``."""
+    id_type = texts.schema["id"].dataType.simpleString()
+    repeated = _sent_anchors(texts, symbols, depth, gram, most).applyInArrow(
+        repeated_anchors, f"id {id_type}, mark int, start int"
     )
-    repeated = cut_lineage(
-        sent.groupBy("group").applyInArrow(
-            lambda table: repeated_anchors(table, hot), f"id {id_type}, mark long, start int, key long"
-        ),
-        "anchors",
-    )
-    often = [r[0] for r in repeated.where("key IS NOT NULL").select("key").orderBy("key").limit(HOT_KEYS).collect()]
-    flags = repeated.where("key IS NULL").groupBy("id", "mark").agg(F.collect_list("start").alias("starts"))
+    flags = repeated.groupBy("id", "mark").agg(F.collect_list("start").alias("starts"))
     flags = flags.withColumnsRenamed({"id": "_id", "mark": "_mark"})
-    found = texts.join(flags, same_text(texts, flags)).select("id", "mark", "text", "starts")
-    return found, np.array(often, dtype=np.int64).view(np.uint64)
+    return texts.join(flags, same_text(texts, flags)).select("id", "mark", "text", "starts")
 
 
 def with_runs(texts: DataFrame, runs: DataFrame) -> DataFrame:

@@ -45,6 +45,7 @@ from .repeats import (
     flat,
     group_of,
     groups_for,
+    hot_anchors,
     lists_of,
     longs,
     numbers_of,
@@ -179,12 +180,12 @@ def cut_repeats(
     """``(id, n_words, n_removed, kept_sha256, kept_text)`` of every row; the text is what is left, joined by spaces."""
     texts = texts_of(df, id_col, text_col)
     id_type, groups = df.schema[id_col].dataType.simpleString(), groups_for(df)
-    anchored, hot_anchors = anchored_texts(texts, symbols, depth, gram, BATCH_WORDS, hot)
-    suffixes = anchored.mapInArrow(
-        lambda it: _send_suffixes(it, depth, gram, groups, hot_anchors),
+    often = hot_anchors(texts, symbols, depth, gram, BATCH_WORDS, hot)
+    suffixes = anchored_texts(texts, symbols, depth, gram, BATCH_WORDS).mapInArrow(
+        lambda it: _send_suffixes(it, depth, gram, groups, often),
         f"group int, {place_lists(id_type)}, a array<long>, b array<long>, known array<tinyint>",
     )
-    runs = suffixes.groupBy("group").applyInArrow(_deep_nodes, f"id {id_type}, mark long, start int, bits int")
+    runs = suffixes.groupBy("group").applyInArrow(_deep_nodes, f"id {id_type}, mark int, start int, bits int")
     schema = f"id {id_type}, n_words long, n_removed long, kept_sha256 string" + (", kept_text string" if with_text else "")
     done = with_runs(texts, runs).mapInArrow(lambda it: _cut(it, depth, with_text), schema)
     return done.withColumnRenamed("id", id_col)

@@ -28,6 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame
 
 from .repeats import (
@@ -42,6 +43,7 @@ from .repeats import (
     flat,
     group_of,
     groups_for,
+    hot_anchors,
     lists_of,
     longs,
     mixed,
@@ -142,7 +144,7 @@ def rank_ids(ids: pa.Array) -> np.ndarray:
 def _send_contexts(
     batches: Iterator[pa.RecordBatch], depth: int, gram: int, groups: int, hot: np.ndarray
 ) -> Iterator[pa.RecordBatch]:
-    """Per group: distinct contexts (lists ``key`` and ``content``), and places with the number of their context in the row (``of``).
+    """Per group: distinct contexts (list ``key``, and ``content`` with their ``size``), and places with the number of their context in the row (``of``).
 
     ``bits`` is the number of strings of a place; places that are only reported as repeats have a negative one and no context.
     """
@@ -200,7 +202,14 @@ def _contexts_by_group(
     columns = {n: lists_of(entries[n], places, entries[n].type) for n in ENTRY}
     columns["of"] = lists_of(pa.array(np.where(report, -1, local[of])[order], pa.int32()), places, pa.int32())
     columns["key"] = lists_of(longs(keys[by_group]), per[ids], pa.int64())
-    columns["content"] = lists_of(pa.array([contents[i] for i in by_group.tolist()], pa.binary()), per[ids], pa.binary())
+    sizes = [len(contents[i]) for i in by_group.tolist()]
+    columns["size"] = lists_of(pa.array(sizes, pa.int32()), per[ids], pa.int32())
+    # All contexts of a row are packed together, since they overlap.
+    pack, at, packed = zstandard.ZstdCompressor(level=3), 0, []
+    for n in per[ids].tolist():
+        packed.append(pack.compress(b"".join([contents[i] for i in by_group[at : at + n].tolist()])))
+        at += n
+    columns["content"] = pa.array(packed, pa.binary())
     return pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), *columns.values()], names=["group", *columns])
 
 
@@ -220,7 +229,16 @@ def _slices(key: np.ndarray, sizes: np.ndarray) -> Iterator[np.ndarray]:
 def _repeated_strings(table: pa.Table, depth: int) -> pa.Table:
     """Runs of strings that start in a document with a smaller id too: ``(id, mark, start, bits = length)``."""
     number: dict[bytes, int] = {}  # distinct contexts, also where several batches have sent one
-    same = np.array([number.setdefault(c, len(number)) for c in flat(table, "content").to_pylist()], dtype=np.int64)
+    unpack = zstandard.ZstdDecompressor()
+    same = np.array(
+        [
+            number.setdefault(whole[b - n : b], len(number))
+            for row, sizes in zip(table.column("content").to_pylist(), table.column("size").to_pylist(), strict=True)
+            for whole in (unpack.decompress(row),)
+            for n, b in zip(sizes, np.cumsum(sizes, dtype=np.int64).tolist(), strict=True)
+        ],
+        dtype=np.int64,
+    )
     contents = list(number)
     key = np.zeros(len(contents), dtype=np.int64)
     key[same] = numbers_of(table, "key")
@@ -295,13 +313,13 @@ def cut_later_copies(
     """``(id, n_bytes, n_removed, n_spans, kept_sha256, kept_bytes)`` of every row. ``depth`` is 8 or more."""
     texts = texts_of(df, id_col, text_col)
     id_type, groups = df.schema[id_col].dataType.simpleString(), groups_for(df)
-    anchored, hot_anchors = anchored_texts(texts, symbols, depth, gram, BATCH_BYTES, hot)
-    contexts = anchored.mapInArrow(
-        lambda it: _send_contexts(it, depth, gram, groups, hot_anchors),
-        f"group int, {place_lists(id_type)}, of array<int>, key array<long>, content array<binary>",
+    often = hot_anchors(texts, symbols, depth, gram, BATCH_BYTES, hot)
+    contexts = anchored_texts(texts, symbols, depth, gram, BATCH_BYTES).mapInArrow(
+        lambda it: _send_contexts(it, depth, gram, groups, often),
+        f"group int, {place_lists(id_type)}, of array<int>, key array<long>, size array<int>, content binary",
     )
     runs = contexts.groupBy("group").applyInArrow(
-        lambda table: _repeated_strings(table, depth), f"id {id_type}, mark long, start int, bits int"
+        lambda table: _repeated_strings(table, depth), f"id {id_type}, mark int, start int, bits int"
     )
     schema = f"id {id_type}, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     schema += ", kept_bytes binary" if with_bytes else ""
