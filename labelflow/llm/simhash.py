@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from ..session import cut_lineage
 from .common import named, shuffle_partitions
 from .components import stars
+from .near_copies import copy_groups
 
 MAX_BITS = 3
 MIN_BYTES = 8 - MAX_BITS
@@ -246,11 +247,14 @@ def near_groups(
 
 
 def keep_one_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``df`` that are first in their group, one row for each, with all columns unchanged."""
-    groups = near_groups(df, id_col, text_col, **options)
-    first = groups.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_first")).distinct()
+    """The rows of ``df`` that are first in their group of near copies, one row for each, with all columns unchanged.
+
+    Groups are those of ``near_copies``, not of fingerprints: three bits of 64 are far too few for a similarity of 0.8.
+    """
+    groups = cut_lineage(copy_groups(df, id_col, text_col, **options), "groups")
+    first = groups.groupBy("root").agg(F.min("id").alias("_first")).select("_first").distinct()
     kept = df.join(first, named(df, id_col).eqNullSafe(first["_first"]), "left_semi")
-    again = groups.groupBy(id_col).count().where("count > 1")
+    again = groups.groupBy("id").count().where("count > 1")
     if again.isEmpty():
         return kept
     return kept.dropDuplicates([id_col])

@@ -189,6 +189,32 @@ def test_keep_one_each(odd, none):
     assert simhash.near_groups(none).count() == 0 and simhash.keep_one_each(none).count() == 0
 
 
+def test_keep_one_each_finds_pairs_of_similarity_080(spark):
+    """Families of edited copies against all pairs of five-word shingle sets."""
+    rng = random.Random(12)
+    docs = []
+    for family in range(40):
+        base = [f"w{rng.randrange(5000)}" for _ in range(rng.randint(40, 400))]
+        docs.append((len(docs), " ".join(base)))
+        for _ in range(3):
+            copy = list(base)
+            for _ in range(max(1, round(len(base) * rng.uniform(0.005, 0.04)))):
+                copy[rng.randrange(len(copy))] = f"x{rng.randrange(10**6)}"
+            docs.append((len(docs), " ".join(copy).upper()))
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (t.lower().split() for _, t in docs)]
+    root = list(range(len(docs)))
+    find = lambda i: i if root[i] == i else find(root[i])
+    for i in range(len(docs)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    expected = {i for i in range(len(docs)) if find(i) == i}
+    assert 40 < len(expected) < 140
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    assert {r.doc_id for r in simhash.keep_one_each(df).collect()} == expected
+
+
 # Decontamination
 
 
