@@ -15,6 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .common import named, shuffle_partitions
 
 GROUPS = 4
@@ -276,11 +277,39 @@ def anchored_texts(texts: DataFrame, symbols: Callable, depth: int, gram: int, m
     repeated = _sent_anchors(texts, symbols, depth, gram, most).applyInArrow(
         repeated_anchors, f"id {id_type}, mark int, start int"
     )
+    return _with_starts(texts, repeated)
+
+
+def _with_starts(texts: DataFrame, repeated: DataFrame) -> DataFrame:
     flags = repeated.groupBy("id", "mark").agg(F.collect_list("start").alias("starts"))
     flags = flags.withColumnsRenamed({"id": "_id", "mark": "_mark"})
     return texts.join(flags, same_text(texts, flags)).select("id", "mark", "text", "starts")
 
 
+def _counted(table: pa.Table, most: int) -> pa.Table:
+    """Places of the anchors that occur more than once, and ``key`` of those that occur more than ``most`` times, on rows of their own."""
+    places, often = repeated_anchors(table), frequent_anchors(table, most)
+    both = {n: pa.chunked_array([*places[n].chunks, pa.nulls(len(often), places[n].type)]) for n in places.column_names}
+    both["key"] = pa.chunked_array([pa.nulls(len(places), pa.int64()), *often["key"].chunks])
+    return pa.table(both)
+
+
+def counted_anchors(
+    texts: DataFrame, symbols: Callable, depth: int, gram: int, most: int, hot: int = HOT
+) -> tuple[DataFrame, np.ndarray]:
+    """:func:`anchored_texts`, and the anchors that occur more than ``hot`` times in all documents, from one anchor round.
+
+    The anchors are at most as many as all anchors divided by ``hot``.
+    """
+    id_type = texts.schema["id"].dataType.simpleString()
+    found = _sent_anchors(texts, symbols, depth, gram, most).applyInArrow(
+        lambda table: _counted(table, hot), f"id {id_type}, mark int, start int, key long"
+    )
+    found = cut_lineage(found, "anchors")
+    often = np.array([r[0] for r in found.where("key IS NOT NULL").select("key").collect()], dtype=np.int64).view(np.uint64)
+    return _with_starts(texts, found.where("key IS NULL").drop("key")), often
+
+
 def with_runs(texts: DataFrame, runs: DataFrame) -> DataFrame:
     """Every text with its runs ``(id, mark, start, bits)`` of repeated starts: ``(id, text, starts, sizes)``."""
     covered = runs.groupBy("id", "mark").agg(F.collect_list(F.struct("start", "bits")).alias("runs"))

@@ -35,15 +35,14 @@ from .repeats import (
     BASES,
     ENTRY,
     HOT,
-    anchored_texts,
     batches_of,
     by_bytes,
+    counted_anchors,
     covered,
     entries_at,
     flat,
     group_of,
     groups_for,
-    hot_anchors,
     lists_of,
     longs,
     mixed,
@@ -58,7 +57,7 @@ from .repeats import (
 DEPTH = 50
 GRAM = 16
 BATCH_BYTES = 1_000_000
-SLICE = 250_000  # bytes of contexts that are sorted together; three names of a triple then fit 63 bits
+SLICE = 250_000  # bytes of contexts that are sorted together, unless one key has more
 BYTES = mixed(np.arange(1, 257, dtype=np.uint64) * BASES[1])
 
 
@@ -66,8 +65,16 @@ def symbols(text: str) -> np.ndarray:
     return BYTES[np.frombuffer(text.encode(), dtype=np.uint8)]
 
 
+def _pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Names from 0, below 2 ** 31, in the order of the pairs."""
+    return np.unique((a << 32) | b, return_inverse=True)[1].reshape(-1)
+
+
 def suffix_ranks(s: np.ndarray) -> np.ndarray:
-    """Rank of every suffix of ``s`` (numbers from 1 to 2 ** 21 - 1), by the difference cover modulo three."""
+    """Rank of every suffix of ``s`` (numbers from 1, below 2 ** 31), by the difference cover modulo three.
+
+    Three names are packed into one number while each fits 21 bits; beyond that the first two are named anew as a pair.
+    """
     n = len(s)
     if n < 4:
         order = sorted(range(n), key=lambda i: s[i:].tolist())
@@ -79,7 +86,11 @@ def suffix_ranks(s: np.ndarray) -> np.ndarray:
     # that the triples of the first part end before those of the second begin.
     one = np.arange(1, n + (n % 3 == 1), 3)
     sampled = np.concatenate([one, np.arange(2, n, 3)])
-    triple = (padded[sampled] << 42) | (padded[sampled + 1] << 21) | padded[sampled + 2]
+    narrow = max(int(s.max()), len(sampled) + 1) < 1 << 21
+    if narrow:
+        triple = (padded[sampled] << 42) | (padded[sampled + 1] << 21) | padded[sampled + 2]
+    else:
+        triple = (_pairs(padded[sampled], padded[sampled + 1]) << 32) | padded[sampled + 2]
     order = np.argsort(triple, kind="stable")
     names = np.empty(len(sampled), dtype=np.int64)
     sorted_triples = triple[order]
@@ -92,7 +103,11 @@ def suffix_ranks(s: np.ndarray) -> np.ndarray:
     one = np.arange(1, n, 3)
     # Against remainder 1 a byte and the rank behind it decide, against remainder 2 two bytes and the rank behind them.
     by_one = lambda at: (padded[at] << 32) | rank[at + 1]
-    by_two = lambda at: (padded[at] << 42) | (padded[at + 1] << 21) | rank[at + 2]
+    if narrow:
+        by_two = lambda at: (padded[at] << 42) | (padded[at + 1] << 21) | rank[at + 2]
+    else:
+        pair = _pairs(padded[:n], padded[1 : n + 1])
+        by_two = lambda at: (pair[at] << 32) | rank[at + 2]
     zero_order = np.argsort(by_one(zero), kind="stable")
     zero = zero[zero_order]
     one = one[np.argsort(rank[one], kind="stable")]
@@ -313,8 +328,8 @@ def cut_later_copies(
     """``(id, n_bytes, n_removed, n_spans, kept_sha256, kept_bytes)`` of every row. ``depth`` is 8 or more."""
     texts = texts_of(df, id_col, text_col)
     id_type, groups = df.schema[id_col].dataType.simpleString(), groups_for(df)
-    often = hot_anchors(texts, symbols, depth, gram, BATCH_BYTES, hot)
-    contexts = anchored_texts(texts, symbols, depth, gram, BATCH_BYTES).mapInArrow(
+    anchored, often = counted_anchors(texts, symbols, depth, gram, BATCH_BYTES, hot)
+    contexts = anchored.mapInArrow(
         lambda it: _send_contexts(it, depth, gram, groups, often),
         f"group int, {place_lists(id_type)}, of array<int>, key array<long>, size array<int>, content binary",
     )

@@ -4,7 +4,7 @@ import random
 
 import numpy as np
 import pytest
-from labelflow.llm import line_dedup, substring_trees, suffix_array
+from labelflow.llm import line_dedup, repeats, substring_trees, suffix_array
 
 from . import brute
 
@@ -46,6 +46,34 @@ def test_suffix_ranks_of_small_strings():
         assert order == sorted(range(len(s)), key=lambda i: s[i:])
 
 
+def test_suffix_ranks_of_long_strings():
+    """More places than 21 bits can number, mostly of one period, so that names repeat down the recursion."""
+    rng = np.random.default_rng(5)
+    s = np.tile(rng.integers(1, 200, 5000), 700)
+    s[rng.integers(0, len(s), 300)] = 250
+    ranks = suffix_array.suffix_ranks(s)
+    order = np.argsort(ranks)
+    assert np.array_equal(np.sort(ranks), np.arange(len(s)))
+    # Neighbours are in order if their first symbols are, and at a tie the suffixes behind them.
+    a, b = order[:-1], order[1:]
+    behind = np.append(ranks, -1)
+    assert np.all((s[a] < s[b]) | ((s[a] == s[b]) & (behind[a + 1] < behind[b + 1])))
+
+
+def test_hot_anchors_are_counted_over_all_documents(spark):
+    """An anchor that no sample of documents can be relied on to show."""
+    rng = random.Random(8)
+    noise = lambda n: "".join(chr(rng.randint(97, 122)) for _ in range(n))
+    shared = noise(60)
+    rows = [(i, noise(80) + (shared if i < 12 else "") + noise(80)) for i in range(40)]
+    texts = repeats.texts_of(spark.createDataFrame(rows, "doc_id long, text string").repartition(12), "doc_id", "text")
+    _, often = repeats.counted_anchors(texts, suffix_array.symbols, 50, 16, 10**6, 11)
+    raw = suffix_array.symbols(shared)
+    b = repeats.Batch([0], [raw], 50, 16)
+    assert set(b.grams[np.unique(b.anchor)].tolist()) <= set(often.tolist())
+    assert len(repeats.counted_anchors(texts, suffix_array.symbols, 50, 16, 10**6, 12)[1]) == 0
+
+
 def test_random_texts_over_few_symbols(spark):
     rng = random.Random(3)
     rows = [(rng.randint(0, 25), "".join(rng.choice("ab \n") for _ in range(rng.randint(0, 150)))) for _ in range(40)]
