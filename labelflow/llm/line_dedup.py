@@ -8,9 +8,9 @@ slice meets the others in the second round, at most ``SALTS`` documents a key. N
 document is a sparse bitmap, one 64-bit word for each block of 64 lines that loses any.
 
 Defined cases: a null or empty text is one empty line; lines whose key has fewer than ``min_chars`` code points are never
-dropped; a document may repeat its own lines; rows with equal ids are one document and should hold one text (repeated rows keep the
-same lines); a null id counts as one document after all others. An empty table gives an empty result. Only
-the id and text columns are read, so other columns may have any name.
+dropped; a document may repeat its own lines; rows with equal ids are one document (repeated rows keep the same lines), but where their
+texts differ each loses only lines of its own, since bitmaps are kept by id and a hash of the text; a null id counts as one document
+after all others. An empty table gives an empty result. Only the id and text columns are read, so other columns may have any name.
 """
 
 from __future__ import annotations
@@ -31,20 +31,24 @@ def _in_ranges(rows: DataFrame, *keys: Column) -> DataFrame:
     return rows.withColumn("_range", F.floor(high * F.lit(n) / F.lit(1 << 32)).cast("int")).repartitionById(n, F.col("_range"))
 
 
+def _mark(df: DataFrame, text_col: str) -> Column:
+    return F.xxhash64(whole_text(named(df, text_col)))
+
+
 def line_rows(df: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
-    """``(_h1, _h2, _id, _pos)`` of every line that is long enough to count."""
+    """``(_h1, _h2, _id, _mark, _pos)`` of every line that is long enough to count."""
     lines = F.split(ascii_lower(whole_text(named(df, text_col))), "\n", -1)
     key = F.btrim("_line", F.lit(SPACES))
     return (
-        df.select(named(df, id_col).alias("_id"), F.posexplode(lines).alias("_pos", "_line"))
-        .select("_id", "_pos", key.alias("_key"))
+        df.select(named(df, id_col).alias("_id"), _mark(df, text_col).alias("_mark"), F.posexplode(lines).alias("_pos", "_line"))
+        .select("_id", "_mark", "_pos", key.alias("_key"))
         .where(F.length("_key") >= min_chars)
-        .select(F.xxhash64("_key").alias("_h1"), F.xxhash64(F.lit("second"), "_key").alias("_h2"), "_id", "_pos")
+        .select(F.xxhash64("_key").alias("_h1"), F.xxhash64(F.lit("second"), "_key").alias("_h2"), "_id", "_mark", "_pos")
     )
 
 
 def dropped_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
-    """``(_id, _pos)`` of every line that an earlier document holds too."""
+    """``(_id, _mark, _pos)`` of every line that an earlier document holds too."""
     rows = line_rows(df, id_col, text_col, min_chars)
     salt = F.pmod(F.xxhash64("_id"), F.lit(SALTS))
     order = [F.col("_id").asc_nulls_last(), F.col("_pos")]
@@ -54,18 +58,18 @@ def dropped_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     salted = _in_ranges(rows, F.col("_h1"), F.col("_h2"), salt).withColumn("_salt", salt)
     slices = salted.withColumn("_first", first("_range", "_h1", "_h2", "_salt"))
     lost = ~F.col("_id").eqNullSafe(F.col("_first"))
-    winners = slices.where(~lost).select("_h1", "_h2", "_id", "_pos")
+    winners = slices.where(~lost).select("_h1", "_h2", "_id", "_mark", "_pos")
     final = winners.withColumn("_first", first("_h1", "_h2")).where(lost)
-    return slices.where(lost).select("_id", "_pos").unionByName(final.select("_id", "_pos"))
+    return slices.where(lost).select("_id", "_mark", "_pos").unionByName(final.select("_id", "_mark", "_pos"))
 
 
 def drop_bitmaps(dropped: DataFrame) -> DataFrame:
-    """``(_id, _bits)``: per document a map from block number to the 64-bit word of its dropped lines."""
+    """``(_id, _mark, _bits)``: per document and text a map from block number to the 64-bit word of its dropped lines."""
     words = (
-        dropped.groupBy("_id", F.shiftright("_pos", 6).alias("_block"))
+        dropped.groupBy("_id", "_mark", F.shiftright("_pos", 6).alias("_block"))
         .agg(F.bit_or(F.expr("shiftleft(1L, _pos & 63)")).alias("_word"))
     )
-    return words.groupBy("_id").agg(F.map_from_entries(F.collect_list(F.struct("_block", "_word"))).alias("_bits"))
+    return words.groupBy("_id", "_mark").agg(F.map_from_entries(F.collect_list(F.struct("_block", "_word"))).alias("_bits"))
 
 
 def _dense(bits: Column) -> Column:
@@ -84,11 +88,12 @@ def dedup_lines(
     bits_name, dense, lines, kept, n_lines, n_dropped, new = fresh(
         df, "_bits", "_dense", "_lines", "_kept", "n_lines", "n_dropped", "kept_text"
     )
-    (key,) = fresh(df, "_key_of_bits")
+    key, mark = fresh(df, "_key_of_bits", "_mark_of_bits")
     maps = drop_bitmaps(dropped_lines(df, id_col, text_col, min_chars))
-    maps = maps.select(F.col("_id").alias(key), F.col("_bits").alias(bits_name))
+    maps = maps.select(F.col("_id").alias(key), F.col("_mark").alias(mark), F.col("_bits").alias(bits_name))
     text = whole_text(named(df, text_col))
-    one = df.join(maps, named(df, id_col).eqNullSafe(maps[key]), "left").select(
+    own = named(df, id_col).eqNullSafe(maps[key]) & (_mark(df, text_col) == maps[mark])
+    one = df.join(maps, own, "left").select(
         *[named(df, c) for c in df.columns],
         F.when(maps[bits_name].isNotNull(), _dense(maps[bits_name])).alias(dense),
         F.split(text, "\n", -1).alias(lines),

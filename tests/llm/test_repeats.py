@@ -101,6 +101,16 @@ def test_line_dedup_null_ids_come_last(spark):
     assert by_id(found, "doc_id", n_dropped) == [(3, 0), (None, 1), (None, 1)]
 
 
+def test_line_dedup_rows_that_share_an_id_lose_only_their_own_lines(spark):
+    line, own = "a line of some length", "some unique first line\ny"
+    df = spark.createDataFrame(
+        [(3, line), (None, f"{line}\nx"), (None, own), (7, f"{line}\nx"), (7, own.replace("first", "other"))], "doc_id long, text string"
+    )
+    found, (_, _, kept) = line_dedup.dedup_lines(df)
+    expected = [(3, line), (None, "x"), (None, own), (7, "x"), (7, own.replace("first", "other"))]
+    assert by_id(found, "doc_id", kept) == sorted(expected, key=repr)
+
+
 def test_line_bitmaps_are_sparse(spark):
     text = "\n".join(f"line number {i:06}" for i in range(1000))
     df = spark.createDataFrame([(1, text), (2, "other\n" * 500 + "line number 000007")], "doc_id long, text string")
