@@ -28,9 +28,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .common import named, shuffle_partitions
+from .common import fresh, named, shuffle_partitions
 from .components import stars
-from .near_copies import copy_groups
+from .near_copies import copy_groups, text_mark
 
 MAX_BITS = 3
 MIN_BYTES = 8 - MAX_BITS
@@ -249,12 +249,18 @@ def near_groups(
 def keep_one_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of ``df`` that are first in their group of near copies, one row for each, with all columns unchanged.
 
+    A row is known by its id together with a hash of its text, so rows without an id, or that share one, stay if their texts are no near
+    copies. First is the smallest id, then the smallest hash; null ids are last. Of rows equal in both any one stays.
     Groups are those of ``near_copies``, not of fingerprints: three bits of 64 are far too few for a similarity of 0.8.
     """
     groups = cut_lineage(copy_groups(df, id_col, text_col, **options), "groups")
-    first = groups.groupBy("root").agg(F.min("id").alias("_first")).select("_first").distinct()
-    kept = df.join(first, named(df, id_col).eqNullSafe(first["_first"]), "left_semi")
-    again = groups.groupBy("id").count().where("count > 1")
-    if again.isEmpty():
-        return kept
-    return kept.dropDuplicates([id_col])
+    smallest = F.min(F.struct(F.isnull("id").alias("no_id"), "id", "mark")).alias("rep")
+    first = groups.groupBy("root").agg(smallest).select(F.col("rep.id").alias("_first"), F.col("rep.mark").alias("_first_mark"))
+    (mark,) = fresh(df, "_text_mark")
+    marked = df.withColumn(mark, text_mark(df, text_col))
+    same = named(marked, id_col).eqNullSafe(first["_first"]) & (marked[mark] == first["_first_mark"])
+    kept = marked.join(first, same, "left_semi")
+    again = groups.groupBy("id", "mark").count().where("count > 1")
+    if not again.isEmpty():
+        kept = kept.dropDuplicates([id_col, mark])
+    return kept.drop(mark)

@@ -215,6 +215,18 @@ def test_keep_one_each_finds_pairs_of_similarity_080(spark):
     assert {r.doc_id for r in simhash.keep_one_each(df).collect()} == expected
 
 
+def test_keep_one_each_drops_only_near_copies_among_rows_that_share_an_id(spark):
+    rng = random.Random(13)
+    one, two, three, four = (" ".join(f"w{rng.randrange(9000)}" for _ in range(60)) for _ in range(4))
+    rows = [(1, one), (None, one + " end"), (None, two), (None, three), (None, three + " end"), (5, two), (5, four), (5, four)]
+    df = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, _text_mark string").repartition(3)
+    kept = simhash.keep_one_each(df)
+    assert kept.columns == df.columns
+    got = sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr)
+    assert [g for g in got if g[0] is not None] == sorted([(1, one), (5, two), (5, four)], key=repr)
+    assert [g[1] in (three, three + " end") for g in got if g[0] is None] == [True]
+
+
 # Decontamination
 
 
