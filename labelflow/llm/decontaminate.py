@@ -3,7 +3,8 @@
 A passage of ``m`` characters found in a text with at most ``k`` edits shares at least ``m + 1 - q * (k + 1)`` of its q-grams with the
 place where it is found, and all of them lie on diagonals (text position minus passage position) no more than ``k`` apart. So
 shared q-grams are counted per passage and band of diagonals, bands overlapping by ``k``; a band that reaches the
-bound marks a region, and a banded alignment of passage and region settles the distance exactly.
+bound marks a region, and a banded alignment of passage and region settles the distances exactly. Places that end within the edit
+budget of a better one are that place; all others are matches of their own, overlapping or not.
 
 The benchmark is a stated query set. It goes to the workers in blocks of at most ``BLOCK_CHARS`` characters, one pass over the texts per
 block, so neither a task nor the driver holds more than one block. Texts are walked in segments that overlap by more than the
@@ -92,8 +93,8 @@ class Block:
     def _slot(gram: np.ndarray) -> np.ndarray:
         return (gram * BASE) >> np.uint64(64 - TABLE_BITS)
 
-    def regions(self, points: np.ndarray) -> list[tuple[int, int, int]]:
-        """``(passage, first diagonal, last diagonal)`` of every run of bands that reaches the bound."""
+    def regions(self, points: np.ndarray) -> list[tuple[int, int, int, np.ndarray]]:
+        """``(passage, first diagonal, last diagonal, diagonals of shared q-grams)`` of every run of bands that reaches the bound."""
         gram = grams(points, self.q)
         where = np.nonzero(self.table[self._slot(gram)])[0]
         gram = gram[where]
@@ -113,6 +114,7 @@ class Block:
         shift = int(both.min())
         wide = int(both.max()) - shift + 1
         key, n = np.unique(np.concatenate([item, item]).astype(np.int64) * wide + (both - shift), return_counts=True)
+        hit_item, hit_diagonal = item, diagonal
         item, band = key // wide, key % wide + shift
         good = n >= self.need[item]
         out: list[tuple[int, int, int]] = []
@@ -122,31 +124,52 @@ class Block:
                 out[-1] = (i, out[-1][1], high)
             else:
                 out.append((i, low, high))
-        return out
-
-    def verify(self, text: str, points: np.ndarray, region: tuple[int, int, int]) -> tuple[int, int, int] | None:
-        """``(start, stop, distance)`` of the best place of the passage in the region, if it is good enough."""
-        i, low, high = region
+        if not out:
+            return []
+        order = np.lexsort((hit_diagonal, hit_item))
+        hit_item, hit_diagonal = hit_item[order], hit_diagonal[order]
+        hits = lambda i: hit_diagonal[slice(*np.searchsorted(hit_item, [i, i + 1]))]
+        return [(i, low, high, d[slice(*np.searchsorted(d, [low, high + 1]))]) for i, low, high in out for d in (hits(i),)]
+
+    def places(self, text: str, points: np.ndarray, region: tuple[int, int, int, np.ndarray]) -> list[tuple[int, int, int]]:
+        """``(start, stop, distance)`` of the places of the passage in the region: the best one, and so on among those that end
+        more than the edit budget away from all better ones."""
+        i, low, high, hits = region
         k, m = int(self.edits[i]), int(self.length[i])
+        low, high = max(low, -k), min(high, len(points) - m + 2 * k)
+        if low > high:
+            return []
         start, stop = max(0, low - k), min(len(points), high + k + m)
         exact = text.find(self.texts[i], start, stop)
-        if exact >= 0:
-            return exact, exact + m, 0
+        # Another place has no q-gram on the diagonal of an exact one: to get there takes more than the budget.
+        if exact >= 0 and np.count_nonzero(hits != exact) < self.need[i]:
+            return [(exact, exact + m, 0)]
         if not k:
-            return None
+            found = []
+            while exact >= 0:
+                found.append((exact, exact + m, 0))
+                exact = text.find(self.texts[i], exact + 1, stop)
+            return found
         part = points[start:stop]
-        end, distance = align(self.points[i], part, low - k - start, high + k - start)
-        if distance > k:
-            return None
-        # Backwards from the end it found: the start that has this distance, nearest to the end.
-        back, _ = align(self.points[i][::-1], part[:end][::-1], -k, k, anchored=True)
-        return start + end - back, start + end, distance
-
-
-def align(passage: np.ndarray, text: np.ndarray, low: int, high: int, anchored: bool = False) -> tuple[int, int]:
-    """End in ``text`` and edit distance of the best match of the whole passage, on diagonals ``low`` to ``high``.
-
-    The match may start anywhere on those diagonals, or only at the text's start if it is ``anchored``.
+        distances = align(self.points[i], part, low - k - start, high + k - start)
+        first = low - k - start + m
+        near = np.nonzero(distances <= k)[0]
+        found, taken = [], np.zeros(len(distances), dtype=bool)
+        for at in near[np.argsort(distances[near], kind="stable")].tolist():
+            if taken[at]:
+                continue
+            taken[max(0, at - k) : at + k + 1] = True
+            end = first + at
+            # Backwards from the end it found: the start that has this distance, nearest to the end.
+            back = m - k + int(np.argmin(align(self.points[i][::-1], part[max(0, end - m - k) : end][::-1], -k, k, anchored=True)))
+            found.append((start + end - back, start + end, int(distances[at])))
+        return found
+
+
+def align(passage: np.ndarray, text: np.ndarray, low: int, high: int, anchored: bool = False) -> np.ndarray:
+    """Edit distance of the best match of the whole passage that ends on each of the diagonals ``low`` to ``high``.
+
+    On diagonal ``d`` it ends before place ``d + len(passage)`` of ``text``. It may start anywhere on those diagonals, or only at the text's start if it is ``anchored``.
     """
     width = high - low + 1
     far = len(passage) + len(text) + 1
@@ -170,12 +193,11 @@ def align(passage: np.ndarray, text: np.ndarray, low: int, high: int, anchored:
         row = np.where(
             (column >= 0) & (column <= len(text)), np.minimum.accumulate(moved - steps) + steps, far
         )
-    best = int(np.argmin(row))
-    return low + best + len(passage), int(row[best])
+    return row
 
 
 def find_passages(texts: list[str | None], block: Block) -> list[list[tuple[int, int, int, int]]]:
-    """Per text the matches ``(passage, start, stop, distance)``; the best one per passage and region."""
+    """Per text the matches ``(passage, start, stop, distance)``, see :meth:`Block.places`."""
     margin = int((block.length + 3 * block.edits).max()) + block.q
     out: list[list] = [[] for _ in texts]
 
@@ -185,13 +207,15 @@ def find_passages(texts: list[str | None], block: Block) -> list[list[tuple[int,
         joined = gap.join(p for _, _, p in pieces)
         starts = np.cumsum([0] + [len(p) + margin for _, _, p in pieces[:-1]])
         for region in block.regions(code_points(joined)):
-            middle = (region[1] + region[2] + int(block.length[region[0]])) // 2
-            at = max(0, int(np.searchsorted(starts, middle, side="right")) - 1)
-            number, offset, piece = pieces[at]
-            shifted = (region[0], region[1] - int(starts[at]), region[2] - int(starts[at]))
-            match = block.verify(piece, code_points(piece), shifted)
-            if match:
-                out[number].append((region[0], match[0] + offset, match[1] + offset, match[2]))
+            i, low, high, hits = region
+            # Bands of neighbouring pieces may touch, so each piece is searched in its own part of the region.
+            k = int(block.edits[i])
+            ends = np.searchsorted(starts, [low - k, high + k + int(block.length[i])], side="right") - 1
+            for at in range(max(0, int(ends[0])), int(ends[1]) + 1):
+                number, offset, piece = pieces[at]
+                shift = int(starts[at])
+                for start, stop, distance in block.places(piece, code_points(piece), (i, low - shift, high - shift, hits - shift)):
+                    out[number].append((i, start + offset, stop + offset, distance))
 
     pieces, size = [], 0
     for number, text in enumerate(texts):

@@ -280,3 +280,18 @@ def test_passages_in_long_and_odd_texts(spark, odd, none):
     assert decontaminate.contaminated(none, bench).count() == 0
     assert decontaminate.contaminated(df, bench.limit(0)).count() == 0
     assert decontaminate.drop_contaminated(df, bench.limit(0)).count() == 5
+
+
+def test_passages_of_short_period_are_found_in_every_text_and_place(spark):
+    item = "ab" * 100
+    texts = ["ab" * 150, "x" + "ab" * 120 + "y", "ba" * 130, "ab" * 60, "ab" * 95 + "a", "cd" * 200]
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    rows = [*enumerate(texts), (9, f"{item[:80]}Z{item[80:]} and {item}")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    found = decontaminate.contaminated(df, bench).collect()
+    wanted = {i for i, t in rows if brute.distance(item, t.lower()) <= decontaminate.allowed_edits(len(item))}
+    assert {r.doc_id for r in found} == wanted == {0, 1, 2, 4, 9}
+    for r in found:
+        assert brute.distance(item, dict(rows)[r.doc_id].lower()[r.start : r.stop]) == r.distance
+    ends = sorted(r.stop for r in found if r.doc_id == 0)
+    assert ends[0] <= 200 + 20 and ends[-1] >= 300 - 20 and all(20 < b - a <= 41 for a, b in zip(ends, ends[1:], strict=False))
