@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import byte_bpe, decision_lists, decontaminate, line_dedup, secret_ledger, simhash, substring_trees, suffix_array, url_filters, warc_archive
+from . import byte_bpe, decision_lists, decontaminate, line_dedup, secret_ledger, simhash, substring_trees, suffix_array, url_filters, warc_archive, whitening
 from .common import documents, pages
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -196,3 +196,8 @@ FROM d LEFT JOIN kept USING (doc_id)
 )
 def suffix_array_query(spark: SparkSession, folder: str) -> DataFrame:
     return suffix_array.cut_later_copies(documents(spark, folder), with_bytes=False)
+
+
+@query("op13_whitening")
+def whitening_query(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whitened_rows(spark.read.parquet(f"{folder}/embeddings.parquet"))
