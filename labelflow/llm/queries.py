@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import byte_bpe, decision_lists, decontaminate, line_dedup, secret_ledger, simhash, substring_trees, suffix_array, url_filters, warc_archive, whitening
+from . import byte_bpe, decision_lists, decontaminate, lexical_search, line_dedup, secret_ledger, simhash, substring_trees, suffix_array, url_filters, warc_archive, whitening
 from .common import documents, pages
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -198,6 +198,30 @@ def suffix_array_query(spark: SparkSession, folder: str) -> DataFrame:
     return suffix_array.cut_later_copies(documents(spark, folder), with_bytes=False)
 
 
+@query(
+    "op11_ranked_search",
+    r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+             '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents),
+b AS (SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+             '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+asked AS (SELECT item_id, term, count(*) AS q FROM b GROUP BY ALL),
+st AS (SELECT CAST(count(*) FILTER (len(terms) > 0) AS BIGINT) AS n, CAST(sum(len(terms)) AS BIGINT) AS l FROM d),
+m AS (SELECT doc_id, 75 + (25 * len(terms) * n) // l AS m FROM d, st),
+p AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(terms) AS term FROM d)
+      WHERE term IN (SELECT term FROM asked) GROUP BY ALL),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * any_value(n) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM p, st GROUP BY term),
+s AS (SELECT item_id, p.doc_id, CAST(sum(q * w * ((1000000000 * tf) // (1000 * tf + 12 * m))) AS BIGINT) AS score
+      FROM asked JOIN p USING (term) JOIN w USING (term) JOIN m ON m.doc_id = p.doc_id GROUP BY ALL),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM s WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 20
+""",
+)
+def ranked_search_query(spark: SparkSession, folder: str) -> DataFrame:
+    at = lexical_search.write_index(documents(spark, folder), scratch_path(spark, "search-index"))
+    return lexical_search.search(spark, at, spark.read.parquet(f"{folder}/benchmark.parquet"))
+
+
 @query("op13_whitening")
 def whitening_query(spark: SparkSession, folder: str) -> DataFrame:
     return whitening.whitened_rows(spark.read.parquet(f"{folder}/embeddings.parquet"))
