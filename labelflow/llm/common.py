@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import string
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -41,6 +42,39 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, string.ascii_uppercase, string.ascii_lowercase)
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+RUN = 64
+
+
+def running(values: Column, step: Callable[[Column, Column], Column] = lambda a, b: a + b) -> Column:
+    """Running sums (or another fold from zero) of an array of ints, without looking at an element's whole past.
+
+    A fold that grows one array copies it for each element. Here runs of ``RUN`` elements are folded on their own lists, and
+    just those lists are strung together: a few million copies for a hundred thousand elements.
+    """
+    none = F.array().cast("array<int>")
+
+    def inside(state: Column, x: Column) -> Column:
+        return let(step(state["at"], x), lambda at: F.struct(at.alias("at"), F.concat(state["out"], F.array(at)).alias("out")))
+
+    def whole(v: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.shiftright(F.size(v) - 1, 6))
+        runs = F.transform(starts, lambda i: F.slice(v, i * RUN + 1, RUN))
+
+        def across(state: Column, some: Column) -> Column:
+            done = F.aggregate(some, F.struct(state["at"].alias("at"), none.alias("out")), inside)
+            return let(done, lambda d: F.struct(d["at"].alias("at"), F.concat(state["out"], F.array(d["out"])).alias("out")))
+
+        first = F.struct(F.lit(0).alias("at"), F.array().cast("array<array<int>>").alias("out"))
+        return F.flatten(F.aggregate(runs, first, across)["out"])
+
+    return let(values, lambda v: F.when(F.size(v) > 0, whole(v)).otherwise(none))
+
+
 def where_computed(df: DataFrame, condition: Column) -> DataFrame:
     """Filter on computed columns as they are.
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import byte_bpe, decision_lists, decontaminate, lexical_search, line_dedup, secret_ledger, simhash, substring_trees, suffix_array, url_filters, warc_archive, whitening
+from . import byte_bpe, decision_lists, decontaminate, disclosure, lexical_search, line_dedup, secret_ledger, simhash, substring_trees, suffix_array, url_filters, warc_archive, whitening
 from .common import documents, pages
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -222,6 +222,21 @@ def ranked_search_query(spark: SparkSession, folder: str) -> DataFrame:
     return lexical_search.search(spark, at, spark.read.parquet(f"{folder}/benchmark.parquet"))
 
 
+@query("op12_disclosure")
+def disclosure_query(spark: SparkSession, folder: str) -> DataFrame:
+    found = disclosure.find_personal(documents(spark, folder))
+    spans = F.col("spans")
+    base = [kind.name for kind in disclosure.KINDS]
+    of = lambda kind: F.filter(spans, lambda x: x["kind"] == kind)
+    counts = [F.size(of(kind)).cast("long").alias(f"n_{kind}") for kind in base]
+    return found.select(
+        "doc_id",
+        *counts,
+        sha256(disclosure.listed(spans, base)).alias("base_sha256"),
+        disclosure.listed(spans).alias("spans"),
+    )
+
+
 @query("op13_whitening")
 def whitening_query(spark: SparkSession, folder: str) -> DataFrame:
     return whitening.whitened_rows(spark.read.parquet(f"{folder}/embeddings.parquet"))
