@@ -129,3 +129,35 @@ def secrets(text):
         if good(m)
     ]
     return ",".join(f"{SECRETS[k][0]}:{a}:{b}" for a, k, b in sorted(found))
+
+
+def shingle_set(text, n=5):
+    words = _ascii_words(text)
+    if not words:
+        return frozenset()
+    k = min(n, len(words))
+    return frozenset(tuple(words[i : i + k]) for i in range(len(words) - k + 1))
+
+
+def _ascii_words(text):
+    lower = (text or "").translate({c: c + 32 for c in range(65, 91)})
+    return [w for w in re.split(r"[ \t\n\x0b\f\r]+", lower) if w]
+
+
+def copy_components(texts, similarity=0.8):
+    """Component number of each text, where sets of five-word shingles link at that similarity; equal sets are linked."""
+    sets = [shingle_set(t) for t in texts]
+    label = list(range(len(sets)))
+
+    def root(i):
+        while label[i] != i:
+            i = label[i]
+        return i
+
+    for i in range(len(sets)):
+        for j in range(i):
+            both, either = len(sets[i] & sets[j]), len(sets[i] | sets[j])
+            if 10 * both >= 8 * either:
+                a, b = root(i), root(j)
+                label[max(a, b)] = min(a, b)
+    return [root(i) for i in range(len(sets))]

@@ -43,8 +43,9 @@ def test_run(spark, folder):
     assert good == {i for i, text, *_ in docs if text and i % 6} | {200, 202}
     left = brute.without_lines([(i, text) for i, text, *_ in docs if i in good])
     left = [(i, "\n".join(kept)) for i, kept, _ in left if "".join(kept).strip()]
-    groups = brute.components([i for i, _ in left], [brute.fingerprint(t) for _, t in left])
-    left = [d for d, c in zip(left, groups, strict=True) if d[0] == c]
+    left.sort()
+    groups = brute.copy_components([t for _, t in left])
+    left = [d for n, (d, c) in enumerate(zip(left, groups, strict=True)) if n == c]
     budget = decontaminate.allowed_edits(len(item))
     left = {i: t for i, t in left if brute.distance(item, t.lower().replace("\n", " ")) > budget}
     got = corpus_pipeline.run(spark, at).collect()
