@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from .common import fresh, named, whole_text
+from .common import fresh, let, named, running, whole_text
 
 
 @dataclass(frozen=True)
@@ -65,18 +65,19 @@ SPANS = "array<struct<start:int,order:int,kind:string,stop:int>>"
 
 
 def _spans(steps: Column, rule: Rule, order: int) -> Column:
-    """Places of the matches from the lengths of all steps before them."""
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(SPANS).alias("spans"))
+    """Places of the matches from the lengths of all steps before them, summed up in runs: work is in proportion to the findings."""
 
-    def walk(state: Column, x: Column) -> Column:
-        stop = state["at"] + x["step"]
-        span = F.struct(
-            (stop - x["size"]).alias("start"), F.lit(order).alias("order"), F.lit(rule.kind).alias("kind"), stop.alias("stop")
-        )
-        found = F.when(x["value"] >= rule.least, F.concat(state["spans"], F.array(span))).otherwise(state["spans"])
-        return F.struct(stop.alias("at"), found.alias("spans"))
+    def placed(stops: Column) -> Column:
+        def span(x: Column, i: Column) -> Column:
+            stop = F.get(stops, i)
+            place = F.struct(
+                (stop - x["size"]).alias("start"), F.lit(order).alias("order"), F.lit(rule.kind).alias("kind"), stop.alias("stop")
+            )
+            return F.when(x["value"] >= rule.least, place)
 
-    return F.aggregate(steps, start, walk)["spans"]
+        return F.filter(F.transform(steps, span), lambda x: x.isNotNull())
+
+    return let(running(F.transform(steps, lambda x: x["step"])), placed)
 
 
 def with_spans(df: DataFrame, text_col: str, out: str, rules: list[Rule] = RULES) -> DataFrame:
@@ -144,6 +145,7 @@ def find_secrets(
     schema = f"blob string, rule_version string, spans {SPANS}"
     spark.createDataFrame([], schema).write.mode("append").parquet(at)  # so that a new ledger can be read
     scan_unseen(versions, spark.read.schema(schema).parquet(at), rules, version).write.mode("append").parquet(at)
-    ledger = spark.read.schema(schema).parquet(at).where(F.col("rule_version") == version).select("blob", "spans")
+    # Two runs at once may both have scanned a blob.
+    ledger = spark.read.schema(schema).parquet(at).where(F.col("rule_version") == version).select("blob", "spans").dropDuplicates(["blob"])
     found = versions.select("blob", "path").join(ledger, "blob", "left")
     return found.select(F.col("path").alias(path_col), "blob", "spans")

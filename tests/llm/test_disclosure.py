@@ -168,3 +168,22 @@ def test_many_findings_in_one_text(spark):
     text = " ".join(f"u{i}@x{i % 7}.org" for i in range(50_000))
     row = D.find_personal(made(spark, [(1, text)], 1)).first()
     assert len(row.spans) == 50_000 and row.spans[-1].stop == len(text)
+
+
+def test_many_secrets_in_one_text(spark):
+    from labelflow.llm import secret_ledger
+
+    text = " ".join(f"{i:016x}" for i in range(100_000))
+    row = secret_ledger.find_secrets(made(spark, [(1, text)], 1)).first()
+    assert len(row.spans) == 100_000 and row.spans[-1].stop == len(text) and row.spans[1].start == 17
+
+
+def test_ledger_written_twice_gives_one_row_each(spark, tmp_path):
+    from labelflow.llm import secret_ledger
+
+    df, at = made(spark, [(1, "AKIA" + "Z" * 16), (2, "nothing")]), f"{tmp_path}/ledger"
+    first = secret_ledger.find_secrets(df, ledger_path=at).collect()
+    spark.read.parquet(at).write.mode("append").parquet(at + "-copy")
+    spark.read.parquet(at + "-copy").write.mode("append").parquet(at)
+    again = secret_ledger.find_secrets(df, ledger_path=at).collect()
+    assert sorted(first) == sorted(again) and len(again) == 2
