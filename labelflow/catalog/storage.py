@@ -17,6 +17,7 @@ from ..sources import activity as A
 from ..sources import files as IO
 from ..sources import views as V
 from ..streaming import activity as SA
+from ..streaming import rollup as SR
 from ..streaming import scoring as SS
 from .prompting import _FIXED, _digit
 from .registry import folded_sql, query, six, text_md5, with_views
@@ -256,6 +257,29 @@ def j2_daily_rollup_stream(spark, folder):
     return _shown(SS.latest_result(rollup, scratch_path(spark, "rollup-table"), state))
 
 
+@query(
+    "j2_rollup_late_entries",
+    with_views(
+        """, parts AS (SELECT *, event_id % 40 = 7 AS second FROM activity)
+, mark AS (SELECT max(timestamp) FILTER (NOT second) - INTERVAL 1 HOUR AS w FROM parts)
+, told AS (SELECT CAST(timestamp AS DATE) AS d, target, success, second AND CAST(timestamp AS DATE) + INTERVAL 1 DAY <= w AS late FROM parts, mark)
+, ends AS (SELECT max(timestamp) - INTERVAL 1 HOUR AS w FROM activity)
+SELECT CAST(d AS VARCHAR) AS day, CAST(target AS VARCHAR) AS target_level, CAST(count(*) AS BIGINT) AS events,
+ round(avg(CAST(success AS INTEGER)), 6) AS success_rate,
+ CASE WHEN late THEN 'late' WHEN d + INTERVAL 1 DAY <= any_value(w) THEN 'closed' ELSE 'open' END AS status FROM told, ends GROUP BY d, target, late""",
+        "activity",
+    ),
+)
+def j2_rollup_late_entries(spark, folder):
+    """One entry in forty arrives in a second batch: those whose day is closed by then stay apart."""
+    inbox, out = scratch_path(spark, "entries"), scratch_path(spark, "rollup")
+    rows, state = V.activity(spark, folder), scratch_path(spark, "rollup-state")
+    for second in (False, True):
+        rows.where((F.col("event_id") % 40 == 7) == second).write.mode("append").parquet(inbox)
+        SR.run_rollup(spark.readStream.schema(rows.schema).parquet(inbox), out, state)
+    return _shown(SR.read_rollup(spark, out))
+
+
 @query(
     "j3_score_stream",
     with_views(f"SELECT id, score, {_digit(_FIXED)} AS predicted_score FROM labeled", "labeled"),
@@ -286,6 +310,25 @@ def j4_live_accuracy(spark, folder):
     )
 
 
+@query(
+    "j4_running_accuracy_stream",
+    with_views(
+        """, parts AS (SELECT *, row_number() OVER (ORDER BY pred = 2, id) AS rows_so_far FROM predicted)
+SELECT id, CAST(rows_so_far AS BIGINT) AS rows_so_far, CAST(sum(CAST(gold = pred AS INTEGER)) OVER (ORDER BY rows_so_far) AS BIGINT) AS correct_so_far FROM parts""",
+        "predicted",
+    ),
+)
+def j4_running_accuracy_stream(spark, folder):
+    """Two batches, the second with all predictions of level 2; each row carries the totals up to itself."""
+    inbox, out, state = (scratch_path(spark, n) for n in ("inbox", "running", "running-state"))
+    rows = V.predicted(spark, folder)
+    for second in (False, True):
+        rows.where((F.col("pred") == 2) == second).write.mode("append").parquet(inbox)
+        stream = spark.readStream.schema(rows.schema).parquet(inbox)
+        done = SS.running_accuracy_stream(stream, "gold", "pred", ["id"], out, state)
+    return done.select("id", "rows_so_far", "correct_so_far")
+
+
 @query("k_file_stem", "SELECT doc_id, 'documents' AS stem FROM documents")
 def k_file_stem(spark, folder):
     return IO.with_source_stem(V.table(spark, folder, "documents"), "stem").select("doc_id", "stem")

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ranking import join_back, lay_out, totals_before
+from .ranking import lay_out, totals_before
 
 def _zeros(df: DataFrame, label: str, labels: tuple, count: str) -> DataFrame:
     listed = F.array(*[F.lit(v) for v in labels]).cast(f"array<{df.schema[label].dataType.simpleString()}>")
@@ -180,19 +180,19 @@ def cv_summary(folds: DataFrame) -> DataFrame:
     )
 
 
-def running_accuracy(df: DataFrame, gold: str, pred: str, order: list[str]) -> DataFrame:
-    """Rows, right rows and accuracy up to and including each row, in a unique total order.
+def running_accuracy(df: DataFrame, gold: str, pred: str, order: list[str], rows: int = 0, correct: int = 0) -> DataFrame:
+    """Rows, right rows and accuracy up to and including each row, in a total order, after ``rows`` earlier ones.
 
-    Keys and hits are range-partitioned by ``order``; each partition carries the sums of the partitions before it, and the
-    running sum is a window inside the partition. Whole rows meet them by key.
+    Rows are range-partitioned by ``order`` (see :func:`lay_out`, also for repeated and null keys); each partition carries the sums of the
+    partitions before it, and the running sum is a window inside the partition.
     """
-    laid = lay_out(df.select(*order, _hit(gold, pred).cast("long").alias("_hit")), order)
+    laid = lay_out(df.withColumn("_hit", _hit(gold, pred).cast("long")), order)
     before = totals_before(laid, {"_rows": F.count("*"), "_hits": F.sum("_hit")})
     inside = Window.partitionBy("_part").orderBy("_row").rowsBetween(Window.unboundedPreceding, 0)
-    new = {"rows_so_far": F.col("_rows") + F.col("_row") + 1, "correct_so_far": F.col("_hits") + F.col("_in")}
+    new = {"rows_so_far": F.col("_rows") + F.col("_row") + 1 + rows, "correct_so_far": F.col("_hits") + F.col("_in") + correct}
     summed = laid.withColumn("_in", F.sum("_hit").over(inside)).join(F.broadcast(before), "_part").withColumns(new)
     summed = summed.withColumn("running_accuracy", F.col("correct_so_far") / F.col("rows_so_far"))
-    return join_back(df, summed, order, [*new, "running_accuracy"])
+    return summed.select(*[F.col(f"`{c}`") for c in df.columns], *new, "running_accuracy")
 
 
 def comparison(df: DataFrame, series: str, column: str, values: list, correct: str) -> DataFrame:

@@ -13,15 +13,13 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import cut_lineage
 
 DIGITS = 4  # hex digits of a bucket: 65,536 buckets, which leaves some 15 million rows in one of a class of 10 ** 12
 
 
-ROWS_PER_RANGE = 5_000_000  # of narrow rows that one task sorts
-
-
 def seeded_hash(id_col: str, seed: int | str) -> Column:
     """Digest of the seeded id. The coalesce marks it as never null, which spares joins on it a null check that
     would compute the digest again."""
@@ -124,19 +122,27 @@ def pieces_by_rank(
     return joined.select(*[hashed[c] for c in df.columns], passed.alias(out))
 
 
+def _tie(df: DataFrame, order: list[str]) -> Column:
+    """A hash of the other columns, so that many rows with equal keys do not share one range."""
+    simple = (T.AtomicType, T.ArrayType, T.StructType)
+    others = [f.name for f in df.schema.fields if f.name not in order and isinstance(f.dataType, simple)]
+    nested = [c for c in others if "map<" in (kind := df.schema[c].dataType.simpleString()) or "variant" in kind]
+    return F.xxhash64(*[F.col(f"`{c}`") for c in others if c not in nested]) if set(others) - set(nested) else F.lit(0)
+
+
 def lay_out(df: DataFrame, order: list[str], partitions: int | None = None) -> DataFrame:
-    """Rows in a total order: adds ``_part`` (range partition) and ``_row`` (0-based row inside it).
+    """All rows in a total order: adds ``_part`` (range partition) and ``_row`` (0-based row inside it).
 
-    ``order`` must be unique per row; a hot value of its first column is then still split, because the
-    range partitioning looks at the whole key. There is a range for every ``ROWS_PER_RANGE`` rows, and the shuffle partitions of
-    the session at least. The sorted rows are written once, so everything that is derived from the partitions later reads the
-    same files; callers pass only the columns they need.
+    Rows with equal or null keys are ordered by a hash of their other columns, so a hot key is split over ranges too;
+    only rows that are equal throughout stay together, in any order. The sorted rows are written once, so everything that
+    is derived from their places later reads the same files, and each row keeps its one place.
     """
-    usual = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    n = partitions or max(usual, -(-df.count() // ROWS_PER_RANGE))
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keyed = df.withColumn("_tie", _tie(df, order))
     laid = cut_lineage(
-        df.repartitionByRange(n, *order)
-        .sortWithinPartitions(*order)
+        keyed.repartitionByRange(n, *order, "_tie")
+        .sortWithinPartitions(*order, "_tie")
+        .drop("_tie")
         .withColumn("_seq", F.monotonically_increasing_id()),
         "layout",
     )
@@ -153,21 +159,12 @@ def totals_before(laid: DataFrame, sums: dict[str, Column]) -> DataFrame:
     return per_part.select("_part", *[F.coalesce(F.sum(n).over(before), F.lit(0)).alias(n) for n in sums])
 
 
-def join_back(df: DataFrame, keyed: DataFrame, order: list[str], new: list[str]) -> DataFrame:
-    """``df`` with the columns ``new`` of a table that has the same ``order`` keys; null keys meet null keys."""
-    if set(df.columns) == set(order):
-        return keyed.select(*df.columns, *new)
-    right = _as_right(keyed.select(*order, *new), order)
-    joined = df.join(right, same_keys(df, right, order))
-    return joined.select(*[df[c] for c in df.columns], *[right[c] for c in new])
-
-
 def dense_position(df: DataFrame, order: list[str], out: str = "position") -> DataFrame:
-    """0-based position in a total order, without a single-task sort. Only the order keys are laid out."""
-    laid = lay_out(df.select(*order), order)
+    """0-based position in a total order, without a single-task sort; one for each row, also where keys repeat or are null."""
+    laid = lay_out(df, order)
     offsets = totals_before(laid, {"_lo": F.count("*")})
     placed = laid.join(F.broadcast(offsets), "_part").withColumn(out, F.col("_lo") + F.col("_row"))
-    return join_back(df, placed, order, [out])
+    return placed.select(*[F.col(f"`{c}`") for c in df.columns if c != out], out)
 
 
 def sums_before(df: DataFrame, order: list[str], value: str, out: str) -> DataFrame:

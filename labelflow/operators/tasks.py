@@ -31,7 +31,7 @@ def experiment_grid(df: DataFrame, models: list[str], prompt_types: dict[str, bo
 
 
 def assign_ids(df: DataFrame, order: list[str], fmt: str = "S%03d", out: str = "id") -> DataFrame:
-    """Formatted ids by position in ``order`` (unique per row), starting at 1."""
+    """Formatted ids by position in ``order``, starting at 1; rows with equal keys get different ids."""
     placed = dense_position(df, order, "_pos")
     return placed.withColumn(out, F.format_string(fmt, F.col("_pos") + 1)).drop("_pos")
 

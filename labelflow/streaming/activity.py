@@ -19,7 +19,8 @@ def stream_activity(spark: SparkSession, path: str, files_per_trigger: int | Non
 def daily_rollup(df: DataFrame, late: str = "1 hour") -> DataFrame:
     """Entries and success rate per day and target; works on tables and streams.
 
-    On a stream, entries later than ``late`` behind the newest are dropped once their day is closed.
+    On a stream in append or update mode, entries later than ``late`` behind the newest are dropped once their day is closed. Complete mode
+    keeps all days and drops none; ``rollup`` keeps late entries apart.
     """
     stamped = df.withWatermark("timestamp", late) if df.isStreaming else df
     return (

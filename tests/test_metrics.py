@@ -77,6 +77,17 @@ def test_running_accuracy_ends_at_accuracy(spark):
     assert last["running_accuracy"] == pytest.approx(H.accuracy(df, "gold", "pred").first()["accuracy"])
 
 
+def test_running_accuracy_with_ties_and_null_keys(spark):
+    rows = [(1, 1, 1), (1, 1, 2), (1, 2, 2), (None, 1, 1), (None, 2, None), (2, 3, 3)]
+    df = spark.createDataFrame(rows, "pos int, gold int, pred int")
+    got = sorted(H.running_accuracy(df, "gold", "pred", ["pos"]).collect(), key=lambda r: r["rows_so_far"])
+    assert [r["rows_so_far"] for r in got] == [1, 2, 3, 4, 5, 6] and got[-1]["correct_so_far"] == 4
+    hits = 0
+    for n, r in enumerate(got, 1):
+        hits += r["gold"] == r["pred"]
+        assert (r["correct_so_far"], r["running_accuracy"]) == (hits, hits / n)
+
+
 def metrics(spark, rows, fold="int"):
     return spark.createDataFrame(rows, f"fold {fold}, eval_accuracy double, eval_macro_f1 double, eval_loss double")
 

@@ -166,3 +166,28 @@ def test_no_hot_partition_after_range_layout(spark):
     sizes = [r["count"] for r in R.lay_out(df, ["a", "b"]).groupBy("_part").count().collect()]
     assert len(sizes) > 4
     assert max(sizes) < 20_000 / 3
+
+
+@pytest.mark.parametrize("order", [["pos"], ["pos", "text"]])
+def test_positions_with_ties_and_null_keys(spark, order):
+    rows = [(1, "a", 1), (1, "a", 2), (1, "b", 3), (None, "b", 4), (None, "b", 5), (2, "c", 6), (2, "c", 6), (2, None, 6)]
+    df = spark.createDataFrame(rows, "pos int, text string, id int")
+    got = R.dense_position(df, order).collect()
+    assert sorted(r["position"] for r in got) == list(range(len(rows)))
+    assert sorted(((r["pos"], r["text"], r["id"]) for r in got), key=repr) == sorted(rows, key=repr)
+    keys = [tuple((r[c] is not None, r[c]) for c in order) for r in sorted(got, key=lambda r: r["position"])]
+    assert keys == sorted(keys)
+
+
+def test_a_hot_key_is_split_over_ranges(spark):
+    df = spark.range(20_000).select(F.lit(None).cast("int").alias("a"), F.col("id").alias("b"))
+    sizes = [r["count"] for r in R.lay_out(df, ["a"]).groupBy("_part").count().collect()]
+    assert sum(sizes) == 20_000 and max(sizes) < 20_000 / 3
+
+
+def test_ids_with_ties(spark):
+    from labelflow.operators.tasks import assign_ids, default_ids
+
+    df = spark.createDataFrame([(1, None), (1, 7), (None, None), (None, None)], "pos int, id long")
+    assert sorted(r["name"] for r in assign_ids(df, ["pos"], out="name").collect()) == ["S001", "S002", "S003", "S004"]
+    assert default_ids(df, ["pos"]).count() == 4
