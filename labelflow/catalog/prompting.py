@@ -23,6 +23,7 @@ from ..operators.inference import (
     score_table,
 )
 from ..operators.joins import complement
+from ..operators.ledger import generate_once
 from ..operators.metrics import accuracy_by
 from ..operators.labels import with_mode
 from ..operators.sampling import first_n_per_class
@@ -331,6 +332,19 @@ def f2_generate(spark, folder):
     return out.select("id", "target", "reply", "attempts", "status")
 
 
+@query(
+    "f2_generate_once",
+    f"SELECT doc_id AS id, md5(text) AS text_md5, '【最終分數：' || {_digit('text')} || '】' AS reply FROM documents",
+)
+def f2_generate_once(spark, folder):
+    """Half of the documents first, then all of them: the second run asks only for texts that the ledger lacks."""
+    at = scratch_path(spark, "replies")
+    rows = V.table(spark, folder, "documents").select(F.col("doc_id").alias("id"), "text")
+    ask = lambda df: generate_once(df, HASH, "hash", at, "text", NO_WAIT, batches=2, parallelism=4, spread_by=("id",))
+    ask(rows.where("id % 2 = 0"))
+    return ask(rows).select("id", text_md5("text").alias("text_md5"), "reply")
+
+
 @query(
     "f3_retry",
     with_views(

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import threading
 import time
 from collections.abc import Callable, Iterator
@@ -12,6 +13,7 @@ from functools import lru_cache
 from typing import Protocol
 
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -54,6 +56,33 @@ GENERATE_ONCE = RetryPolicy(tries=1, retry_other=False, retry_blank=False, pause
 NO_WAIT = RetryPolicy(base_delay=0.0, pause=0.0)
 
 
+class Pace:
+    """The part that one task has in a rate of ``rate`` calls a second for all tasks together.
+
+    Calls get slots on one time line, a slot every ``1 / rate`` seconds, of which task ``share`` of ``shares`` owns each ``shares``-th. Tasks need
+    not talk to each other: whatever their number, no two own one slot. Threads of a task take its slots in turn. A slot that passes
+    unused is lost, so as many tasks should run at once as there are shares.
+    """
+
+    def __init__(self, rate: float, share: int = 0, shares: int = 1, clock: Callable = time.time, sleep: Callable = time.sleep):
+        if rate <= 0 or not 0 <= share < shares:
+            raise ValueError("a pace needs a positive rate and a share among all shares")
+        self.rate, self.share, self.shares, self.clock, self.sleep = rate, share, shares, clock, sleep
+        self.last, self.lock = -1, threading.Lock()
+
+    def wait(self, calls: int = 1) -> None:
+        """Return when the time of this task's next ``calls`` slots has come."""
+        with self.lock:
+            now = self.clock() * self.rate
+            first = max(math.ceil(now), self.last + 1)
+            first += (self.share - first) % self.shares
+            self.last = first + (calls - 1) * self.shares
+            until = self.last / self.rate
+        left = until - self.clock()
+        if left > 0:
+            self.sleep(left)
+
+
 def _settled(reply: str | None, error: str | None, attempt: int, retry: RetryPolicy) -> tuple[tuple | None, str | None]:
     """A row's final ``(reply, attempts, status, error)`` after a try, or None and the error to try again for."""
     if error is None:
@@ -71,10 +100,14 @@ def _wait(error: str, attempt: int, retry: RetryPolicy) -> float:
     return retry.base_delay * (2**attempt if retry.is_transient(error) else 1)
 
 
-def ask(model: Model, prompt: str, settings: dict, retry: RetryPolicy, sleep: Callable = time.sleep) -> tuple:
+def ask(
+    model: Model, prompt: str, settings: dict, retry: RetryPolicy, sleep: Callable = time.sleep, pace: Pace | None = None
+) -> tuple:
     """One row: (reply, attempts, status, error). An error of one row never ends the job."""
     for attempt in range(retry.tries):
         reply, error = None, None
+        if pace:
+            pace.wait()
         try:
             reply = model.generate(prompt, **settings)
         except Exception as problem:  # noqa: BLE001 - recorded as the row's status
@@ -90,20 +123,27 @@ def ask(model: Model, prompt: str, settings: dict, retry: RetryPolicy, sleep: Ca
 
 
 def ask_all(
-    model: Model, rows: list[tuple[str, dict]], retry: RetryPolicy, callers: int = CALLERS, sleep: Callable = time.sleep
+    model: Model,
+    rows: list[tuple[str, dict]],
+    retry: RetryPolicy,
+    callers: int = CALLERS,
+    sleep: Callable = time.sleep,
+    pace: Pace | None = None,
 ) -> list[tuple]:
     """All rows of a batch, in order.
 
     A model with ``generate_many(prompts, settings)`` gets the rows that still need an answer in one call per try; it returns a
     reply or an exception for each. Any other model is asked by ``callers`` threads at once, so that a row's
-    waiting holds up no other row.
+    waiting holds up no other row. With a ``pace`` every call, and every prompt of a batch, takes a slot of it.
     """
     if not hasattr(model, "generate_many"):
         with ThreadPoolExecutor(min(callers, max(1, len(rows)))) as pool:
-            return list(pool.map(lambda row: ask(model, *row, retry, sleep), rows))
+            return list(pool.map(lambda row: ask(model, *row, retry, sleep, pace), rows))
     out: list[tuple | None] = [None] * len(rows)
     left = list(range(len(rows)))
     for attempt in range(retry.tries):
+        if pace and left:
+            pace.wait(len(left))
         try:
             replies = model.generate_many([rows[i][0] for i in left], [rows[i][1] for i in left])
         except Exception as problem:  # noqa: BLE001 - recorded as the status of the rows
@@ -285,22 +325,28 @@ def generate(
     settings: tuple[str, ...] = (),
     parallelism: int | None = None,
     callers: int = CALLERS,
+    rate: float | None = None,
 ) -> DataFrame:
     """Add ``reply, attempts, status, error`` for every row.
 
+    ``rate`` is the most calls a second of all tasks together, retries included; it needs a ``parallelism``, whose tasks share it (see :class:`Pace`).
+
     Only the prompt and the setting columns go to Python; all others stay in the JVM. ``parallelism`` is the
     number of tasks and ``callers`` that of concurrent calls in each, set by the service's rate limit and not by the data size. Replies are costly
     and may differ between calls: write the result, or ``cut_lineage`` it, before using it more than once.
     """
+    if rate and not parallelism:
+        raise ValueError("a rate is shared by a known number of tasks: set parallelism")
     spread = df.repartition(parallelism) if parallelism else df
     names = tuple(settings)
 
     @F.pandas_udf(REPLY)
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         client = _built(model)
+        pace = Pace(rate, TaskContext.get().partitionId(), parallelism) if rate else None
         for batch in batches:
             rows = [(row[0], dict(zip(names, row[1:], strict=True))) for row in batch.values.tolist()]
-            yield pd.DataFrame(ask_all(client, rows, retry, callers), columns=["reply", "attempts", "status", "error"])
+            yield pd.DataFrame(ask_all(client, rows, retry, callers, pace=pace), columns=["reply", "attempts", "status", "error"])
 
     asked = run.asNondeterministic()(F.struct(F.col(prompt), *[F.col(c) for c in names]))
     return spread.withColumn("_a", asked).select("*", "_a.*").drop("_a")
@@ -318,15 +364,18 @@ def score_table(
     parser: Callable[[DataFrame], DataFrame] = parse_marked,
     retry: RetryPolicy = SCORER_RETRY,
     parallelism: int | None = None,
+    ask: Callable[[DataFrame, str], DataFrame] | None = None,
 ) -> DataFrame:
     """Prompt, reply and parsed score for every row; a failed call scores -3.
 
     ``prompt`` renders a prompt column or names an existing one. Rows are spread over ``parallelism`` tasks
-    before their prompts are rendered, so prompts are not shuffled.
+    before their prompts are rendered, so prompts are not shuffled. ``ask(df, prompt column)`` replaces the plain call of the
+    model, e.g. by one with a shared rate or a reply ledger.
     """
-    spread = df.repartition(parallelism) if parallelism else df
+    spread = df.repartition(parallelism) if parallelism and not ask else df
     column = prompt if isinstance(prompt, str) else "prompt"
-    answered = generate(spread if isinstance(prompt, str) else prompt(spread), model, column, retry)
+    rendered = spread if isinstance(prompt, str) else prompt(spread)
+    answered = ask(rendered, column) if ask else generate(rendered, model, column, retry)
     parsed = parser(answered)
     score = parsed.schema["predicted_score"].dataType if "predicted_score" in parsed.columns else None
     if score is None:
