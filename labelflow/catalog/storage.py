@@ -59,20 +59,30 @@ def a2_read_json_array(spark, folder):
     return _digested(IO.read_json_array(spark, path, "id long, text string, score int"))
 
 
-@query(
-    "a3_read_scoring_csv",
-    with_views("SELECT md5(text) AS text_md5, target, md5(text || '\"') AS output_md5, 'm' AS model_name FROM tasks", "tasks"),
-)
-def a3_read_scoring_csv(spark, folder):
+_SCORING = with_views("SELECT md5(text) AS text_md5, target, md5(text || '\"') AS output_md5, 'm' AS model_name FROM tasks", "tasks")
+
+
+def _scoring_csv(spark, folder, split):
     rows = V.tasks(spark, folder).select(
         "text", "target", F.concat("text", F.lit('"')).alias("output"), F.lit("m").alias("model_name"), F.lit("p").alias("prompt_type")
     )
-    stored = IO.read_scoring_csv(spark, IO.write_results_csv(rows, scratch_path(spark, "scoring-csv")))
+    stored = IO.read_scoring_csv(spark, IO.write_results_csv(rows, scratch_path(spark, "scoring-csv")), split=split)
     return stored.select(
         text_md5("text").alias("text_md5"), "target", text_md5("output").alias("output_md5"), "model_name"
     )
 
 
+@query("a3_read_scoring_csv", _SCORING)
+def a3_read_scoring_csv(spark, folder):
+    return _scoring_csv(spark, folder, False)
+
+
+@query("a3_read_split_csv", _SCORING)
+def a3_read_split_csv(spark, folder):
+    """The same files, each read by as many tasks as its size asks for."""
+    return _scoring_csv(spark, folder, True)
+
+
 @query(
     "a4_concat_datasets",
     """SELECT doc_id AS id, md5(text) AS text_md5, lang FROM documents

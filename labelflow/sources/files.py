@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from ..functions.text import file_stem
 from ..operators.folds import fold_view
 from ..schemas import SCORING_CSV
+from .pieces import csv_records, json_array_records
 
 # Quotes are doubled, and blanks at the ends of a value are kept in both directions.
 CSV = {
@@ -47,16 +48,9 @@ def read_jsonl(
 
 
 def read_json_array(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Files that each hold one JSON array of records; anything else is an error.
-
-    Such a file cannot be split, so one file is one task: use JSON lines for large data.
-    """
-    whole = spark.read.text(path, wholetext=True)
-    records = F.from_json("value", f"array<struct<{_as_struct(schema)}>>", {"mode": "FAILFAST"})
-    checked = F.when(F.ltrim("value").startswith("["), records).otherwise(
-        F.raise_error(F.lit("JSON input must be a list of records")).cast(f"array<struct<{_as_struct(schema)}>>")
-    )
-    return whole.select(F.inline(checked))
+    """Files that each hold one JSON array of records; anything else is an error. A large file is read by several tasks."""
+    layout = f"struct<{_as_struct(schema)}>"
+    return json_array_records(spark, path).select(F.from_json("record", layout, {"mode": "FAILFAST"}).alias("r")).select("r.*")
 
 
 def _as_struct(schema: str) -> str:
@@ -64,13 +58,17 @@ def _as_struct(schema: str) -> str:
     return ",".join(f"`{f.name}`:{f.dataType.simpleString()}" for f in fields)
 
 
-def read_scoring_csv(spark: SparkSession, path: str, schema: str = SCORING_CSV) -> DataFrame:
-    """Header CSV with quoted line breaks. Such a file cannot be split: one file is one task.
+def read_scoring_csv(spark: SparkSession, path: str, schema: str = SCORING_CSV, split: bool = False) -> DataFrame:
+    """Header CSV with quoted line breaks. One file is one task, unless it is ``split`` at records found by counting quotes.
 
     Nothing between two commas is null, a quoted nothing is the empty text. They differ only when the null
     marker, which the parser puts in for the former, is a text that no file holds.
     """
-    return spark.read.schema(schema).options(**CSV, multiLine=True, nullValue="\x00").csv(path)
+    options = {**CSV, "nullValue": "\x00"}
+    if not split:
+        return spark.read.schema(schema).options(**options, multiLine=True).csv(path)
+    texts = {k: str(v).lower() if isinstance(v, bool) else v for k, v in options.items() if k != "header"}
+    return csv_records(spark, path).select(F.from_csv("record", schema, texts).alias("r")).select("r.*")
 
 
 def concat_datasets(*tables: DataFrame) -> DataFrame:
