@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import time
+import uuid
+from collections.abc import Callable
 from functools import reduce
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -12,6 +15,7 @@ from pyspark.sql import types as T
 from ..functions.text import file_stem
 from ..operators.folds import fold_view
 from ..schemas import SCORING_CSV
+from .folders import drop_folders, file_system, names, numbered
 from .pieces import csv_records, json_array_records
 
 # Quotes are doubled, and blanks at the ends of a value are kept in both directions.
@@ -137,13 +141,42 @@ def write_report(spark: SparkSession, lines: list[str], path: str) -> str:
 
 def next_run_id(spark: SparkSession, base: str) -> int:
     """One more than the highest ``run_id=n`` folder under ``base``; two runs that race for it collide on write."""
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(base)
-    fs = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(hadoop):
-        return 1
-    names = [status.getPath().getName() for status in fs.listStatus(hadoop)]
-    used = [int(n.removeprefix("run_id=")) for n in names if n.startswith("run_id=") and n[7:].isdigit()]
-    return max(used, default=0) + 1
+    return max(numbered(spark, base, "run_id"), default=0) + 1
+
+
+def publish_run(
+    spark: SparkSession, base: str, write: Callable[[str | None, str], object], patience: float = 60.0, sleep: Callable = time.sleep
+) -> str:
+    """Store a result that builds on the newest run folder as the next one, also while other runs do the same; returns its path.
+
+    ``write(newest run or None, path)`` writes the result to a folder of its own. The number is claimed by a marker file, which one run
+    alone can create, and the folder gets its name by a rename. A run that finds the number taken, or a newer folder than the
+    one it has read, begins anew from that. A claim whose folder does not appear within ``patience`` seconds is that of a run that died.
+    """
+    waited = 0.0
+    while True:
+        last = max(numbered(spark, base, "run_id"), default=0)
+        claims = [int(n.removeprefix("_claim-")) for n in names(spark, base) if n.startswith("_claim-")]
+        taken = max([last, *claims])
+        if taken > last and waited < patience:  # another run is about to publish
+            sleep(0.2)
+            waited += 0.2
+            continue
+        staged = f"{base}/_staged-{uuid.uuid4().hex[:12]}"
+        write(f"{base}/run_id={last}" if last else None, staged)
+        files, claim = file_system(spark, f"{base}/_claim-{taken + 1}")
+        try:
+            mine = files.createNewFile(claim)
+        except Py4JJavaError:
+            mine = False
+        newest = max(numbered(spark, base, "run_id"), default=0)
+        if mine and newest == last:
+            path = f"{base}/run_id={taken + 1}"
+            files.rename(file_system(spark, staged)[1], file_system(spark, path)[1])
+            drop_folders(spark, [f"{base}/_claim-{n}" for n in claims])
+            return path
+        drop_folders(spark, [staged, *([f"{base}/_claim-{taken + 1}"] if mine else [])])
+        waited = 0.0
 
 
 def run_output(df: DataFrame, base: str, run_id: int | str | None = None, by: tuple[str, ...] = ("model",)) -> str:
