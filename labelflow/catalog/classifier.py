@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import classify as L
+from ..operators import stepwise as W
 from ..operators.folds import held_out, stratified_kfold
 from ..session import scratch_path
 from ..sources import views as V
@@ -61,6 +62,15 @@ def l1_train_fold(spark, folder):
     return scored.select("id", "label", "pred", F.round("loss", 4).alias("loss"))
 
 
+@query("l4_best_step")
+def l4_best_step(spark, folder):
+    """Metrics of each stored step of the iterated model on fold 0, and which step is kept. No SQL trains it: see the tests."""
+    folded = L.folded_input(_rows(spark, folder), K, "id", SEED)
+    result = W.train_steps(folded, 0, scratch_path(spark, "steps"), steps=12, every=4)
+    kept = (F.col("step") == result.metrics["step"]).alias("kept")
+    return result.candidates.select("step", *[six(c).alias(c) for c in ("eval_accuracy", "eval_macro_f1", "eval_loss")], kept)
+
+
 _CV_SQL = with_views(
         _bayes(range(K))
         + _F1
