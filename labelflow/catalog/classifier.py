@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import classify as L
 from ..operators import stepwise as W
 from ..operators.folds import held_out, stratified_kfold
+from ..operators.runs import compare_runs
 from ..session import scratch_path
 from ..sources import views as V
 from .registry import folded_sql, query, six, with_views
@@ -62,13 +63,22 @@ def l1_train_fold(spark, folder):
     return scored.select("id", "label", "pred", F.round("loss", 4).alias("loss"))
 
 
-@query("l4_best_step")
-def l4_best_step(spark, folder):
-    """Metrics of each stored step of the iterated model on fold 0, and which step is kept. No SQL trains it: see the tests."""
-    folded = L.folded_input(_rows(spark, folder), K, "id", SEED)
-    result = W.train_steps(folded, 0, scratch_path(spark, "steps"), steps=12, every=4)
-    kept = (F.col("step") == result.metrics["step"]).alias("kept")
-    return result.candidates.select("step", *[six(c).alias(c) for c in ("eval_accuracy", "eval_macro_f1", "eval_loss")], kept)
+@query(
+    "l4_step_metrics",
+    with_views(
+        folded_sql("labeled", "score", K, SEED)
+        + "SELECT CAST(v.step AS INTEGER) AS step, CAST(count(*) AS BIGINT) AS rows, true AS agrees FROM folded CROSS JOIN (VALUES (4), (8), (12)) v(step) WHERE fold = 0 GROUP BY v.step",
+        "labeled",
+    ),
+)
+def l4_step_metrics(spark, folder):
+    """Each stored step of the iterated model on fold 0: rows predicted, and whether its metrics are those of its stored predictions."""
+    folded, at = L.folded_input(_rows(spark, folder), K, "id", SEED), scratch_path(spark, "steps")
+    result = W.train_steps(folded, 0, at, steps=12, every=4)
+    again = compare_runs(spark.read.parquet(f"{at}/predictions"), "label", "pred", "step")
+    near = lambda a, b: F.abs(F.col(a) - F.col(b)) < 1e-9
+    agrees = near("eval_accuracy", "accuracy") & near("eval_macro_f1", "macro_f1") & (result.metrics["step"] % 4 == 0)
+    return result.candidates.join(again, "step").select("step", "rows", agrees.alias("agrees"))
 
 
 _CV_SQL = with_views(
