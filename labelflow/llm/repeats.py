@@ -20,9 +20,7 @@ from .common import named, shuffle_partitions
 
 GROUPS = 4
 HOT = 4096
-HOT_SHARE = 16
 BATCH_BYTES = 32 << 20
-HOT_KEYS = 200_000
 BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
 
 
@@ -52,14 +50,17 @@ def mixed(h: np.ndarray) -> np.ndarray:
 
 
 def first_smallest(g: np.ndarray, width: int) -> np.ndarray:
-    """Place of the smallest value in every run of ``width``; the first of equal ones."""
-    at, size = np.arange(len(g)), 1
+    """Place of the smallest value in every run of ``width``, by its upper bits; the first of equal ones.
+
+    Upper bits and place are one number, so minima need no lookups.
+    """
+    low = np.uint64(max(1, len(g).bit_length()))
+    least, size = g >> low << low | np.arange(len(g), dtype=np.uint64), 1
     while size < width:
         step = min(size, width - size)
-        left, right = at[: len(at) - step], at[step:]
-        at = np.where(g[left] <= g[right], left, right)
+        least = np.minimum(least[: len(least) - step], least[step:])
         size += step
-    return at
+    return (least & ((np.uint64(1) << low) - np.uint64(1))).astype(np.int64)
 
 
 class Batch:
@@ -106,17 +107,6 @@ def batches_of(texts: list[str | None], symbols: Callable, depth: int, gram: int
         yield Batch(numbers, found, depth, gram)
 
 
-def first_of_equals(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted order of equal keys: places of the first of each, of those with an equal, and of the firsts with an equal."""
-    order = np.lexsort(keys[::-1])
-    new = np.ones(len(order), dtype=bool)
-    if len(order):
-        new[1:] = np.any([k[order][1:] != k[order][:-1] for k in keys], axis=0)
-    run = np.cumsum(new) - 1
-    many = (np.bincount(run) > 1)[run] if len(order) else new
-    return order[new], order[many], order[new & many]
-
-
 def longs(values: np.ndarray) -> pa.Array:
     return pa.array(values.view(np.int64) if values.dtype == np.uint64 else values, pa.int64())
 
@@ -154,6 +144,12 @@ def group_of(h: np.ndarray, groups: int) -> np.ndarray:
     return ((mixed(h * BASES[1]) >> np.uint64(32)) * np.uint64(groups) >> np.uint64(32)).astype(np.int64)
 
 
+def short_key(h: np.ndarray) -> np.ndarray:
+    """32 bits of an anchor's hash, other ones than its group has. Anchors are known by both, which only decides what is looked at
+    more closely: two anchors taken for one stay two in all results."""
+    return mixed(h * BASES[0]).astype(np.uint32).view(np.int32)
+
+
 def by_bytes(batch: pa.RecordBatch, most: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of a batch with about ``most`` bytes of text each, so that memory does not depend on how long texts are."""
     sizes = pc.fill_null(pc.binary_length(batch["text"]), 0).to_numpy(zero_copy_only=False)
@@ -183,7 +179,7 @@ def send_anchors(
         bits = np.zeros(len(h), dtype=np.int32)
         bits[first] = times
         group = np.where(bits == 0, row % groups, group_of(h, groups))
-        yield by_group(group, {"key": longs(h), **entries_at(batch, row, start, bits)}, ["key", *ENTRY])
+        yield by_group(group, {"key": pa.array(short_key(h), pa.int32()), **entries_at(batch, row, start, bits)}, ["key", *ENTRY])
 
 
 def flat(table: pa.Table, name: str) -> pa.Array:
@@ -215,7 +211,7 @@ def repeated_anchors(table: pa.Table) -> pa.Table:
 
 def frequent_anchors(table: pa.Table, most: int) -> pa.Table:
     _, keys, _, times = _times(table)
-    return pa.table({"key": pa.array(keys[times > most], pa.int64())})
+    return pa.table({"key": pa.array(keys[times > most].astype(np.int32), pa.int32())})
 
 
 def runs_of(*same: np.ndarray, next_to: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -247,67 +243,38 @@ def same_text(texts: DataFrame, right: DataFrame) -> F.Column:
     return texts["id"].eqNullSafe(right["_id"]) & (texts["mark"] == right["_mark"])
 
 
-def hot_anchors(
-    texts: DataFrame, symbols: Callable, depth: int, gram: int, most: int, hot: int = HOT
-) -> np.ndarray:
-    """Anchors that occur about ``hot`` times or more, as estimated from one document in ``HOT_SHARE``.
-
-    They decide only how entries are dealt to groups, never which sequences are equal. There are at most as many as anchors divided by ``hot``;
-    if those are over ``HOT_KEYS``, only that many are told apart, and the others keep larger groups.
-    """
-    some = texts.where(F.pmod(F.xxhash64("id", "mark"), F.lit(HOT_SHARE)) == 0)
-    often = _sent_anchors(some, symbols, depth, gram, most).applyInArrow(
-        lambda table: frequent_anchors(table, hot // HOT_SHARE), "key long"
-    )
-    return np.array([r[0] for r in often.orderBy("key").limit(HOT_KEYS).collect()], dtype=np.int64).view(np.uint64)
-
-
 def _sent_anchors(texts: DataFrame, symbols: Callable, depth: int, gram: int, most: int):
     id_type = texts.schema["id"].dataType.simpleString()
     groups = groups_for(texts)
     return texts.mapInArrow(
         lambda it: send_anchors(it, symbols, depth, gram, most, groups),
-        f"group int, key array<long>, {place_lists(id_type)}",
+        f"group int, key array<int>, {place_lists(id_type)}",
     ).groupBy("group")
 
 
-def anchored_texts(texts: DataFrame, symbols: Callable, depth: int, gram: int, most: int) -> DataFrame:
-    """The texts with anchors that repeat, and where those start: ``(id, mark, text, starts)``."""
-    id_type = texts.schema["id"].dataType.simpleString()
-    repeated = _sent_anchors(texts, symbols, depth, gram, most).applyInArrow(
-        repeated_anchors, f"id {id_type}, mark int, start int"
-    )
-    return _with_starts(texts, repeated)
-
-
-def _with_starts(texts: DataFrame, repeated: DataFrame) -> DataFrame:
-    flags = repeated.groupBy("id", "mark").agg(F.collect_list("start").alias("starts"))
-    flags = flags.withColumnsRenamed({"id": "_id", "mark": "_mark"})
-    return texts.join(flags, same_text(texts, flags)).select("id", "mark", "text", "starts")
-
-
 def _counted(table: pa.Table, most: int) -> pa.Table:
     """Places of the anchors that occur more than once, and ``key`` of those that occur more than ``most`` times, on rows of their own."""
     places, often = repeated_anchors(table), frequent_anchors(table, most)
     both = {n: pa.chunked_array([*places[n].chunks, pa.nulls(len(often), places[n].type)]) for n in places.column_names}
-    both["key"] = pa.chunked_array([pa.nulls(len(places), pa.int64()), *often["key"].chunks])
+    both["key"] = pa.chunked_array([pa.nulls(len(places), pa.int32()), *often["key"].chunks])
     return pa.table(both)
 
 
 def counted_anchors(
     texts: DataFrame, symbols: Callable, depth: int, gram: int, most: int, hot: int = HOT
 ) -> tuple[DataFrame, np.ndarray]:
-    """:func:`anchored_texts`, and the anchors that occur more than ``hot`` times in all documents, from one anchor round.
-
-    The anchors are at most as many as all anchors divided by ``hot``.
+    """The texts with anchors that repeat and where those start, ``(id, mark, text, starts)``, and the short keys of anchors that occur
+    more than ``hot`` times, counted over all documents. Those are at most as many as all anchors divided by ``hot``.
     """
     id_type = texts.schema["id"].dataType.simpleString()
     found = _sent_anchors(texts, symbols, depth, gram, most).applyInArrow(
-        lambda table: _counted(table, hot), f"id {id_type}, mark int, start int, key long"
+        lambda table: _counted(table, hot), f"id {id_type}, mark int, start int, key int"
     )
-    found = cut_lineage(found, "anchors")
-    often = np.array([r[0] for r in found.where("key IS NOT NULL").select("key").collect()], dtype=np.int64).view(np.uint64)
-    return _with_starts(texts, found.where("key IS NULL").drop("key")), often
+    # A list for each document is far smaller than a row for each anchor; short keys of frequent ones are rows of their own.
+    lists = cut_lineage(found.groupBy("id", "mark", "key").agg(F.collect_list("start").alias("starts")), "anchors")
+    often = np.array([r[0] for r in lists.where("key IS NOT NULL").select("key").distinct().collect()], dtype=np.int32)
+    flags = lists.where("key IS NULL").select(F.col("id").alias("_id"), F.col("mark").alias("_mark"), "starts")
+    return texts.join(flags, same_text(texts, flags)).select("id", "mark", "text", "starts"), often
 
 
 def with_runs(texts: DataFrame, runs: DataFrame) -> DataFrame:

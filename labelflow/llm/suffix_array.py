@@ -50,6 +50,7 @@ from .repeats import (
     place_lists,
     rolled,
     runs_of,
+    short_key,
     texts_of,
     with_runs,
 )
@@ -91,7 +92,7 @@ def suffix_ranks(s: np.ndarray) -> np.ndarray:
         triple = (padded[sampled] << 42) | (padded[sampled + 1] << 21) | padded[sampled + 2]
     else:
         triple = (_pairs(padded[sampled], padded[sampled + 1]) << 32) | padded[sampled + 2]
-    order = np.argsort(triple, kind="stable")
+    order = np.argsort(triple)
     names = np.empty(len(sampled), dtype=np.int64)
     sorted_triples = triple[order]
     names[order] = np.cumsum(np.concatenate([[1], (sorted_triples[1:] != sorted_triples[:-1]).astype(np.int64)]))
@@ -108,16 +109,16 @@ def suffix_ranks(s: np.ndarray) -> np.ndarray:
     else:
         pair = _pairs(padded[:n], padded[1 : n + 1])
         by_two = lambda at: (pair[at] << 32) | rank[at + 2]
-    zero_order = np.argsort(by_one(zero), kind="stable")
+    zero_order = np.argsort(by_one(zero))
     zero = zero[zero_order]
-    one = one[np.argsort(rank[one], kind="stable")]
-    two = two[np.argsort(rank[two], kind="stable")]
+    one = one[np.argsort(rank[one])]
+    two = two[np.argsort(rank[two])]
     in_one = np.searchsorted(by_one(one), by_one(zero))
     in_two = np.searchsorted(by_two(two), by_two(zero))
     out = np.empty(n, dtype=np.int64)
     out[zero] = np.arange(len(zero)) + in_one + in_two
     real = np.concatenate([one, two])
-    real = real[np.argsort(rank[real], kind="stable")]
+    real = real[np.argsort(rank[real])]
     before_one = np.searchsorted(by_one(zero), by_one(one))  # suffixes of remainder 0 before each
     before_two = np.searchsorted(by_two(zero), by_two(two))
     among = np.empty(n, dtype=np.int64)
@@ -137,7 +138,7 @@ def classes(contexts: list[bytes], depth: int) -> np.ndarray:
     strings = sizes - depth + 1
     starts = np.repeat(begin - (np.cumsum(strings) - strings), strings) + np.arange(strings.sum())
     ranks = suffix_ranks(np.where(between, 1, raw.astype(np.int64) + 2))
-    order = np.argsort(ranks[starts], kind="stable")
+    order = np.argsort(ranks[starts])
     at = starts[order]
     # Eight bytes from every place as one number, without copies: neighbours are compared word by word.
     words = np.ndarray(len(raw) - 7, dtype="<u8", buffer=raw.tobytes(), strides=(1,))
@@ -170,7 +171,7 @@ def _send_contexts(
             use = b.flagged(starts)[b.anchor]
             at, anchor = b.starts[use], b.anchor[use]
             key = b.grams[anchor]
-            often = np.isin(key, hot)
+            often = np.isin(short_key(key), hot)
             if often.any():  # strings of their own, each under its own hash
                 key[often] = rolled(b.hashes, depth, BASES[0])[at[often]]
             row, start = b.place(at)
