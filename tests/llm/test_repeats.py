@@ -70,7 +70,7 @@ def test_hot_anchors_are_counted_over_all_documents(spark):
     _, often = repeats.counted_anchors(texts, suffix_array.symbols, 50, 16, 10**6, 11)
     raw = suffix_array.symbols(shared)
     b = repeats.Batch([0], [raw], 50, 16)
-    assert set(b.grams[np.unique(b.anchor)].tolist()) <= set(often.tolist())
+    assert set(repeats.short_key(b.grams[np.unique(b.anchor)]).tolist()) <= set(often.tolist())
     assert len(repeats.counted_anchors(texts, suffix_array.symbols, 50, 16, 10**6, 12)[1]) == 0
 
 
@@ -122,3 +122,32 @@ def test_empty_tables(none):
     assert substring_trees.cut_repeats(none).count() == 0
     assert suffix_array.cut_later_copies(none).count() == 0
     assert line_dedup.dedup_lines(none)[0].count() == 0
+
+
+def test_internal_nodes_against_all_substrings():
+    """Nodes of a small tree: every sequence with two followers or ends, and its leaves."""
+    rng = random.Random(2)
+    for _ in range(20):
+        text = [rng.randint(0, 2) for _ in range(rng.randint(2, 40))] + [-1]
+        suffixes = sorted(range(len(text)), key=lambda i: text[i:])
+        common = lambda a, b: next(k for k in range(len(text)) if text[a + k] != text[b + k])
+        lcp = [0] + [common(a, b) for a, b in zip(suffixes, suffixes[1:])]
+        got = {(d, tuple(sorted(suffixes[a : b + 1]))) for d, a, b in substring_trees.internal_nodes(lcp, 1)}
+        expected = set()
+        for size in range(1, len(text)):
+            places = {}
+            for i in range(len(text) - size):
+                places.setdefault(tuple(text[i : i + size]), []).append(i)
+            expected |= {(size, tuple(at)) for at in places.values() if len({text[i + size] for i in at}) > 1}
+        assert got == expected
+
+
+def test_subtrees_stay_under_their_bound(monkeypatch):
+    monkeypatch.setattr(substring_trees, "SUBTREE_WORDS", 100)
+    rng = np.random.default_rng(0)
+    key, sizes = rng.integers(0, 40, 300), rng.integers(35, 50, 300)
+    parts = list(substring_trees._subtrees(key, sizes))
+    assert sorted(np.concatenate(parts).tolist()) == list(range(300))
+    largest = max(sizes[key == k].sum() for k in set(key.tolist()))
+    assert all(sizes[p].sum() < 100 + largest for p in parts)
+    assert all(len({*key[a].tolist()} & {*key[b].tolist()}) == 0 for a, b in zip(parts, parts[1:]))
