@@ -137,16 +137,21 @@ def normalize_label(df: DataFrame, col: str, out: str = "label_id", base: int =
 
 @dataclass
 class Sanitized:
-    """Usable rows and rejected rows of one table."""
+    """Usable rows and rejected rows of one table, and the reason (or null) of every row."""
 
     clean: DataFrame
     rejects: DataFrame
+    reasons: DataFrame
 
     def report(self, samples: int = 3) -> dict:
-        """Number of rejects and a few of them; raises when no usable row is left."""
-        if self.clean.isEmpty():
+        """Number of rejects and a few of them; raises when no usable row is left.
+
+        One pass counts both parts; samples end with the first rejects that are found.
+        """
+        counts = self.reasons.agg(F.count("*").alias("rows"), F.count("reason").alias("dropped")).first()
+        if counts["rows"] == counts["dropped"]:
             raise ValueError("preprocessing left no rows")
-        return {"dropped": self.rejects.count(), "samples": self.rejects.limit(samples).collect()}
+        return {"dropped": counts["dropped"], "samples": self.rejects.limit(samples).collect() if counts["dropped"] else []}
 
 
 def sanitize(df: DataFrame, base: int = 1, on_error: str = "drop", keep: tuple[str, ...] = ()) -> Sanitized:
@@ -178,7 +183,7 @@ def sanitize(df: DataFrame, base: int = 1, on_error: str = "drop", keep: tuple[s
     rejects = marked.where(F.col("_reason").isNotNull()).select(
         *keep, F.col("_reason").alias("reason"), record.alias("record")
     )
-    return Sanitized(clean, rejects)
+    return Sanitized(clean, rejects, marked.select(F.col("_reason").alias("reason")))
 
 
 def drop_blank(df: DataFrame, col: str = "text") -> DataFrame:
