@@ -193,6 +193,16 @@ def stamped_name(stem: str) -> str:
     return f"{stem}_scored_{int(time.time())}"
 
 
+# A table stored as a folder: a folder with the ending of a data format, or one that holds the part files of a Spark job.
+TABLE_FOLDER = r"(?i)^(.*/[^/=]+\.(?:parquet|orc|avro|csv|jsonl?|txt|text|delta))/.*$"
+PART_FILE = r"^(.*?)(?:/[^/=]+=[^/]*)*/part-\d+[^/]*$"
+
+
 def with_source_stem(df: DataFrame, out: str = "source") -> DataFrame:
-    """Add the stem of the file each row was read from, to name a run after its input."""
-    return df.withColumn(out, file_stem(F.col("_metadata.file_path")))
+    """Add the stem of the file each row was read from, to name a run after its input.
+
+    Of a table that is stored as a folder of files, all rows get the stem of the folder.
+    """
+    path = F.col("_metadata.file_path")
+    table = F.regexp_replace(F.regexp_replace(path, TABLE_FOLDER, "$1"), PART_FILE, "$1")
+    return df.withColumn(out, file_stem(table))

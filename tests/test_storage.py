@@ -156,3 +156,18 @@ def test_scratch_is_cleared(spark):
     assert os.path.exists(path)
     assert clear_scratch(spark) >= 1
     assert not os.path.exists(path)
+
+
+@pytest.mark.parametrize("name", ["answers.parquet", "answers", "answers.parquet/lang=de", "answers/lang=de/day=1"])
+def test_source_stem_of_a_folder_is_the_tables(spark, tmp_path, name):
+    """A table in several files, in folders of partitions or not, is one input and has one name."""
+    spark.range(20).repartition(3).write.parquet(f"{tmp_path}/{name}")
+    rows = IO.with_source_stem(spark.read.parquet(f"{tmp_path}/{name.split('/')[0]}"), "stem")
+    assert {r["stem"] for r in rows.select("stem").collect()} == {"answers"}
+
+
+def test_source_stem_of_single_files_is_their_own(spark, tmp_path):
+    for name in ("one.json", "two.json"):
+        (tmp_path / name).write_text('{"a": 1}\n')
+    rows = IO.with_source_stem(spark.read.schema("a int").json(str(tmp_path)), "stem")
+    assert {r["stem"] for r in rows.select("stem").collect()} == {"one", "two"}
