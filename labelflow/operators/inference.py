@@ -12,16 +12,20 @@ from dataclasses import dataclass, field
 from functools import lru_cache
 from typing import Protocol
 
-import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.replies import parse_marked
 from ..schemas import REPLY
-
+from .portions import bounds
 
 CALLERS = 16  # concurrent calls of one task, for models that take one prompt at a time
+WHOLE_CHARS = 1 << 21  # of whole prompts that a templated model holds at once, unless one has more
+
+
+REPLY_TYPES = {"reply": pa.string(), "attempts": pa.int32(), "status": pa.string(), "error": pa.string()}
 
 
 class Model(Protocol):
@@ -236,7 +240,8 @@ def _many(model: Model, prompts: list[str], settings: list[dict]) -> list:
 class TemplatedModel:
     """A model that is given the sentence only and puts it between two fixed texts.
 
-    A shared prompt part of many kilobytes is then sent to each worker once instead of once per row.
+    A shared prompt part of many kilobytes is then sent to each worker once instead of once per row. Whole prompts are made for so many
+    sentences at a time as ``WHOLE_CHARS`` has room for, and an error of one such part is that of its rows alone.
     """
 
     def __init__(self, inner: ModelSpec, before: str, after: str):
@@ -246,7 +251,18 @@ class TemplatedModel:
         return self.inner.generate(self._whole(prompt), **settings)
 
     def generate_many(self, prompts: list[str], settings: list[dict]) -> list:
-        return _many(self.inner, [self._whole(p) for p in prompts], settings)
+        out: list = []
+        while len(out) < len(prompts):
+            at, room = len(out), WHOLE_CHARS
+            end = at
+            while end < len(prompts) and (end == at or room > 0):
+                room -= len(self.before) + len(prompts[end] or "") + len(self.after)
+                end += room >= 0 or end == at
+            try:
+                out += _many(self.inner, [self._whole(p) for p in prompts[at:end]], settings[at:end])
+            except Exception as problem:  # noqa: BLE001 - recorded as the status of these rows
+                out += [problem] * (end - at)
+        return out
 
     def _whole(self, prompt: str | None) -> str | None:
         return None if prompt is None else self.before + prompt + self.after
@@ -331,7 +347,8 @@ def generate(
 
     ``rate`` is the most calls a second of all tasks together, retries included; it needs a ``parallelism``, whose tasks share it (see :class:`Pace`).
 
-    Only the prompt and the setting columns go to Python; all others stay in the JVM. ``parallelism`` is the
+    Only the prompt and the setting columns go to Python; all others stay in the JVM. There, prompts become Python objects in portions of
+    limited rows and bytes (see ``portions``), each of which is asked before the next. ``parallelism`` is the
     number of tasks and ``callers`` that of concurrent calls in each, set by the service's rate limit and not by the data size. Replies are costly
     and may differ between calls: write the result, or ``cut_lineage`` it, before using it more than once.
     """
@@ -340,13 +357,20 @@ def generate(
     spread = df.repartition(parallelism) if parallelism else df
     names = tuple(settings)
 
-    @F.pandas_udf(REPLY)
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf(REPLY)
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         client = _built(model)
         pace = Pace(rate, TaskContext.get().partitionId(), parallelism) if rate else None
         for batch in batches:
-            rows = [(row[0], dict(zip(names, row[1:], strict=True))) for row in batch.values.tolist()]
-            yield pd.DataFrame(ask_all(client, rows, retry, callers, pace=pace), columns=["reply", "attempts", "status", "error"])
+            prompts, *given = batch.flatten()
+            replies = []
+            for at, n in bounds(prompts):
+                values = zip(*[c.slice(at, n).to_pylist() for c in given], strict=True) if given else [()] * n
+                rows = [(p, dict(zip(names, v, strict=True))) for p, v in zip(prompts.slice(at, n).to_pylist(), values, strict=True)]
+                replies += ask_all(client, rows, retry, callers, pace=pace)
+            columns = zip(*replies, strict=True) if replies else [()] * len(REPLY_TYPES)
+            arrays = [pa.array(c, kind) for c, kind in zip(columns, REPLY_TYPES.values(), strict=True)]
+            yield pa.StructArray.from_arrays(arrays, names=list(REPLY_TYPES))
 
     asked = run.asNondeterministic()(F.struct(F.col(prompt), *[F.col(c) for c in names]))
     return spread.withColumn("_a", asked).select("*", "_a.*").drop("_a")

@@ -2,6 +2,7 @@ import time
 
 import pytest
 from labelflow.operators import inference as I
+from labelflow.operators.portions import ROWS as PORTION_ROWS
 from labelflow.operators.prompts import fixed_prompt
 from labelflow.plans.experiment import experiment, store_and_compare
 from labelflow.plans.scoring import scoring_run, write_scoring_report
@@ -164,3 +165,28 @@ def test_experiment_rows_and_storage(spark, tmp_path):
     assert path.endswith("run_id=1")
     assert by.where("model_mode IS NOT NULL").count() == 4
     assert store_and_compare(out, str(tmp_path))[0].endswith("run_id=2")
+
+
+def together():
+    class Together:
+        """Replies with the number of prompts, and of characters, that it was given at once."""
+
+        def generate_many(self, prompts, settings):
+            return [f"{len(prompts)} {sum(map(len, prompts))}"] * len(prompts)
+
+    return I.ModelSpec(Together)
+
+
+def test_long_prompts_are_asked_in_portions(spark):
+    """A batch of 10,000 rows, or of a few very long ones, is not held as Python objects at once."""
+    for rows, length, most in ((3000, 4, PORTION_ROWS), (40, 200_000, 5)):
+        df = spark.range(rows).coalesce(1).select("id", F.repeat(F.lit("x"), length).alias("prompt"))
+        replies = I.generate(df, together(), retry=I.NO_WAIT).select("id", "reply").collect()
+        assert sorted(r["id"] for r in replies) == list(range(rows))
+        assert max(int(r["reply"].split()[0]) for r in replies) <= most
+
+
+def test_whole_prompts_are_made_for_few_rows_at_a_time():
+    got = I.templated(together(), "p" * 300_000, "").build().generate_many(["x"] * 50, [{}] * 50)
+    assert len(got) == 50
+    assert max(int(r.split()[1]) for r in got) <= I.WHOLE_CHARS
