@@ -20,6 +20,7 @@ from ..session import cut_lineage
 from ..sources.folders import numbered
 from .folds import held_out, train_part
 from .metrics import class_scores
+from .portions import portions, row_portions
 from .runs import best_run
 
 SLOTS = 1 << 12
@@ -59,8 +60,8 @@ def with_features(df: DataFrame, slots: int = SLOTS, grams: tuple[int, ...] = GR
     """``id, label, fold, at, x``, written once: every step reads this table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at, x = zip(*[hashed_grams(text.as_py(), slots, grams) for text in batch["text"]], strict=True) if batch.num_rows else ((), ())
+        for batch in (part for whole in batches for part in portions(whole, "text")):
+            at, x = zip(*[hashed_grams(text.as_py(), slots, grams) for text in batch["text"]], strict=True)
             columns = [*[batch[c] for c in ("id", "label", "fold")], pa.array(at, pa.list_(pa.int32())), pa.array(x, pa.list_(pa.float64()))]
             yield pa.RecordBatch.from_arrays(columns, names=["id", "label", "fold", "at", "x"])
 
@@ -88,7 +89,7 @@ def gradient(rows: DataFrame, weights: np.ndarray) -> tuple[np.ndarray, int]:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, n = np.zeros_like(sent.value), 0
-        for batch in batches:
+        for batch in (part for whole in batches for part in row_portions(whole)):
             row, at, x = _flat(batch)
             label = batch["label"].to_numpy()
             off = _probabilities(sent.value, row, at, x, len(label))
@@ -127,7 +128,7 @@ def predict_steps(rows: DataFrame, weights: dict[int, np.ndarray]) -> DataFrame:
     sent = rows.sparkSession.sparkContext.broadcast(weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in row_portions(whole)):
             row, at, x = _flat(batch)
             label = batch["label"].to_numpy()
             for step, w in sent.value.items():
