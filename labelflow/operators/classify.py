@@ -28,6 +28,7 @@ from ..sources.files import publish_run, read_scoring_csv, write_metrics, write_
 from .folds import check_foldable, stratified_kfold
 from .labels import CLASS_NAMES, label_view, mark_correct
 from .metrics import class_scores, cv_summary, overall
+from .portions import portions
 from .runs import compare_runs, merge_fold_metrics, read_fold_metrics, stack_runs
 
 @dataclass
@@ -78,7 +79,7 @@ def character_counts(folded: DataFrame) -> Characters:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[tuple, Counter] = {}
-        for batch in batches:
+        for batch in (part for whole in batches for part in portions(whole, "text")):
             for fold, label, text in zip(*[batch[c].to_pylist() for c in ("fold", "label", "text")], strict=True):
                 own = found.setdefault((fold, label), Counter())
                 own.update(text or "")
@@ -156,7 +157,7 @@ def measure_folds(folded: DataFrame, models: dict[tuple[int, int], Bayes]) -> di
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells: dict[tuple, list] = {}
-        for batch in batches:
+        for batch in (part for whole in batches for part in portions(whole, "text")):
             for fold, label, text in zip(*[batch[c].to_pylist() for c in ("fold", "label", "text")], strict=True):
                 found = Counter(text or "")
                 for step in steps[fold]:
