@@ -28,6 +28,7 @@ CSV = {
     "ignoreTrailingWhiteSpace": False,
 }
 POSITION = ("_file", "_block", "_line")
+FILE_ROWS = 4096
 
 
 def read_jsonl(
@@ -88,8 +89,11 @@ def dataset_sizes(**tables: DataFrame) -> DataFrame:
 
 
 def write_results_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> str:
-    """CSV with a header per part file; no byte-order mark is written."""
-    df.write.mode(mode).options(**CSV).csv(path)
+    """CSV with a header per part file; no byte-order mark is written.
+
+    A file with quoted line breaks is read by one task, so none gets more than ``FILE_ROWS`` records.
+    """
+    df.write.mode(mode).options(**CSV, maxRecordsPerFile=FILE_ROWS).csv(path)
     return path
 
 

@@ -9,6 +9,7 @@ from labelflow.sources import activity as A
 from labelflow.sources import files as IO
 from labelflow.streaming import activity as SA
 from labelflow.streaming import scoring as SS
+from pyspark.sql import functions as F
 
 AWKWARD = ['say "hi", ok', " two\nlines\r\n ", "臺　", "\\back\\", "", "a,b", "'", "\ttab"]
 
@@ -21,6 +22,13 @@ def test_csv_round_trip_keeps_awkward_texts(spark, tmp_path):
     assert all(r["other"] is None for r in back)
 
 
+def test_csv_files_have_few_records_each(spark, tmp_path):
+    """A file is read by one task, so the rows of a task must not all go to one file."""
+    path = IO.write_results_csv(spark.range(3 * IO.FILE_ROWS).coalesce(1).withColumn("text", F.lit("a\nb")), str(tmp_path / "out"))
+    assert len(list((tmp_path / "out").glob("*.csv"))) == 3
+    assert IO.read_scoring_csv(spark, path, "id long, text string").distinct().count() == 3 * IO.FILE_ROWS
+
+
 def test_csv_with_byte_order_mark(spark, tmp_path):
     file = tmp_path / "bom.csv"
     file.write_bytes("﻿text,score\n臺北,2\n".encode())
