@@ -3,14 +3,19 @@
 A file is read in pieces that end at every ``}`` or line break, which Spark can split anywhere. Whether a piece starts inside a quoted text, and how
 deep in objects and lists, follows from sums over all pieces before it: running sums inside a block of the file, and
 sums of whole blocks, of which there is one row each. Since what a block adds to the depth depends on how it starts, both cases
-are summed. Pieces that are whole records go on as they are; only records in several pieces are put together by a shuffle.
+are summed. In JSON, pieces that are whole records go on as they are, and only records in several pieces are put together by a shuffle; in CSV,
+where no depth is needed, each task puts the records of its blocks together, and only records that reach over blocks are shuffled.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.portions import portions
 from ..session import cut_lineage
 
 BLOCK = ["_file", "_block"]
@@ -120,14 +125,71 @@ def json_array_records(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return whole.select(F.concat("record", F.lit("}")).alias("record"))
 
 
+WHOLE, CLOSES, OPENS, INNER = range(4)  # a record; the last part of one that a block before begins; the first part of one; a whole block inside one
+PARTS = "record string, first boolean, _file string, _block long, kind int"
+
+
+def _block_parts(batches: Iterator[pa.RecordBatch], whole: bool) -> Iterator[pa.RecordBatch]:
+    """Records of blocks that are read from start to end: those inside a block if ``whole``, else parts of those that reach into the next.
+
+    Rows are ``value, _file, _block, _starts_in``, of which the last tells whether the block begins in a quoted text.
+    """
+    place, kind, quoted, head = None, WHOLE, False, False
+    open_parts: list[str] = []
+    out: list[tuple] = []
+
+    def leave() -> None:
+        """The end of a block: what is open goes on in the next."""
+        if open_parts and not whole:
+            out.append(("\n".join(open_parts), head, *place, INNER if kind == CLOSES else OPENS))
+        open_parts.clear()
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        columns = zip(*rows, strict=True) if rows else [()] * 5
+        kinds = (pa.string(), pa.bool_(), pa.string(), pa.int64(), pa.int32())
+        arrays = [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
+        return pa.RecordBatch.from_arrays(arrays, names=["record", "first", "_file", "_block", "kind"])
+
+    for batch in (part for some in batches for part in portions(some, "value")):
+        rows = zip(*[batch[c].to_pylist() for c in ("value", "_file", "_block", "_starts_in")], strict=True)
+        for value, file, block, starts_in in rows:
+            if place != (file, block):
+                leave()
+                place, quoted = (file, block), bool(starts_in)
+                kind, head = (CLOSES, False) if quoted else (WHOLE, block == 0)
+            open_parts.append(value)
+            quoted ^= value.count('"') % 2 == 1
+            if not quoted:
+                if whole == (kind == WHOLE):
+                    out.append(("\n".join(open_parts), head, file, block, kind))
+                open_parts.clear()
+                kind, head = WHOLE, False
+        if out:
+            yield batch_of(out)
+            out.clear()
+    leave()
+    if out:
+        yield batch_of(out)
+
+
 def csv_records(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """``record``: the text of each record of files with a header and quoted line breaks; quotes stand only in quoted values, doubled."""
+    """``record``: the text of each record of files with a header and quoted line breaks; quotes stand only in quoted values, doubled.
+
+    Three scans and no shuffle of the texts: quotes are counted by block, whose sums tell how each block begins; the tasks that read a block then put
+    its records together; and of records that reach over blocks, two parts a block at most meet in a shuffle.
+    """
     pieces = read_pieces(spark, path, "\n")
-    odd = F.pmod(_count(F.col("value"), '"'), F.lit(2))
-    zero = F.lit(0)
-    placed = _with_first(_placed(pieces, odd, zero, zero)).withColumn("_odd", odd)
-    marked = placed.select(
-        "value", "_file", "_block", "_line", "_first", (~F.col("quoted")).alias("starts"), (~F.col("quoted") & (F.col("_odd") == 0)).alias("alone")
+    blocks = pieces.groupBy(*BLOCK).agg(F.sum(F.pmod(_count(F.col("value"), '"'), F.lit(2))).alias("_odd"))
+    blocks = blocks.select(*BLOCK, (_sum("_odd", _earlier(["_file"], "_block")) % 2 == 1).alias("_starts_in"))
+    # One row a block. A broadcast leaves the pieces where, and in the order in which, they were read.
+    begun = pieces.drop("_line").join(F.broadcast(blocks), BLOCK).select("value", *BLOCK, "_starts_in")
+    inside = begun.mapInArrow(lambda it: _block_parts(it, True), PARTS).select("record", "first")
+    across = begun.mapInArrow(lambda it: _block_parts(it, False), PARTS)
+    order = Window.partitionBy("_file").orderBy("_block", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    numbered = across.withColumn("_number", F.sum((F.col("kind") == OPENS).cast("long")).over(order))
+    parts = F.array_sort(F.collect_list(F.struct("_block", "kind", "record")))
+    joined = numbered.groupBy("_file", "_number").agg(
+        F.array_join(F.transform(parts, lambda x: x["record"]), "\n").alias("record"), F.max("first").alias("first")
     )
-    whole = _records(marked, "\n").where(~F.col("first"))
-    return whole.select(F.regexp_replace("record", r"\r$", "").alias("record")).where("record <> ''")
+    records = inside.unionByName(joined.select("record", "first")).where(~F.col("first"))
+    return records.select(F.regexp_replace("record", r"\r$", "").alias("record")).where("record <> ''")

@@ -7,6 +7,7 @@ import random
 import pytest
 from labelflow.sources import files as IO
 from labelflow.sources.pieces import json_array_records, read_pieces
+from pyspark.sql import functions as F
 
 LAYOUT = "id long, text string, more struct<a:array<struct<b:string>>>"
 
@@ -73,6 +74,28 @@ def test_csv_with_quoted_line_breaks_in_many_tasks(spark, small_blocks, tmp_path
     assert sorted(map(tuple, got.collect())) == rows
 
 
+@pytest.mark.parametrize("ends", [True, False])
+def test_csv_records_longer_than_several_blocks(spark, small_blocks, tmp_path, ends):
+    rows = [(i, ("x" * 40 + "\n") * (i % 4 * 50) + '"', i) for i in range(12)]
+    for name in ("a", "b"):
+        with (tmp_path / f"{name}.csv").open("w", encoding="utf-8", newline="") as f:
+            out = csv.writer(f, quoting=csv.QUOTE_NONNUMERIC, lineterminator="\n")
+            out.writerow(["id", "text", "n"])
+            out.writerows(rows if ends else [*rows, (99, "end", 1)])
+    got = IO.read_scoring_csv(spark, str(tmp_path), "id int, text string, n int", split=True)
+    assert sorted(tuple(r) for r in got.collect() if r["id"] < 99) == sorted(rows * 2)
+
+
+def test_split_csv_moves_no_whole_texts(spark, tmp_path):
+    """Records are put together where they are read: only a table of blocks and parts of records across blocks are shuffled."""
+    path = IO.write_results_csv(spark.range(200).select("id", F.lit("a\nb").alias("text")), str(tmp_path / "out"))
+    got = IO.read_scoring_csv(spark, path, "id long, text string", split=True)
+    assert sorted(map(tuple, got.collect())) == [(i, "a\nb") for i in range(200)]
+    shuffled = got._jdf.queryExecution().executedPlan().toString()
+    assert not [line for line in shuffled.splitlines() if "Exchange hashpartitioning" in line and "_line" in line]
+    assert not [p for p in got.inputFiles() if "labelflow-pieces" in p]
+
+
 def test_csv_nulls_and_empty_texts(spark, tmp_path):
     (tmp_path / "a.csv").write_text('id,text,n\n1,,5\n2,"",\n\n3," a ",7\n', encoding="utf-8")
     got = IO.read_scoring_csv(spark, str(tmp_path / "a.csv"), "id int, text string, n int", split=True)
