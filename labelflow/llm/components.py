@@ -8,12 +8,48 @@ written to the shared folder, so plans stay short and lost executors lose nothin
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 
 
+def forest(keys: np.ndarray, near: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Edges ``i, j`` that connect, within runs of equal keys, what links connect, and each place's component. Keys are sorted.
+
+    ``near`` says which of the pairs of places it gets are links.
+    """
+    label = np.arange(len(keys))
+
+    def root(i: int) -> int:
+        while label[i] != i:
+            i = label[i]
+        return i
+
+    out: list[tuple[int, int]] = []
+    at = np.arange(len(keys))
+    for d in range(1, len(keys)):
+        at = at[at + d < len(keys)]
+        at = at[keys[at] == keys[at + d]]
+        if not len(at):
+            break
+        apart = at[label[at] != label[at + d]]
+        linked = apart[near(apart, apart + d)]
+        for i in linked.tolist():
+            a, b = root(i), root(i + d)
+            if a != b:
+                label[max(a, b)] = min(a, b)
+                out.append((i, i + d))
+        if len(linked):
+            while not np.array_equal(higher := label[label], label):
+                label = higher
+    i, j = np.array(out, dtype=np.int64).reshape(-1, 2).T
+    return i, j, label
+
+
 def _summary(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 

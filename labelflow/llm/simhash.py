@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 from .common import fresh, named, shuffle_partitions
-from .components import stars
+from .components import forest, stars
 from .near_copies import copy_groups, text_mark
 
 MAX_BITS = 3
@@ -111,36 +111,6 @@ def _near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return near
 
 
-def _forest(keys: np.ndarray, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Edges that connect, within runs of equal keys, what links connect. Keys are sorted."""
-    label = np.arange(len(keys))
-
-    def root(i: int) -> int:
-        while label[i] != i:
-            i = label[i]
-        return i
-
-    out: list[tuple[int, int]] = []
-    at = np.arange(len(keys))
-    for d in range(1, len(keys)):
-        at = at[at + d < len(keys)]
-        at = at[keys[at] == keys[at + d]]
-        if not len(at):
-            break
-        apart = at[label[at] != label[at + d]]
-        linked = apart[_near(fps[apart], fps[apart + d])]
-        for i in linked.tolist():
-            a, b = root(i), root(i + d)
-            if a != b:
-                label[max(a, b)] = min(a, b)
-                out.append((i, i + d))
-        if len(linked):
-            while not np.array_equal(higher := label[label], label):
-                label = higher
-    i, j = np.array(out, dtype=np.int64).reshape(-1, 2).T
-    return i, j
-
-
 def _batch(mask: np.ndarray | None, u: np.ndarray, v: np.ndarray | None) -> pa.RecordBatch:
     columns = [pa.nulls(len(u), pa.int64()) if c is None else pa.array(c, pa.int64()) for c in (mask, u, v)]
     return pa.RecordBatch.from_arrays(columns, names=["mask", "u", "v"])
@@ -157,7 +127,8 @@ def _settle(mask: np.ndarray, value: np.ndarray, fp: np.ndarray, longest: int |
     if long.any():
         yield _batch(mask[long], fp[long], None)
     short = ~long & (size > 1)
-    i, j = _forest(run[short], fp[short].view(np.uint64))
+    fps = fp[short].view(np.uint64)
+    i, j, _ = forest(run[short], lambda a, b: _near(fps[a], fps[b]))
     if len(i):
         yield _batch(None, fp[short][i], fp[short][j])
 
@@ -251,7 +222,8 @@ def keep_one_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     A row is known by its id together with a hash of its text, so rows without an id, or that share one, stay if their texts are no near
     copies. First is the smallest id, then the smallest hash; null ids are last. Of rows equal in both any one stays.
-    Groups are those of ``near_copies``, not of fingerprints: three bits of 64 are far too few for a similarity of 0.8.
+    Groups are those of ``near_copies``: candidates from an index of positional blocks of longer fingerprints, since three bits of 64 are
+    far too few for a similarity of 0.8, and links confirmed on whole sets.
     """
     groups = cut_lineage(copy_groups(df, id_col, text_col, **options), "groups")
     smallest = F.min(F.struct(F.isnull("id").alias("no_id"), "id", "mark")).alias("rep")
